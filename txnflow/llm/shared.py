@@ -16,6 +16,9 @@ from pyspark.sql.types import StructType
 #: Blank characters of the word rules: space and the controls from tab to carriage return.
 BLANKS = " \t\n\x0b\x0c\r"
 
+#: Documents in one batch for a Python worker, at most.
+BATCH_ROWS = 1_000
+
 #: Applications whose workers have this package.
 _SHIPPED: set[str] = set()
 
@@ -58,7 +61,12 @@ def unpacked(df: DataFrame, columns: list[str], text: Column | None = None) -> D
 
 
 def ship(spark: SparkSession) -> None:
-    """Send this package to the executors' Python workers, once per application."""
+    """Send this package to the executors' Python workers, once per application, and bound the batches they get.
+
+    Rows are whole documents here, so a batch of Spark's usual 10,000 would hold tens of MB several times over.
+    """
+    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) > BATCH_ROWS:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     sc = spark.sparkContext
     if sc.applicationId in _SHIPPED:
         return
