@@ -135,20 +135,18 @@ def _count(text: Column, pattern: str) -> Column:
     return F.regexp_count(text, F.lit(pattern)).cast("long")
 
 
-def base_columns(text: Column) -> dict[str, Column]:
-    """Columns of the base count for one text. The phrases all hold the word license, which gates their search."""
-    gate = F.contains(F.lower(text), F.lit("license"))
-    phrase = _phrase()
-    n = F.when(gate, _count(text, phrase)).otherwise(F.lit(0).cast("long"))
-    before = lambda greedy: _count(F.regexp_extract(text, rf"(?s)^(.*{greedy}){phrase}", 1), f"{_WORD}+")
-    found = [F.when(gate & (_count(text, rf"(?i)(?<!{_WORD}){_GAP.join(p.split())}(?!{_WORD})") > 0), F.lit(label)) for p, label in BASE.items()]
-    return {
-        "n_words": _count(text, f"{_WORD}+"),
-        "n_base": n,
-        "first_word": F.when(n > 0, before("?")),
-        "last_word": F.when(n > 0, before("")),
-        "base": F.array_compact(F.array(*found)),
-    }
+def base_counts(rows: DataFrame) -> DataFrame:
+    """Packed rows with the columns of the base count; ``base`` holds the labels found.
+
+    The phrases all hold the word license, which gates their search. The steps are kept apart so that none is evaluated twice.
+    """
+    text, phrase = F.col("__text"), _phrase()
+    gated = rows.withColumn("__gate", F.contains(F.lower(text), F.lit("license")))
+    counted = gated.withColumns({"n_words": _count(text, f"{_WORD}+"), "n_base": F.when(F.col("__gate"), _count(text, phrase)).otherwise(F.lit(0).cast("long"))})
+    some = F.col("n_base") > 0
+    before = lambda greedy: F.when(some, _count(F.regexp_extract(text, rf"(?s)^(.*{greedy}){phrase}", 1), f"{_WORD}+"))
+    found = [F.when(some & text.rlike(rf"(?i)(?<!{_WORD}){_GAP.join(p.split())}(?!{_WORD})"), F.lit(label)) for p, label in BASE.items()]
+    return counted.withColumns({"first_word": before("?"), "last_word": before(""), "base": F.array_compact(F.array(*found))})
 
 
 def detections(rows: DataFrame, spark: SparkSession) -> DataFrame:
@@ -173,7 +171,7 @@ def detections(rows: DataFrame, spark: SparkSession) -> DataFrame:
 def license_report(docs: DataFrame) -> DataFrame:
     rows = packed(docs)
     kept = detections(rows, docs.sparkSession).groupBy("__rid").agg(F.collect_set("label").alias("found"), F.max("certainty").alias("certainty"), F.count("*").alias("n_detections"))
-    base = rows.select("__rid", F.col("__row.doc_id").alias("doc_id"), *(c.alias(n) for n, c in base_columns(F.col("__text")).items()))
+    base = base_counts(rows).select("__rid", F.col("__row.doc_id").alias("doc_id"), "n_words", "n_base", "first_word", "last_word", "base")
     joined = lambda c: F.array_join(F.array_sort(c), ",")
     none = F.array().cast("array<string>")
     return base.join(kept, "__rid", "left").select(
