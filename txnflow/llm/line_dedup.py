@@ -49,14 +49,15 @@ def repeated_chunks(rows: DataFrame, chunks: DataFrame | None = None) -> DataFra
     """Occurrences ``__rid, start, len`` to remove from packed rows. ``chunks`` takes the place of the keyed chunks in tests."""
     chunks = written(_chunked(rows)) if chunks is None else chunks
     keys = ["k1", "k2"]
-    again = chunks.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("__id", "__rid", "start")).alias("first")).where("n > 1").drop("n")
+    # The keys are a table of their own, so that the joins with their places can be split where a key is hot.
+    again = written(chunks.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("__id", "__rid", "start")).alias("first")).where("n > 1").drop("n"))
     places = written(chunks.join(again, keys))
     by_row = places.groupBy("__rid").agg(F.collect_set(F.struct("start", "len", *keys)).alias("p"))
     texts = rows.select("__rid", "__text").join(by_row, "__rid").select("p", _lines("__text").alias("l"))
     texts = texts.select("l", F.explode_outer("p").alias("p"))
     passage = F.array_join(F.slice("l", F.col("p.start") + 1, F.col("p.len")), "\n")
     bytes_of = texts.select("p.k1", "p.k2", passage.alias("t")).where(F.col("t").rlike(r"\S")).distinct()
-    equal = bytes_of.groupBy(*keys).agg(F.count("*").alias("n")).where("n = 1").select(*keys)
+    equal = written(bytes_of.groupBy(*keys).agg(F.count("*").alias("n")).where("n = 1").select(*keys))
     later = F.struct("__id", "__rid", "start") != F.col("first")
     return places.where(later).join(equal, keys).select("__rid", "start", "len")
 
