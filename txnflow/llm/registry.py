@@ -79,7 +79,7 @@ c1 as (select *, n % 13 <> 0 as parsed,
        from c0),
 c2 as (select *, case when parsed then '{' || concat_ws(',', '"chars":' || chars, more) || '}' end as arguments,
               parsed and name <> 'erase' and chars is not null and n % 7 <> 0 as valid from c1),
-edge as (select a.conv_id, a.turn, b.turn as on_turn from c0 a join c0 b on a.conv_id = b.conv_id and b.turn in (a.turn - 2, a.turn - 4)),
+edge as (select a.conv_id, a.turn, b.turn as on_turn from c0 a join c0 b on a.conv_id = b.conv_id and a.conv_id % 5 = 0 and b.turn = a.turn + 2 and b.turn // 8 = a.turn // 8),
 walk as (select conv_id, turn, 0 as depth from c0 union select e.conv_id, e.turn, w.depth + 1 from walk w join edge e on e.conv_id = w.conv_id and e.on_turn = w.turn),
 lev as (select conv_id, turn, max(depth) as level from walk group by all)
 select c2.conv_id, c2.call_id, c2.turn, c2.name, cast(level as int) as level, r.text is not null as linked, c2.valid,
