@@ -80,7 +80,10 @@ def ship(spark: SparkSession) -> None:
 
 
 def struct_udf(spark: SparkSession, f: Callable[[str], tuple], schema: str):
-    """A row function of one text as a pandas UDF that returns a struct; a null text is passed as ''."""
+    """A row function of one text as a pandas UDF that returns a struct; a null text is passed as ''.
+
+    It is declared nondeterministic so that a filter on its result doesn't make Spark run it a second time.
+    """
     ship(spark)
     names = StructType.fromDDL(schema).fieldNames()
 
@@ -88,4 +91,4 @@ def struct_udf(spark: SparkSession, f: Callable[[str], tuple], schema: str):
     def run(texts: pd.Series) -> pd.DataFrame:
         return pd.DataFrame([f(t if t is not None else "") for t in texts], columns=names)
 
-    return run
+    return run.asNondeterministic()
