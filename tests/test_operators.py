@@ -1,0 +1,127 @@
+"""The decisions about edge cases, each on a few literal rows."""
+
+from datetime import date
+
+import pytest
+from pyspark.sql import functions as F
+
+from txnflow import functions as fn
+from txnflow.operators import aggregates, fx, graph, joins, predicates, quality
+from txnflow.plans import payments
+from txnflow.sources import readers, sinks
+
+TXN = "ts string, from_bank string, from_account string, to_bank string, to_account string, amount double, currency string, payment_format string, client_id string"
+
+
+def txn(spark, *rows):
+    """Rows as (ts, from, to, amount, currency, format, client); an account names its bank by its first letter."""
+    return spark.createDataFrame([(t, f"0{a[0]}", a, f"0{b[0]}", b, x, c, p, k) for t, a, b, x, c, p, k in rows], TXN)
+
+
+def values(df, expr):
+    return [r[0] for r in df.select(expr).collect()]
+
+
+def test_bank_ids(spark):
+    d = spark.createDataFrame([("0010",), ("000",), ("",), (" 07 ",), ("0A",), (None,)], "x string")
+    assert values(d, fn.normalize_bank_id("x")) == ["10", "0", "0", "7", "A", "0"]
+
+
+def test_days_and_numbers(spark):
+    d = spark.createDataFrame([("2022/9/5 0:1",), ("2022/09/06",), ("2022-09-06",), ("bad",), (None,)], "x string")
+    assert values(d, fn.to_day("x")) == [date(2022, 9, 5), date(2022, 9, 6), None, None, None]
+    n = spark.createDataFrame([("x1",), ("1,5",), ("50",), (None,)], "x string")
+    assert values(n, fn.to_number("x")) == [None, 1.5, 50.0, None]
+    assert fn.disambiguate_headers(["A", "B", "A", "A"]) == ["A", "B", "A.1", "A.2"]
+
+
+@pytest.mark.parametrize(
+    ("op", "value", "kept"),
+    [("eq", 50, ["50"]), ("neq", 50, ["x1", "1,5", None]), ("lt", 50, ["1,5"]), ("le", 50, ["1,5", "50"]), ("gt", 1, ["1,5", "50"]), ("ge", 50.0, ["50"]), ("contains", "1", ["x1", "1,5"]), ("startswith", "5", ["50"]), ("endswith", 5, ["1,5"]), ("in", ["50", "x1"], ["x1", "50"])],
+)
+def test_predicates(spark, op, value, kept):
+    d = spark.createDataFrame([("x1",), ("1,5",), ("50",), (None,)], "x string")
+    assert values(predicates.where_op(d, "x", op, value), "x") == kept
+
+
+def test_predicate_errors(spark):
+    d = spark.createDataFrame([("a", "1")], "x string, client_id string")
+    for op, v in (("like", 1), ("in", 3), ("eq", [1])):
+        with pytest.raises(ValueError):
+            predicates.where_op(d, "x", op, v)
+    with pytest.raises(ValueError):
+        predicates.reduce_columns(d, [])
+    with pytest.raises(ValueError):
+        quality.sample_exact(d, 0, ["x"])
+
+
+def test_maximum_ties_and_names(spark):
+    d = txn(spark, ("2022/09/01", "1b", "2x", 9.0, "US Dollar", "Wire", "0"), ("2022/09/01", "1a", "2x", 9.0, "US Dollar", "Wire", "0"), ("2022/09/01", "2a", "2x", 1.0, "US Dollar", "Wire", "1"))
+    accounts = spark.createDataFrame([("1", "Zeta", "0"), ("01", "Alpha", "0"), ("2", "Other", "0")], "bank_id string, bank_name string, client_id string")
+    assert sorted(map(tuple, payments.bank_max(d, accounts).collect())) == [("0", "1", "1a", "Alpha", 9.0), ("1", "2", "2a", "2", 1.0)]
+    assert [tuple(r) for r in payments.bank_max(d, accounts, how="inner").collect()] == [("0", "1", "1a", "Alpha", 9.0)]
+
+
+def test_baseline_is_strict_and_ends_on_day_14(spark):
+    u = "US Dollar"
+    d = txn(spark, ("2022/09/01", "1a", "2b", 100.0, u, "Wire", "0"), ("2022/09/14 23:59", "1a", "2b", 0.5, u, "Wire", "0"), ("2022/09/07", "1b", "2b", 1.0, u, "Wire", "0"), ("2022/09/15", "1c", "2b", 0.5, u, "Wire", "0"), ("2022/09/07", "1d", "2b", 0.1, u, "Cash", "0"))
+    assert [r.from_account for r in payments.far_below_baseline(d).collect()] == ["1a"]
+
+
+def _fan(spark, n, repeat=1):
+    return txn(spark, *[("2022/09/01", a, b, 1.0, "US Dollar", "Wire", "0") for i in range(n) for a, b in (("1s", f"2m{i}"), (f"2m{i}", "3t")) for _ in range(repeat)])
+
+
+def test_scatter_gather_needs_more_than_five(spark):
+    ends = lambda d, **o: {r.account for r in graph.scatter_gather(d, **o).collect()}
+    assert ends(_fan(spark, 5)) == ends(_fan(spark, 5, repeat=3)) == set()
+    assert ends(_fan(spark, 6)) == ends(_fan(spark, 6), prune=False) == {"1s", "3t"}
+    loop = _fan(spark, 5).union(txn(spark, ("2022/09/01", "1s", "1s", 1.0, "US Dollar", "Wire", "0"), ("2022/09/01", "1s", "3t", 1.0, "US Dollar", "Wire", "0")))
+    assert ends(loop) == {"1s", "3t"}  # a payment to oneself makes the sender an intermediary
+
+
+def test_conversion(spark):
+    rates = spark.createDataFrame([(date(2022, 9, 1), "BTC", "USD", 20000.0, "div"), (date(2022, 9, 1), "EUR", "USD", 2.0, "mul")], "day date, origin string, target string, rate double, op string")
+    rows = [("2022/09/01 10:00", 40000.0, "Bitcoin"), ("2022/09/02", 1.0, "Bitcoin"), ("2022/09/01", 3.0, "Euro"), ("2022/09/01", 1.0, "Shell"), ("2022/09/09", 7.0, "US Dollar")]
+    d = txn(spark, *[(t, "1a", "2b", x, c, "Wire", "0") for t, x, c in rows])
+    assert sorted(r.amount for r in fx.convert_currency(d, rates).collect()) == [2.0, 6.0, 7.0]
+    assert sorted((str(r.day), r.origin) for r in fx.missing_rates(d, rates).collect()) == [("2022-09-01", "Shell"), ("2022-09-02", "BTC")]
+
+
+def test_result_diff_set_and_bag(spark):
+    a, b = (spark.createDataFrame([(x,) for x in xs], "v double") for xs in ([1.0, 1.0, 2.00001, 3.0], [1.0, 2.0, 4.0]))
+    assert sorted(map(tuple, quality.result_diff(a, b, ["v"]).collect())) == [("3", "missing"), ("4", "extra")]
+    assert sorted(map(tuple, quality.result_diff(a, b, ["v"], bag=True).collect())) == [("1", "missing"), ("3", "missing"), ("4", "extra")]
+
+
+def test_aggregate_nulls_and_tag(spark):
+    d = spark.createDataFrame([("0", "a", 1.0), ("0", "a", None), ("1", "a", 5.0)], "client_id string, k string, v double")
+    assert {r.client_id: r.avg_v for r in aggregates.aggregate(d, "avg", "v", ["k"]).collect()} == {"0": 0.5, "1": 5.0}
+    assert {r.source for r in aggregates.aggregate(d, "sum", "v", tag="t").collect()} == {"t"}
+
+
+def test_names_stay_with_their_client(spark):
+    accounts = spark.createDataFrame([("1", "A", "0"), ("1", "B", "1")], "bank_id string, bank_name string, client_id string")
+    d = spark.createDataFrame([("01", "0"), ("1", "1")], "from_bank string, client_id string")
+    assert sorted((r.client_id, r.bank_name) for r in joins.add_bank_name(d, accounts).collect()) == [("0", "A"), ("1", "B")]
+
+
+def test_source_file_rows(spark, tmp_path):
+    head = "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format"
+    lines = ["2022/09/01 00:08,011,8000,03402,8002,1,US Dollar,\"1,5\",US Dollar,Wire", "2022/09/01 00:08,011,8000", "2022/09/01 00:09,1,a,2,b,1,Euro,2.5,Euro,ACH,extra,cells", "2022/09/01 00:09,1,a,2,b,1,Euro,none,Euro,ACH"]
+    (tmp_path / "t.csv").write_text("\n".join([head, *lines]) + "\n")
+    got = sorted(map(tuple, readers.read_transactions(spark, str(tmp_path / "t.csv")).collect()))
+    assert got == [("2022/09/01 00:08", "011", "8000", "03402", "8002", 1.5, "US Dollar", "Wire"), ("2022/09/01 00:09", "1", "a", "2", "b", 2.5, "Euro", "ACH")]
+
+
+def test_written_results_and_fan_out(spark, tmp_path):
+    d = txn(spark, ("2022/09/01", "1a", "2b", 1.0, "US Dollar", "Wire", "7"))
+    sinks.write_results(payments.small_payments(d), str(tmp_path), "q1")
+    assert spark.read.csv(f"{tmp_path}/results_q1/client_id=7").collect()[0][:] == ("01", "1a", "02", "2b", "1.0")
+    assert {k: v.count() for k, v in sinks.fan_out(d, {"x": lambda t: t, "y": lambda t: t.where("false")}).items()} == {"x": 1, "y": 0}
+
+
+def test_clients_with_an_end_marker(spark):
+    d = spark.createDataFrame([("0",), ("1",), ("2",)], "client_id string")
+    s = spark.createDataFrame([("0", "end"), ("1", "end"), ("1", "abort")], "client_id string, event string")
+    assert values(predicates.completed_clients(d, s), F.col("client_id")) == ["0"]
