@@ -5,7 +5,7 @@ toxic if any sentence is, so its score is one less the product of the complement
 labels in training; afterwards the sentence scores locate the offending sentences.
 
 Features are words (lower-cased runs of letters) and their first four and five letters, so that inflected forms share
-weight. The vocabulary is what tells the classes apart by document counts. Training takes at most ``SAMPLE`` labelled
+weight. A sentence without a feature of the vocabulary counts as clean, so that length alone makes no text toxic. The vocabulary is what tells the classes apart by document counts. Training takes at most ``SAMPLE`` labelled
 documents a class, those with the smallest hashes of their ids; that bound is all that is limited.
 
 Only rows with ``crc32(doc_id) mod 4 <> 2`` train, and only text is a feature. Null and empty texts have no sentence
@@ -32,7 +32,7 @@ THRESHOLD = 0.3
 #: Labelled documents of each class in training, at most.
 SAMPLE = 4_000
 #: Features in the vocabulary, at most; documents a feature must be in; its least log-odds.
-VOCABULARY, MIN_DOCS, MIN_LOG_ODDS = 4_000, 4, 1.5
+VOCABULARY, MIN_DOCS, MIN_LOG_ODDS = 4_000, 4, 2.5
 STEMS = (4, 5)
 #: Words whose weights a worker keeps at once.
 CACHE = 300_000
@@ -82,7 +82,7 @@ def vocabulary(sample: DataFrame) -> list[str]:
 
 
 def bags(sample: DataFrame, names: list[str]) -> pd.DataFrame:
-    """Per sampled document its label, its sentences without features, and the feature numbers of the others."""
+    """Per sampled document its label and the feature numbers of each sentence that has some."""
     number = {f: i for i, f in enumerate(names)}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -90,10 +90,10 @@ def bags(sample: DataFrame, names: list[str]) -> pd.DataFrame:
             rows = []
             for y, text in zip(p.y, p.text, strict=True):
                 own = [[number[f] for f in sentence_features(s) if f in number] for s in _SENTENCE.findall(text)]
-                rows.append((y, sum(not x for x in own), [x for x in own if x]))
-            yield pd.DataFrame(rows, columns=["y", "plain", "own"])
+                rows.append((y, [x for x in own if x]))
+            yield pd.DataFrame(rows, columns=["y", "own"])
 
-    return sample.select("y", "text").mapInPandas(run, "y int, plain int, own array<array<int>>").toPandas()
+    return sample.select("y", "text").mapInPandas(run, "y int, own array<array<int>>").toPandas()
 
 
 def fit(data: pd.DataFrame, n_features: int, rounds: int = 300) -> tuple[np.ndarray, float]:
@@ -105,20 +105,19 @@ def fit(data: pd.DataFrame, n_features: int, rounds: int = 300) -> tuple[np.ndar
             sentence.extend([len(doc)] * len(x))
             doc.append(d)
     doc, feature, sentence = (np.array(v, np.int64) for v in (doc, feature, sentence))
-    y, plain = data.y.to_numpy(float), data.plain.to_numpy(float)
+    y = data.y.to_numpy(float)
     theta, m, v = np.zeros(n_features + 1), np.zeros(n_features + 1), np.zeros(n_features + 1)
     theta[-1] = -6.0
     sigmoid = lambda z: 1 / (1 + np.exp(-np.clip(z, -30, 30)))
     weight = np.where(y == 1, 0.5 / max(y.sum(), 1), 0.5 / max((1 - y).sum(), 1)) * len(y)
     for step in range(1, rounds + 1):
         p = sigmoid(np.bincount(sentence, theta[feature], len(doc)) + theta[-1])
-        p0 = sigmoid(theta[-1])
-        log_none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y)) + plain * np.log1p(-p0)
+        log_none = np.bincount(doc, np.log1p(-np.minimum(p, 1 - 1e-9)), len(y))
         none = np.exp(log_none)
         # d(-log likelihood) / d(log_none): 1 for clean documents with sign -, none / (1 - none) for toxic ones.
         g = weight * np.where(y == 1, none / np.maximum(1 - none, 1e-6), -1.0) / len(y)
         per_sentence = -g[doc] * p  # d log(1 - p) / dz = -p
-        grad = np.append(np.bincount(feature, per_sentence[sentence], n_features), per_sentence.sum() - (g * plain * p0).sum())
+        grad = np.append(np.bincount(feature, per_sentence[sentence], n_features), per_sentence.sum())
         grad = grad + 1e-5 * np.append(theta[:-1], 0)
         m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
         theta = theta - 0.1 * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-9)
@@ -146,16 +145,13 @@ def _weights(items: tuple) -> _Weights:
 
 def score(text: str, weights: _Weights, bias: float, threshold: float = THRESHOLD) -> tuple:
     """The row of ``SCHEMA`` for one text."""
-    plain = math.log1p(-1 / (1 + math.exp(-bias)))
     known = {w: weights[w] for w in set(_WORD.findall(text.lower())) if weights[w]}
     if not known:
-        n = len(_SENTENCE.findall(text))
-        return -math.expm1(n * plain), n, 0, []
+        return 0.0, len(_SENTENCE.findall(text)), 0, []
     log_none, n, found = 0.0, 0, []
     for n, m in enumerate(_SENTENCE.finditer(text), 1):
         own = {f: w for word in _WORD.findall(m.group().lower()) if word in known for f, w in known[word]}
         if not own:
-            log_none += plain
             continue
         p = 1 / (1 + math.exp(-min(30.0, max(-30.0, bias + sum(own.values())))))
         log_none += math.log1p(-min(p, 1 - 1e-9))
