@@ -2,9 +2,12 @@
 
 Lines are hashed, a rolling hash runs over each pair of neighbouring line hashes, and a chunk ends after a line whose
 rolling hash is smaller than both of its neighbours'. Boundaries so depend on nearby lines alone, so they shift with
-the text, and no chunk but the last of a document has fewer than two lines. Chunks of two lines or more with a word
+the text, and no chunk but the last of a document has fewer than two lines. The two chunks at the ends of a passage
+also hold lines from outside it; so every text is cut ``CUTS`` times, each with a rolling hash of its own, and what one
+cut misses another can find. Chunks of two lines or more with a word
 whose key occurs again anywhere are compared byte by byte; where all the bytes under a key agree, its first occurrence
 (smallest doc_id, then row, then line) stays and the others are removed. A key under which different bytes meet is left alone.
+A line is only removed for one at an earlier place, so the first of equal lines always stays, whatever chunks overlap.
 
 Null texts count as empty and stay null. Rows that repeat id and text are one document and are treated alike. Rows
 without an id come first in the order of occurrences. Only DataFrame functions are used.
@@ -18,28 +21,40 @@ from pyspark.sql import functions as F
 from txnflow.llm.shared import packed, unpacked, written
 
 MIN_LINES = 2
+#: Ways in which each text is cut into chunks.
+CUTS = 3
 
 
 def _lines(text: Column | str) -> Column:
     return F.split(text, "\n", -1)
 
 
-def _chunked(rows: DataFrame) -> DataFrame:
-    """``__id, __rid, start, len, k1, k2`` of every chunk of ``MIN_LINES`` lines or more that has a word."""
+def _chunked(rows: DataFrame, cuts: int = CUTS) -> DataFrame:
+    """``__id, __rid, start, len, k1, k2`` of every chunk of ``MIN_LINES`` lines or more that has a word, once if several cuts agree."""
     lines = rows.select(F.col("__row.doc_id").alias("__id"), "__rid", F.transform(_lines("__text"), lambda x: F.xxhash64(x)).alias("h"))
-    rolled = lines.select("*", F.transform("h", lambda x, i: F.xxhash64(x, F.get("h", i - 1))).alias("r"))
 
-    def is_end(i: Column) -> Column:
-        here = F.get("r", i)
-        return (i == F.size("r") - 1) | ((i > 0) & (here < F.get("r", i - 1)) & (here < F.get("r", i + 1)))
+    def rolling(c: int) -> Column:
+        return F.transform("h", lambda x, i: F.xxhash64(F.lit(c), x, F.get("h", i - 1))).alias(f"r{c}")
 
-    ends = rolled.select("__id", "__rid", "h", F.filter(F.sequence(F.lit(0), F.size("r") - 1), is_end).alias("e"))
+    rolled = lines.select("*", *map(rolling, range(cuts)))
 
-    def chunk(end: Column, n: Column) -> Column:
-        start = F.when(n == 0, 0).otherwise(F.get("e", n - 1) + 1)
-        return F.struct(start.alias("start"), (end - start + 1).alias("len"))
+    def ends(r: str) -> Column:
+        def is_end(i: Column) -> Column:
+            here = F.get(r, i)
+            return (i == F.size(r) - 1) | ((i > 0) & (here < F.get(r, i - 1)) & (here < F.get(r, i + 1)))
 
-    spans = ends.select("__id", "__rid", "h", F.filter(F.transform("e", chunk), lambda c: c["len"] >= MIN_LINES).alias("c"))
+        return F.filter(F.sequence(F.lit(0), F.size(r) - 1), is_end)
+
+    cut = rolled.select("__id", "__rid", "h", *(ends(f"r{c}").alias(f"e{c}") for c in range(cuts)))
+
+    def chunks(e: str) -> Column:
+        def chunk(end: Column, n: Column) -> Column:
+            start = F.when(n == 0, 0).otherwise(F.get(e, n - 1) + 1)
+            return F.struct(start.alias("start"), (end - start + 1).alias("len"))
+
+        return F.filter(F.transform(e, chunk), lambda c: c["len"] >= MIN_LINES)
+
+    spans = cut.select("__id", "__rid", "h", F.array_distinct(F.concat(*(chunks(f"e{c}") for c in range(cuts)))).alias("c"))
     out = spans.select("__id", "__rid", "h", F.explode_outer("c").alias("c")).where("c is not null")
     part = F.slice("h", F.col("c.start") + 1, F.col("c.len"))
     return out.select("__id", "__rid", "c.start", "c.len", F.xxhash64(part).alias("k1"), F.xxhash64(F.lit(1), part).alias("k2"))
@@ -65,7 +80,7 @@ def repeated_chunks(rows: DataFrame, chunks: DataFrame | None = None) -> DataFra
 def _cut(rows: DataFrame) -> DataFrame:
     """Packed rows with ``__cut`` (the removed spans, or null), ``__lines`` and ``__gone`` (line numbers removed)."""
     spans = repeated_chunks(rows).groupBy("__rid").agg(F.collect_set(F.struct("start", "len")).alias("__cut"))
-    gone = F.flatten(F.transform("__cut", lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1)))
+    gone = F.array_distinct(F.flatten(F.transform("__cut", lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1))))
     return rows.join(spans, "__rid", "left").withColumn("__gone", gone)
 
 
