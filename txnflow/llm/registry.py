@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from txnflow.llm import bpe, decontaminate, html_text, licenses, line_dedup, near_dup, quality_qda, quality_rules, tool_calls, toxicity
+from txnflow.llm import bpe, decontaminate, html_text, licenses, line_dedup, near_dup, oracles, quality_qda, quality_rules, tool_calls, toxicity
 
 #: Place of the rank file and its pre-token pattern.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -68,6 +68,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 ORACLES: dict[str, str] = {
+    **oracles.ORACLES,
     "op1_tool_calls": """
 with recursive t as (select conv_id, turn, role, coalesce(text, '') as text from conversations),
 c0 as (select conv_id, turn, md5(concat(conv_id, ':', turn)) call_id, text, length(text) n,
