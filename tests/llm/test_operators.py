@@ -116,12 +116,28 @@ def test_line_dedup_keeps_first_and_all_else(spark):
     out = {r.doc_id: r for r in line_dedup.line_dedup_report(d).collect()}
     assert out[1].text == texts[0] and out[3].text == "\n".join(lines[32:40]) and out[4].text == "a\nb"
     left = out[2].text.split("\n")
-    assert [x for x in texts[1].split("\n") if not x.startswith("shared")] == [x for x in left if not x.startswith("shared")]
+    own = lambda lines: [x for x in lines if x.startswith("line")]
+    assert own(texts[1].split("\n")) == own(left)  # of shared lines a piece can stay
     assert sum(x.startswith("shared") for x in left) < 15 and out[2].n_removed_lines == len(texts[1].split("\n")) - len(left)
     kept = {r.doc_id for r in line_dedup.dedup_lines(d.union(d.where("doc_id = 1").withColumn("doc_id", F.lit(9).cast("long")))).collect()}
     assert kept == {1, 2, 3, 4, 5}  # the copy goes: nothing of it is left
 
 
+def test_line_dedup_finds_passages_inside_lines(spark):
+    """The passage starts and ends in the middle of lines; short pieces that recur by themselves stay."""
+    passage = " ".join(f"Shared {i} with a few words, and more of it {i * 37 % 101}." for i in range(8))
+    own = lambda d, n: f"document {d} says things {n} of its own. Yes. No {d} {n}"
+    texts = [f"{own(d, 1)}\n{own(d, 2)} {passage} {own(d, 3)}\n{own(d, 4)}" for d in range(6)]
+    out = {r.doc_id: r for r in line_dedup.line_dedup_report(frame(spark, *texts)).collect()}
+    assert out[1].text == texts[0] and out[1].n_removed_chunks == 0
+    for d in range(1, 6):
+        r = out[d + 1]
+        lines = r.text.split("\n")
+        assert len(lines) == 3 and r.n_removed_lines == 0 and lines[0] == own(d, 1) and lines[2] == own(d, 4)
+        assert lines[1].startswith(own(d, 2)) and lines[1].endswith(own(d, 3))
+        assert 0 < r.n_removed_chunks and lines[1].count("Shared") <= 4
+
+
 def test_line_dedup_keeps_one_of_equal_lines(spark):
     """However the chunks of the cuts overlap, every distinct line is still somewhere, and more cuts find more."""
     passages = [[f"passage {p} line {i} with words" for i in range(9)] for p in range(6)]

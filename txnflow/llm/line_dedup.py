@@ -1,13 +1,14 @@
-"""Content-defined line chunks: passages of several lines that stand in many places are kept once.
-
-Lines are hashed, a rolling hash runs over each pair of neighbouring line hashes, and a chunk ends after a line whose
-rolling hash is smaller than both of its neighbours'. Boundaries so depend on nearby lines alone, so they shift with
-the text, and no chunk but the last of a document has fewer than two lines. The two chunks at the ends of a passage
-also hold lines from outside it; so every text is cut ``CUTS`` times, each with a rolling hash of its own, and what one
-cut misses another can find. Chunks of two lines or more with a word
-whose key occurs again anywhere are compared byte by byte; where all the bytes under a key agree, its first occurrence
-(smallest doc_id, then row, then line) stays and the others are removed. A key under which different bytes meet is left alone.
-A line is only removed for one at an earlier place, so the first of equal lines always stays, whatever chunks overlap.
+"""Content-defined chunks of lines: passages that stand in many places are kept once.
+
+Shared passages often start and end in the middle of a line. So the lines chunked here are the pieces of a text: its lines,
+cut again after each closing mark or comma that a space follows. Pieces are hashed without the blanks around them, and a
+rolling hash runs over each pair of neighbouring piece hashes. Bit ``c`` of the rolling hash ends a chunk of cut ``c``, so
+boundaries depend on two pieces alone and shift with the text. The chunks at the ends of a passage also hold pieces from
+outside it; every text is cut ``CUTS`` times, and what one cut misses another can find. Chunks of ``MIN_PIECES`` pieces
+and ``MIN_CHARS`` characters or more whose key occurs again anywhere are compared byte by byte (blanks around pieces aside);
+where all the bytes under a key agree, its first occurrence (smallest doc_id, then row, then piece) stays and the others
+are removed. A key under which different bytes meet is left alone. A piece is only removed for one at an earlier
+place, so the first of equal pieces always stays, whatever chunks overlap. A line of which nothing is left goes.
 
 Null texts count as empty and stay null. Rows that repeat id and text are one document and are treated alike. Rows
 without an id come first in the order of occurrences. Only DataFrame functions are used.
@@ -18,46 +19,52 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from txnflow.llm.shared import packed, unpacked, written
+from txnflow.llm.shared import BLANKS, packed, unpacked, written
 
-MIN_LINES = 2
+#: Least size of a chunk.
+MIN_PIECES, MIN_CHARS = 2, 40
 #: Ways in which each text is cut into chunks.
-CUTS = 3
-
+CUTS = 4
+_PIECE_END = r"(?<=[.!?,;:] )"
 
-def _lines(text: Column | str) -> Column:
-    return F.split(text, "\n", -1)
 
+def _pieces(text: str) -> Column:
+    """``t`` (as it stands) and ``line`` of every piece of a text column, in order."""
+    lines = F.split(text, "\n", -1)
+    return F.flatten(F.transform(lines, lambda x, i: F.transform(F.split(x, _PIECE_END, -1), lambda t: F.struct(t.alias("t"), i.alias("line")))))
 
-def _chunked(rows: DataFrame, cuts: int = CUTS) -> DataFrame:
-    """``__id, __rid, start, len, k1, k2`` of every chunk of ``MIN_LINES`` lines or more that has a word, once if several cuts agree."""
-    lines = rows.select(F.col("__row.doc_id").alias("__id"), "__rid", F.transform(_lines("__text"), lambda x: F.xxhash64(x)).alias("h"))
 
-    def rolling(c: int) -> Column:
-        return F.transform("h", lambda x, i: F.xxhash64(F.lit(c), x, F.get("h", i - 1))).alias(f"r{c}")
+def _bare(piece: Column) -> Column:
+    return F.trim(piece["t"], F.lit(BLANKS))
 
-    rolled = lines.select("*", *map(rolling, range(cuts)))
 
-    def ends(r: str) -> Column:
-        def is_end(i: Column) -> Column:
-            here = F.get(r, i)
-            return (i == F.size(r) - 1) | ((i > 0) & (here < F.get(r, i - 1)) & (here < F.get(r, i + 1)))
+def _chunked(rows: DataFrame, cuts: int = CUTS) -> DataFrame:
+    """``__id, __rid, start, len, k1, k2`` of every chunk of the least size or more, once if several cuts agree."""
+    pieces = rows.select(F.col("__row.doc_id").alias("__id"), "__rid", F.transform(_pieces("__text"), _bare).alias("t"))
+    hashed = pieces.select("__id", "__rid", F.transform("t", lambda t: F.struct(F.xxhash64(t).alias("h"), F.length(t).alias("n"))).alias("u"))
+    rolled = hashed.select("*", F.transform("u", lambda u, i: F.xxhash64(u["h"], F.get("u", i - 1)["h"])).alias("r"))
 
-        return F.filter(F.sequence(F.lit(0), F.size(r) - 1), is_end)
+    def ends(c: int) -> Column:
+        return F.filter(F.sequence(F.lit(0), F.size("r") - 1), lambda i: (i == F.size("r") - 1) | (F.get("r", i).bitwiseAND(1 << c) != 0)).alias(f"e{c}")
 
-    cut = rolled.select("__id", "__rid", "h", *(ends(f"r{c}").alias(f"e{c}") for c in range(cuts)))
+    cut = rolled.select("__id", "__rid", "u", *map(ends, range(cuts)))
 
     def chunks(e: str) -> Column:
         def chunk(end: Column, n: Column) -> Column:
             start = F.when(n == 0, 0).otherwise(F.get(e, n - 1) + 1)
             return F.struct(start.alias("start"), (end - start + 1).alias("len"))
 
-        return F.filter(F.transform(e, chunk), lambda c: c["len"] >= MIN_LINES)
+        return F.filter(F.transform(e, chunk), lambda c: c["len"] >= MIN_PIECES)
+
+    def keyed(c: Column) -> Column:
+        part = F.slice("u", c["start"] + 1, c["len"])
+        size = F.aggregate(part, F.lit(0), lambda s, u: s + u["n"])
+        return F.struct(c["start"].alias("start"), c["len"].alias("len"), F.xxhash64(part).alias("k1"), F.xxhash64(F.lit(1), part).alias("k2"), size.alias("n"))
 
-    spans = cut.select("__id", "__rid", "h", F.array_distinct(F.concat(*(chunks(f"e{c}") for c in range(cuts)))).alias("c"))
-    out = spans.select("__id", "__rid", "h", F.explode_outer("c").alias("c")).where("c is not null")
-    part = F.slice("h", F.col("c.start") + 1, F.col("c.len"))
-    return out.select("__id", "__rid", "c.start", "c.len", F.xxhash64(part).alias("k1"), F.xxhash64(F.lit(1), part).alias("k2"))
+    spans = F.array_distinct(F.concat(*(chunks(f"e{c}") for c in range(cuts))))
+    # Keys are made before the rows are, which so hold no array.
+    out = cut.select("__id", "__rid", F.explode(F.transform(spans, keyed)).alias("c")).where(F.col("c.n") >= MIN_CHARS)
+    return out.select("__id", "__rid", "c.start", "c.len", "c.k1", "c.k2")
 
 
 def repeated_chunks(rows: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
@@ -68,39 +75,49 @@ def repeated_chunks(rows: DataFrame, chunks: DataFrame | None = None) -> DataFra
     again = written(chunks.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("__id", "__rid", "start")).alias("first")).where("n > 1").drop("n"))
     places = written(chunks.join(again, keys))
     by_row = places.groupBy("__rid").agg(F.collect_set(F.struct("start", "len", *keys)).alias("p"))
-    texts = rows.select("__rid", "__text").join(by_row, "__rid").select("p", _lines("__text").alias("l"))
-    texts = texts.select("l", F.explode_outer("p").alias("p"))
-    passage = F.array_join(F.slice("l", F.col("p.start") + 1, F.col("p.len")), "\n")
-    bytes_of = texts.select("p.k1", "p.k2", passage.alias("t")).where(F.col("t").rlike(r"\S")).distinct()
+    texts = rows.select("__rid", "__text").join(by_row, "__rid").select("p", F.transform(_pieces("__text"), _bare).alias("l"))
+
+    def passage(p: Column) -> Column:
+        # Two uses of the pieces: Spark moves what is used once into the function, and would cut the text for every chunk.
+        part = F.slice("l", p["start"] + 1, F.least(p["len"], F.size("l")))
+        return F.struct(p["k1"].alias("k1"), p["k2"].alias("k2"), F.array_join(part, "\n").alias("t"))
+
+    bytes_of = texts.select(F.explode(F.transform("p", passage)).alias("p")).select("p.*").where(F.col("t").rlike(r"\S")).distinct()
     equal = written(bytes_of.groupBy(*keys).agg(F.count("*").alias("n")).where("n = 1").select(*keys))
     later = F.struct("__id", "__rid", "start") != F.col("first")
     return places.where(later).join(equal, keys).select("__rid", "start", "len")
 
 
 def _cut(rows: DataFrame) -> DataFrame:
-    """Packed rows with ``__cut`` (the removed spans, or null), ``__lines`` and ``__gone`` (line numbers removed)."""
-    spans = repeated_chunks(rows).groupBy("__rid").agg(F.collect_set(F.struct("start", "len")).alias("__cut"))
-    gone = F.array_distinct(F.flatten(F.transform("__cut", lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1))))
-    return rows.join(spans, "__rid", "left").withColumn("__gone", gone)
+    """Packed rows with ``__cut`` (the number of removed chunks, or null), ``__left`` (the text left) and ``__lines`` (lines that went)."""
+    spans = repeated_chunks(rows).groupBy("__rid").agg(F.collect_set(F.struct("start", "len")).alias("cut"))
+    gone = F.array_distinct(F.flatten(F.transform("cut", lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1))))
+    joined = rows.join(spans.select("__rid", F.size("cut").alias("__cut"), gone.alias("__gone")), "__rid", "left")
+    uncut = F.col("__gone").isNull()
+    out = joined.withColumn("__p", F.when(~uncut, _pieces("__text")))
+    out = out.withColumn("__k", F.array_except(F.sequence(F.lit(0), F.size("__p") - 1), "__gone"))
 
+    def piece(k: Column, m: Column) -> Column:
+        line = F.get("__p", k)["line"]
+        new = (m > 0) & (line != F.get("__p", F.get("__k", m - 1))["line"])
+        return F.concat(F.when(new, "\n").otherwise(""), F.get("__p", k)["t"])
 
-def _rest() -> Column:
-    kept = F.filter(_lines("__text"), lambda _, i: ~F.array_contains("__gone", i))
-    return F.when(F.col("__gone").isNull(), F.col("__row.text")).otherwise(F.array_join(kept, "\n"))
+    went = F.get("__p", F.size("__p") - 1)["line"] + 1 - F.size(F.array_distinct(F.transform("__k", lambda k: F.get("__p", k)["line"])))
+    left = F.when(uncut, F.col("__row.text")).otherwise(F.array_join(F.transform("__k", piece), ""))
+    return out.withColumns({"__left": left, "__lines": F.when(uncut, 0).otherwise(went)}).drop("__p", "__k", "__gone")
 
 
 def line_dedup_report(docs: DataFrame) -> DataFrame:
-    """Per document the text that is left and how many chunks and lines were removed."""
-    out = _cut(packed(docs))
-    return out.select(
+    """Per document the text that is left and how many chunks and whole lines were removed."""
+    return _cut(packed(docs)).select(
         F.col("__row.doc_id").alias("doc_id"),
-        _rest().alias("text"),
-        F.when(F.col("__cut").isNull(), 0).otherwise(F.size("__cut")).alias("n_removed_chunks"),
-        F.when(F.col("__gone").isNull(), 0).otherwise(F.size("__gone")).alias("n_removed_lines"),
+        F.col("__left").alias("text"),
+        F.coalesce("__cut", F.lit(0)).alias("n_removed_chunks"),
+        F.col("__lines").alias("n_removed_lines"),
     )
 
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated passages; a document of which only blanks are left after a removal goes."""
-    out = _cut(packed(docs)).withColumn("__left", _rest())
-    return unpacked(out.where(F.col("__gone").isNull() | F.col("__left").rlike(r"\S")), docs.columns, F.col("__left"))
+    out = _cut(packed(docs))
+    return unpacked(out.where(F.col("__cut").isNull() | F.col("__left").rlike(r"\S")), docs.columns, F.col("__left"))
