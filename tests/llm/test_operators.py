@@ -138,6 +138,15 @@ def test_line_dedup_finds_passages_inside_lines(spark):
         assert 0 < r.n_removed_chunks and lines[1].count("Shared") <= 4
 
 
+def test_pieces_are_counted_alike(spark, docs):
+    """The pass that hashes pieces parts a text where the pass that removes them does."""
+    odd = frame(spark, "", "\n", "a. ", "a. \n", "a. . b,, c! ? \r\n\r\n; d", " . \n .", "x.\r\ny:\n\n", ". . . ", "\u3002 \u00a0. e")
+    both = odd.select("text").union(docs.select("text").where("text is not null"))
+    gap, pieces = F.size(F.split("text", line_dedup._PIECE_GAP, -1)), F.size(line_dedup._pieces("text"))
+    assert both.where(gap != pieces).count() == 0
+    assert both.where(F.array_join(F.transform(line_dedup._pieces("text"), lambda p: p["t"]), "") != F.replace("text", F.lit("\n"), F.lit(""))).count() == 0
+
+
 def test_line_dedup_keeps_one_of_equal_lines(spark):
     """However the chunks of the cuts overlap, every distinct line is still somewhere, and more cuts find more."""
     passages = [[f"passage {p} line {i} with words" for i in range(9)] for p in range(6)]

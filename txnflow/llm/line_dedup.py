@@ -26,6 +26,8 @@ MIN_PIECES, MIN_CHARS = 2, 40
 #: Ways in which each text is cut into chunks.
 CUTS = 4
 _PIECE_END = r"(?<=[.!?,;:] )"
+#: Parts a text at the same places in one pass; pieces lose their last mark, which the comparison of bytes then sees.
+_PIECE_GAP = r"[.!?,;:] |\r?\n"
 
 
 def _pieces(text: str) -> Column:
@@ -40,31 +42,40 @@ def _bare(piece: Column) -> Column:
 
 def _chunked(rows: DataFrame, cuts: int = CUTS) -> DataFrame:
     """``__id, __rid, start, len, k1, k2`` of every chunk of the least size or more, once if several cuts agree."""
-    pieces = rows.select(F.col("__row.doc_id").alias("__id"), "__rid", F.transform(_pieces("__text"), _bare).alias("t"))
-    hashed = pieces.select("__id", "__rid", F.transform("t", lambda t: F.struct(F.xxhash64(t).alias("h"), F.length(t).alias("n"))).alias("u"))
-    rolled = hashed.select("*", F.transform("u", lambda u, i: F.xxhash64(u["h"], F.get("u", i - 1)["h"])).alias("r"))
+    pieces = rows.select(F.col("__row.doc_id").alias("__id"), "__rid", F.split("__text", _PIECE_GAP, -1).alias("t"))
+    hashed = pieces.select("__id", "__rid", F.transform("t", lambda t: F.xxhash64(F.trim(t))).alias("h"), F.transform("t", F.length).alias("n"))
+    rolled = hashed.select("*", F.transform("h", lambda h, i: F.xxhash64(h, F.get("h", i - 1))).alias("r"))
 
     def ends(c: int) -> Column:
         return F.filter(F.sequence(F.lit(0), F.size("r") - 1), lambda i: (i == F.size("r") - 1) | (F.get("r", i).bitwiseAND(1 << c) != 0)).alias(f"e{c}")
 
-    cut = rolled.select("__id", "__rid", "u", *map(ends, range(cuts)))
+    cut = rolled.select("__id", "__rid", "h", "n", *map(ends, range(cuts)))
+
+    # A chunk is one number, its start above its size: Spark compares structs pair by pair to find the distinct ones.
+    def begin(c: Column) -> Column:
+        return F.shiftright(c, 32).cast("int")
+
+    def size(c: Column) -> Column:
+        return c.bitwiseAND((1 << 32) - 1).cast("int")
 
     def chunks(e: str) -> Column:
         def chunk(end: Column, n: Column) -> Column:
             start = F.when(n == 0, 0).otherwise(F.get(e, n - 1) + 1)
-            return F.struct(start.alias("start"), (end - start + 1).alias("len"))
+            return F.shiftleft(start.cast("long"), 32) + (end - start + 1)
 
-        return F.filter(F.transform(e, chunk), lambda c: c["len"] >= MIN_PIECES)
+        return F.filter(F.transform(e, chunk), lambda c: size(c) >= MIN_PIECES)
 
     def keyed(c: Column) -> Column:
-        part = F.slice("u", c["start"] + 1, c["len"])
-        size = F.aggregate(part, F.lit(0), lambda s, u: s + u["n"])
-        return F.struct(c["start"].alias("start"), c["len"].alias("len"), F.xxhash64(part).alias("k1"), F.xxhash64(F.lit(1), part).alias("k2"), size.alias("n"))
+        part = F.slice("h", begin(c) + 1, size(c))
+        return F.struct(begin(c).alias("start"), size(c).alias("len"), F.xxhash64(part).alias("k1"), F.xxhash64(F.lit(1), part).alias("k2"))
+
+    def long_enough(c: Column) -> Column:
+        return F.aggregate(F.slice("n", begin(c) + 1, size(c)), F.lit(0), lambda s, n: s + n) >= MIN_CHARS
 
     spans = F.array_distinct(F.concat(*(chunks(f"e{c}") for c in range(cuts))))
     # Keys are made before the rows are, which so hold no array.
-    out = cut.select("__id", "__rid", F.explode(F.transform(spans, keyed)).alias("c")).where(F.col("c.n") >= MIN_CHARS)
-    return out.select("__id", "__rid", "c.start", "c.len", "c.k1", "c.k2")
+    out = cut.select("__id", "__rid", F.explode(F.transform(F.filter(spans, long_enough), keyed)).alias("c"))
+    return out.select("__id", "__rid", "c.*")
 
 
 def repeated_chunks(rows: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
