@@ -3,6 +3,7 @@
 import base64
 import collections
 import hashlib
+import random
 import re
 import struct
 
@@ -106,6 +107,33 @@ def test_tool_calls_cases(spark):
     assert tool_calls.link_tool_calls(calls.where("false"), results, schemas).count() == 0
 
 
+@pytest.mark.parametrize("size", [4, 256])
+def test_tool_call_levels_by_brute_force(spark, monkeypatch, size):
+    """Levels follow the dependencies alone, whatever the order of turns and the size of blocks."""
+    monkeypatch.setattr(tool_calls, "BLOCK_CALLS", size)
+    rng, rows, expected = random.Random(3), [], {}
+    for conv in range(8):
+        n = 30 + conv
+        on = {i: sorted({j for j in (i - 1, i - 2, rng.randrange(n)) if 0 <= j < i}) for i in range(n)}
+        if conv == 7:
+            on[3] = [5]  # a cycle: 3, 4 and 5 and all behind them
+        turns = list(range(n)) if conv < 3 else list(range(n, 0, -1)) if conv < 5 else rng.sample(range(n), n)
+        level = {}
+        for i in range(n) if conv != 7 else range(3):
+            level[i] = 1 + max((level[j] for j in on[i]), default=-1)
+        expected |= {(conv, f"c{i}"): level.get(i) for i in range(n)}
+        rows += [(conv, f"c{i}", turns[i], "lookup", "{}", [f"c{j}" for j in on[i]]) for i in range(n)]
+    calls = spark.createDataFrame(rows, "conv_id long, call_id string, turn long, name string, arguments string, depends_on array<string>")
+    assert {(r.conv_id, r.call_id): r.level for r in tool_calls.levels(calls).collect()} == expected
+
+
+def test_tool_call_chains_span_the_conversation(spark):
+    """A call of the conversations table depends on the two before it, so its level is its place in a whole conversation."""
+    talk = spark.createDataFrame([(c, t, "assistant" if t % 2 else "user", f"turn {t}") for c in (4, 5) for t in range(60)], "conv_id long, turn long, role string, text string")
+    calls, results = tool_calls.calls_of_conversations(talk)
+    schemas = spark.createDataFrame(tool_calls.TOOLS, "name string, arg string, type string, required boolean")
+    out = tool_calls.link_tool_calls(calls, results, schemas).collect()
+    assert len(out) == 60 and all(r.level == r.turn // 2 and f'"level":{r.level},' in r.json for r in out)
 
 
 def test_line_dedup_keeps_first_and_all_else(spark):

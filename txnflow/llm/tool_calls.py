@@ -7,10 +7,11 @@ Inputs, all as tables:
 * results: ``conv_id, call_id, content``,
 * schemas: ``name, arg, type, required``; types are ``integer number string boolean array object``.
 
-``(level, turn, call_id)`` orders a conversation topologically. Where every call comes after those it depends on, by
-turn and id, that order stands and all levels are 0. In the other conversations a call's level is one more than the
-highest it depends on; levels are found in rounds, one a level, each over the calls still open. Calls on a cycle or
-behind one have no level. Dependencies on calls that don't exist are ignored. No conversation is gathered into one task.
+``level`` is 0 for calls without dependencies and else one more than the highest level they depend on, so ``(level,
+turn, call_id)`` orders a conversation topologically. Calls on a cycle or behind one have no level. Dependencies on calls
+that don't exist are ignored. Levels are found in blocks of at most ``BLOCK_CALLS`` calls in order of turn, each swept
+forward and backward in one step; rounds are needed only where dependencies lead from block to block or alternate between
+the directions. No conversation is gathered into one array.
 
 ``valid`` asks for a JSON object, a known tool, every required argument, no unknown argument and matching types; a JSON
 null counts as an argument that is absent. Canonical JSON has its keys in order, no blanks, and null where something is missing.
@@ -23,13 +24,18 @@ a bounded table, at most ``MAX_SCHEMA`` rows, which is checked before they are b
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from txnflow.llm.shared import written
 
 KEY = ["conv_id", "call_id"]
 MAX_SCHEMA = 10_000
+#: Calls of a conversation whose levels are found in one step, at most.
+BLOCK_CALLS = 256
 
 
 def _single(calls: DataFrame) -> DataFrame:
@@ -38,30 +44,58 @@ def _single(calls: DataFrame) -> DataFrame:
     return c.groupBy(*KEY).agg(F.min(F.struct("turn", "name", "arguments", "depends_on")).alias("c")).select(*KEY, "c.*")
 
 
-def levels(calls: DataFrame) -> DataFrame:
-    """``conv_id, call_id, level`` of the calls of tangled conversations that are on no cycle and behind none.
+def _swept(level: Column, order: Column) -> Column:
+    """Levels by place after one walk over the places of a block in ``order``; each sees those found before it."""
 
-    A conversation is tangled if a call depends on one that doesn't come before it by turn and id; the others are in
-    order as they are.
-    """
-    at = F.struct("turn", "call_id")
-    keys = calls.select(*KEY, at.alias("at"))
-    edges = calls.select(*KEY, at.alias("at"), F.explode("depends_on").alias("on")).where("on is not null").distinct()
-    edges = written(edges.join(keys.select("conv_id", F.col("call_id").alias("on"), F.col("at").alias("on_at")), ["conv_id", "on"]))
-    tangled = written(edges.where("on_at >= at").select("conv_id").distinct())
-    waiting = written(edges.select(*KEY, "on").join(tangled, "conv_id", "left_semi"))
-    keys = keys.select(*KEY).join(tangled, "conv_id", "left_semi")
-    done = frontier = written(keys.join(waiting.select(*KEY).distinct(), KEY, "left_anti").withColumn("level", F.lit(0)))
-    level = 0
-    while not (waiting.isEmpty() or frontier.isEmpty()):
-        level += 1
-        met = frontier.select("conv_id", F.col("call_id").alias("on"))
-        left = written(waiting.join(met, ["conv_id", "on"], "left_anti"))
-        frontier = waiting.select(*KEY).distinct().join(left.select(*KEY).distinct(), KEY, "left_anti")
-        frontier = written(frontier.withColumn("level", F.lit(level)))
-        done, waiting = done.union(frontier), left
-    stuck = waiting.select(*KEY).distinct().withColumn("level", F.lit(None).cast("int"))
-    return done.unionByName(stuck).withColumn("tangled", F.lit(True))
+    def found(acc: Column, i: Column) -> Column:
+        on = F.transform(F.get("ins", i), lambda j: F.get(acc, j))
+        ready = (F.get("outs", i) == 0) & ~F.exists(on, lambda x: x.isNull())
+        return F.when(ready, F.greatest(F.get("low", i), F.coalesce(F.array_max(on), F.lit(-1)) + 1))
+
+    def step(acc: Column, i: Column) -> Column:
+        put = F.concat(F.slice(acc, 1, i), F.array(found(acc, i)), F.slice(acc, i + 2, F.size(acc)))
+        return F.when(F.get(acc, i).isNotNull(), acc).otherwise(put)
+
+    return F.aggregate(order, level, step)
+
+
+def levels(calls: DataFrame) -> DataFrame:
+    """``conv_id, call_id, level`` of all calls; null for those on a cycle or behind one."""
+    place = F.row_number().over(Window.partitionBy("conv_id").orderBy("turn", "call_id")) - 1
+    keys = calls.select(*KEY, "depends_on", place.alias("p"))
+    keys = written(keys.select(*KEY, "depends_on", F.floor(F.col("p") / BLOCK_CALLS).cast("int").alias("block"), (F.col("p") % BLOCK_CALLS).alias("i")))
+    at = ["conv_id", "block", "i"]
+    edges = keys.select(*at, F.explode("depends_on").alias("on")).where("on is not null").distinct()
+    edges = written(edges.join(keys.select("conv_id", F.col("call_id").alias("on"), F.col("block").alias("on_block"), F.col("i").alias("on_i")), ["conv_id", "on"]).drop("on"))
+    inside = F.col("block") == F.col("on_block")
+    needs = edges.groupBy(*at).agg(F.collect_list(F.when(inside, F.col("on_i"))).alias("ins"), F.count_if(~inside).cast("int").alias("outs"))
+    own = F.struct("i", "call_id", F.coalesce("ins", F.array().cast("array<int>")).alias("ins"), F.coalesce("outs", F.lit(0)).alias("outs"))
+    blocks = keys.join(needs, at, "left").groupBy("conv_id", "block").agg(F.sort_array(F.collect_list(own)).alias("c"))
+    parts = [F.col(f"c.{x}").alias(x) for x in ("call_id", "ins", "outs")]
+    waiting = blocks.select("conv_id", "block", *parts, F.transform("c", lambda _: F.lit(0)).alias("low"), F.transform("c", lambda _: F.lit(None).cast("int")).alias("level"))
+    columns = waiting.columns
+    between = edges.where(~inside)
+    linked, closed = not between.isEmpty(), []
+    unknown = F.exists("level", lambda x: x.isNull())
+    while True:
+        forward = F.sequence(F.lit(0), F.size("level") - 1)
+        swept = waiting.withColumn("was", F.col("level")).withColumn("level", _swept(F.col("level"), forward))
+        swept = written(swept.withColumn("level", F.when(unknown, _swept(F.col("level"), F.reverse(forward))).otherwise(F.col("level"))))
+        left = swept.where(unknown)
+        if left.isEmpty() or swept.where("not (level <=> was)").isEmpty():
+            closed.append(swept)
+            break
+        closed.append(swept.where(~unknown))
+        waiting = left.select(*columns)
+        if linked:
+            new = swept.select("conv_id", F.col("block").alias("on_block"), "was", F.posexplode("level").alias("on_i", "x")).where(F.col("x").isNotNull() & F.get("was", F.col("on_i")).isNull())
+            met = between.join(new.drop("was"), ["conv_id", "on_block", "on_i"]).groupBy(*at).agg(F.count("*").cast("int").alias("n"), (F.max("x") + 1).alias("up"))
+            met = met.groupBy("conv_id", "block").agg(F.map_from_entries(F.collect_list(F.struct("i", F.struct("n", "up")))).alias("met"))
+            outs = F.transform("outs", lambda n, i: n - F.coalesce(F.col("met")[i]["n"], F.lit(0)))
+            low = F.transform("low", lambda n, i: F.greatest(n, F.coalesce(F.col("met")[i]["up"], F.lit(0))))
+            waiting = waiting.join(met, ["conv_id", "block"], "left").withColumns({"outs": outs, "low": low}).select(*columns)
+    done = functools.reduce(DataFrame.unionAll, closed)
+    return done.select("conv_id", F.explode(F.arrays_zip("call_id", "level")).alias("c")).select("conv_id", "c.*")
 
 
 def _argument_type(value: str) -> Column:
@@ -96,7 +130,7 @@ def link_tool_calls(calls: DataFrame, results: DataFrame, schemas: DataFrame) ->
     calls = written(_single(calls))
     answer = results.where("conv_id is not null and call_id is not null").groupBy(*KEY).agg(F.min("content").alias("content"), F.lit(True).alias("linked"))
     out = calls.join(answer, KEY, "left").join(levels(calls), KEY, "left").join(validated(calls, schemas), KEY, "left")
-    out = out.withColumns({"linked": F.coalesce("linked", F.lit(False)), "valid": F.coalesce("ok", F.lit(False)), "v": F.try_parse_json("arguments"), "level": F.when(F.col("tangled"), F.col("level")).otherwise(0)})
+    out = out.withColumns({"linked": F.coalesce("linked", F.lit(False)), "valid": F.coalesce("ok", F.lit(False)), "v": F.try_parse_json("arguments")})
     body = F.struct(
         F.col("v").alias("arguments"), F.col("call_id"), F.col("level"), F.col("name"), F.col("content").alias("result"), F.col("valid"),
     )
@@ -118,8 +152,7 @@ def calls_of_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFra
     """The conversations table read as tool traffic: an assistant's turn is a call, the turn after it is its result.
 
     A call's id is the digest of conversation and turn, the tool follows from the turn, and its arguments from the text.
-    Within four calls in a row, each depends on the one or two before it; in every fifth conversation it depends on
-    the one after it. Some calls leave out or mistype an argument, as traffic does.
+    It depends on the calls two and four turns earlier. Some calls leave out or mistype an argument, as traffic does.
     """
     t = conversations.select("conv_id", "turn", "role", F.coalesce("text", F.lit("")).alias("text"))
     call_id = lambda turn: F.md5(F.concat_ws(":", "conv_id", turn))
@@ -131,8 +164,7 @@ def calls_of_conversations(conversations: DataFrame) -> tuple[DataFrame, DataFra
     join = lambda a, b: F.when(a == "{}", b).when(b == "{}", a).otherwise(F.concat(F.expr("substring(__m, 1, length(__m) - 1)"), F.lit(", "), F.expr("substring(__c, 2)")))
     calls = t.where("role = 'assistant'").select("conv_id", call_id(F.col("turn")).alias("call_id"), "turn", name.alias("name"), "text", chars.alias("__c"))
     calls = calls.withColumn("__m", more).withColumn("arguments", F.when(F.length("text") % 13 == 0, "{broken").otherwise(join(F.col("__m"), F.col("__c"))))
-    near = lambda d: F.when(F.floor((F.col("turn") + d) / 8) == F.floor(F.col("turn") / 8), call_id(F.col("turn") + d))
-    on = F.when(F.col("conv_id") % 5 == 0, F.array(near(2))).otherwise(F.array(near(-2), near(-4)))
+    on = F.array(call_id(F.col("turn") - 2), call_id(F.col("turn") - 4))
     calls = calls.select("conv_id", "call_id", "turn", "name", "arguments", on.alias("depends_on"))
     results = t.select("conv_id", call_id(F.col("turn") - 1).alias("call_id"), F.col("text").alias("content"))
     return calls, results
