@@ -321,6 +321,33 @@ def test_license_rules_and_suppression(spark):
     assert len(licenses.rules()) > 300 and [r[0] for r in licenses.rules()] == list(range(len(licenses.rules())))
 
 
+def _readings(pattern):
+    """Texts a pattern of the license table matches: every alternative, optional parts with and without."""
+    if m := re.search(r"\(\?:([^()]*)\)(\??)", pattern):
+        return [t for part in [*m[1].split("|"), *[""] * bool(m[2])] for t in _readings(pattern[: m.start()] + part + pattern[m.end() :])]
+    if m := re.search(r"(?:\[(.)[^]]*\]|(?<!\\)([^\\]))\?", pattern):
+        return [t for part in (m[1] or m[2], "") for t in _readings(pattern[: m.start()] + part + pattern[m.end() :])]
+    return [re.sub(r"\\(.)", r"\1", re.sub(r"\[(.)[^]]*\]", r"\1", pattern))]
+
+
+def test_license_gates_pass_every_alternative(spark):
+    table = [line.split(" :: ") for line in licenses.LICENSES.strip().splitlines()]
+    tags = [(f[0], t) for f in table for t in _readings(f[-3])]
+    names = [(f[0], t) for f in table for n in f[-2].split(";") for t in _readings(n)]
+    texts = [f"SPDX-License-Identifier: {t.upper()}" for _, t in tags] + [f"Here is {t.upper()} license." for _, t in tags] + [f"see https://{f[-1]}" for f in table]
+    texts += [x for _, t in names for x in (f"Released under the {t.title()}.", f"the {t} licence", f"the {t.replace(' ', chr(10))} License, version 2.0")]
+    rows = licenses.packed(frame(spark, *texts, "licensed under the GNU GPL", "nothing released under any"))
+    gated, every = ({tuple(r) for r in licenses.detections(rows, spark, gated).collect()} for gated in (True, False))
+    assert gated == every
+    found = collections.defaultdict(set)
+    for r in gated:
+        found[r[0]].add(r[2])
+    text_of = {r["__rid"]: r["__text"] for r in rows.collect()}
+    assert {t for i, t in text_of.items() if not found[i]} == {"nothing released under any"}
+    labels = {text_of[i]: x for i, x in found.items()}
+    assert labels["licensed under the GNU GPL"] == {"gpl"} and labels["Here is MPL-1.0 license."] == {"mpl"} and labels["the wtfpl licence"] == {"wtfpl"}
+
+
 def test_quality_counts_by_brute_force(docs, rows):
     got = {r.doc_id: r for r in quality_rules.quality_report(docs).collect()}
     for r in rows:

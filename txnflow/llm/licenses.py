@@ -1,9 +1,10 @@
 """License scan by ordered signature rules.
 
 Rules are regular expressions built from a table of licenses and a list of forms (tag, address, statement, title,
-short name), so their order is a priority: an earlier form is more certain. Only texts with one of a few stems are
-looked at further, and there only the rules whose keyword the text contains. Of overlapping detections those that lie
-within another one are dropped, the same interval staying with the rule of highest priority; what is left names the labels.
+short name), so their order is a priority: an earlier form is more certain. A rule runs only on texts that contain what its
+form asks for and one of its gates. Both are parts of the pattern itself, so every match contains them. Of overlapping
+detections those that lie within another one are dropped, the same interval staying with the rule of highest priority; what is
+left names the labels.
 
 Besides, the base phrases are counted over all texts: places where the words of a phrase stand consecutively. Words are
 runs of ASCII letters and digits and non-ASCII characters, compared with A-Z as a-z.
@@ -14,6 +15,8 @@ functions are used.
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -26,102 +29,120 @@ _GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 # The base phrases and their labels.
 BASE = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 
-#: Parts of words without one of which a text has no detection.
-STEMS = ("licen", "copyright", "public domain", "creative commons", "creativecommons", "spdx")
-
-# label :: keyword :: tag :: names (patterns without the word license, by semicolons) :: address
+# label :: tag :: names (patterns without the word license, by semicolons) :: address
 LICENSES = """
-mit :: mit :: mit :: mit;mit/x11;expat :: opensource.org/licenses/mit
-apache :: apache :: apache-[12]\\.[01] :: apache(?: software)? :: apache.org/licenses
-gpl :: general public :: gpl-[123]\\.0(?:-only|-or-later|\\+)? :: (?:gnu )?general public;gnu gpl :: gnu.org/licenses/gpl
-lgpl :: lesser general :: lgpl-[23]\\.[01](?:-only|-or-later|\\+)? :: (?:gnu )?lesser general public;gnu lgpl :: gnu.org/licenses/lgpl
-agpl :: affero :: agpl-3\\.0(?:-only|-or-later|\\+)? :: (?:gnu )?affero general public;gnu agpl :: gnu.org/licenses/agpl
-gfdl :: free documentation :: gfdl-1\\.[123](?:-only|-or-later)? :: (?:gnu )?free documentation :: gnu.org/licenses/fdl
-bsd :: bsd :: bsd-[234]-clause :: (?:(?:new|modified|simplified|[234]-clause) )?bsd(?: [234]-clause)? :: opensource.org/licenses/bsd
-0bsd :: 0bsd :: 0bsd :: zero-clause bsd;0bsd :: opensource.org/licenses/0bsd
-isc :: isc :: isc :: isc :: opensource.org/licenses/isc
-mpl :: mozilla :: mpl-[12]\\.[01] :: mozilla public :: mozilla.org/mpl
-epl :: eclipse :: epl-[12]\\.0 :: eclipse public :: eclipse.org/legal/epl
-edl :: eclipse distribution :: edl-1\\.0 :: eclipse distribution :: eclipse.org/org/documents/edl
-cddl :: development and distribution :: cddl-1\\.[01] :: common development and distribution :: opensource.org/licenses/cddl
-cpl :: common public :: cpl-1\\.0 :: common public :: opensource.org/licenses/cpl
-cpal :: common public attribution :: cpal-1\\.0 :: common public attribution :: opensource.org/licenses/cpal
-cc-by :: by :: cc-by-[1234]\\.[05] :: cc by;creative commons attribution :: creativecommons.org/licenses/by/
-cc-by-sa :: by-sa :: cc-by-sa-[1234]\\.[05] :: cc by-sa;creative commons attribution-sharealike :: creativecommons.org/licenses/by-sa
-cc-by-nc :: by-nc :: cc-by-nc-[1234]\\.[05] :: cc by-nc;creative commons attribution-noncommercial :: creativecommons.org/licenses/by-nc/
-cc-by-nd :: by-nd :: cc-by-nd-[1234]\\.[05] :: cc by-nd;creative commons attribution-noderiv(?:ative)?s :: creativecommons.org/licenses/by-nd
-cc-by-nc-sa :: by-nc-sa :: cc-by-nc-sa-[1234]\\.[05] :: cc by-nc-sa;creative commons attribution-noncommercial-sharealike :: creativecommons.org/licenses/by-nc-sa
-cc-by-nc-nd :: by-nc-nd :: cc-by-nc-nd-[1234]\\.[05] :: cc by-nc-nd;creative commons attribution-noncommercial-noderiv(?:ative)?s :: creativecommons.org/licenses/by-nc-nd
-cc0 :: cc0 :: cc0-1\\.0 :: cc0;creative commons zero :: creativecommons.org/publicdomain/zero
-public-domain :: public domain :: publicdomain :: public domain :: creativecommons.org/publicdomain/mark
-unlicense :: unlicense :: unlicense :: the unlicense :: unlicense.org
-wtfpl :: what the fuck :: wtfpl :: do what the fuck you want to public;wtfpl :: wtfpl.net
-zlib :: zlib :: zlib :: zlib(?:/libpng)? :: zlib.net/zlib_license
-libpng :: libpng :: libpng(?:-2\\.0)? :: libpng :: libpng.org/pub/png/src/libpng-license
-bsl :: boost :: bsl-1\\.0 :: boost software :: boost.org/license_1_0
-bus :: business source :: busl-1\\.1 :: business source :: mariadb.com/bsl11
-sspl :: server side public :: sspl-1\\.0 :: server side public :: mongodb.com/licensing/server-side-public-license
-elastic :: elastic :: elastic-2\\.0 :: elastic :: elastic.co/licensing
-artistic :: artistic :: artistic-[12]\\.0(?:-perl)? :: artistic :: opensource.org/licenses/artistic
-psf :: python :: psf-2\\.0 :: python software foundation :: docs.python.org/3/license
-python :: python :: python-2\\.0(?:\\.1)? :: python :: opensource.org/licenses/python
-php :: php :: php-3\\.0[01]? :: php :: php.net/license
-ruby :: ruby :: ruby :: ruby :: ruby-lang.org/en/about/license
-tcl :: tcl :: tcl :: tcl/tk :: tcl.tk/software/tcltk/license
-postgresql :: postgresql :: postgresql :: postgresql :: opensource.org/licenses/postgresql
-openssl :: openssl :: openssl :: openssl :: openssl.org/source/license
-curl :: curl :: curl :: curl :: curl.se/docs/copyright
-x11 :: x11 :: x11 :: x11;x consortium :: x.org/licenses
-ncsa :: illinois :: ncsa :: university of illinois/ncsa open source :: opensource.org/licenses/ncsa
-upl :: universal permissive :: upl-1\\.0 :: universal permissive :: opensource.org/licenses/upl
-afl :: academic free :: afl-[123]\\.[01] :: academic free :: opensource.org/licenses/afl
-osl :: open software :: osl-[123]\\.[01] :: open software :: opensource.org/licenses/osl
-eupl :: european union public :: eupl-1\\.[012] :: european union public :: joinup.ec.europa.eu/software/page/eupl
-ecl :: educational community :: ecl-[12]\\.0 :: educational community :: opensource.org/licenses/ecl
-mspl :: microsoft public :: ms-pl :: microsoft public :: opensource.org/licenses/ms-pl
-msrl :: microsoft reciprocal :: ms-rl :: microsoft reciprocal :: opensource.org/licenses/ms-rl
-ofl :: open font :: ofl-1\\.[01] :: (?:sil )?open font :: scripts.sil.org/ofl
-odbl :: open database :: odbl-1\\.0 :: open database :: opendatacommons.org/licenses/odbl
-odc-by :: data commons attribution :: odc-by-1\\.0 :: open data commons attribution :: opendatacommons.org/licenses/by
-pddl :: public domain dedication :: pddl-1\\.0 :: public domain dedication and :: opendatacommons.org/licenses/pddl
-cecill :: cecill :: cecill-(?:[12]\\.[01]|b|c) :: cecill(?:-[bc])? :: cecill.info
-latex :: latex :: lppl-1\\.[0123][ac]? :: latex project public :: latex-project.org/lppl
-mulan :: mulan :: mulanpsl-[12]\\.0 :: mulan (?:permissive software|psl) :: license.coscl.org.cn/mulanpsl
-openrail :: openrail :: (?:big(?:code|science)-)?openrail(?:-m)? :: (?:creativeml |bigscience )?open ?rail(?:-m)? :: huggingface.co/spaces/bigcode
-llama :: llama :: llama[23](?:\\.[12])? :: llama [23](?:\\.[12])? community :: ai.meta.com/llama/license
-gemma :: gemma :: gemma :: gemma terms of use :: ai.google.dev/gemma/terms
-jquery :: jquery :: jquery :: jquery :: jquery.org/license
-sleepycat :: sleepycat :: sleepycat :: sleepycat :: opensource.org/licenses/sleepycat
-qpl :: q public :: qpl-1\\.0 :: q public :: opensource.org/licenses/qpl
-ipl :: ibm public :: ipl-1\\.0 :: ibm public :: opensource.org/licenses/ipl
-apsl :: apple public source :: apsl-[12]\\.[012] :: apple public source :: opensource.apple.com/apsl
-watcom :: watcom :: watcom-1\\.0 :: (?:sybase )?open watcom public :: opensource.org/licenses/watcom
-vim :: vim :: vim :: vim :: vimhelp.org/uganda
-beerware :: beer-ware :: beerware :: the beer-ware :: people.freebsd.org/~phk
-json :: good, not evil :: json :: json :: json.org/license
-ruby-bsd :: bsdl :: bsd-2-clause-ruby :: ruby bsdl :: ruby-lang.org/en/about/license.bsdl
+mit :: mit :: mit;mit/x11;expat :: opensource.org/licenses/mit
+apache :: apache-[12]\\.[01] :: apache(?: software)? :: apache.org/licenses
+gpl :: gpl-[123]\\.0(?:-only|-or-later|\\+)? :: (?:gnu )?general public;gnu gpl :: gnu.org/licenses/gpl
+lgpl :: lgpl-[23]\\.[01](?:-only|-or-later|\\+)? :: (?:gnu )?lesser general public;gnu lgpl :: gnu.org/licenses/lgpl
+agpl :: agpl-3\\.0(?:-only|-or-later|\\+)? :: (?:gnu )?affero general public;gnu agpl :: gnu.org/licenses/agpl
+gfdl :: gfdl-1\\.[123](?:-only|-or-later)? :: (?:gnu )?free documentation :: gnu.org/licenses/fdl
+bsd :: bsd-[234]-clause :: (?:(?:new|modified|simplified|[234]-clause) )?bsd(?: [234]-clause)? :: opensource.org/licenses/bsd
+0bsd :: 0bsd :: zero-clause bsd;0bsd :: opensource.org/licenses/0bsd
+isc :: isc :: isc :: opensource.org/licenses/isc
+mpl :: mpl-[12]\\.[01] :: mozilla public :: mozilla.org/mpl
+epl :: epl-[12]\\.0 :: eclipse public :: eclipse.org/legal/epl
+edl :: edl-1\\.0 :: eclipse distribution :: eclipse.org/org/documents/edl
+cddl :: cddl-1\\.[01] :: common development and distribution :: opensource.org/licenses/cddl
+cpl :: cpl-1\\.0 :: common public :: opensource.org/licenses/cpl
+cpal :: cpal-1\\.0 :: common public attribution :: opensource.org/licenses/cpal
+cc-by :: cc-by-[1234]\\.[05] :: cc by;creative commons attribution :: creativecommons.org/licenses/by/
+cc-by-sa :: cc-by-sa-[1234]\\.[05] :: cc by-sa;creative commons attribution-sharealike :: creativecommons.org/licenses/by-sa
+cc-by-nc :: cc-by-nc-[1234]\\.[05] :: cc by-nc;creative commons attribution-noncommercial :: creativecommons.org/licenses/by-nc/
+cc-by-nd :: cc-by-nd-[1234]\\.[05] :: cc by-nd;creative commons attribution-noderiv(?:ative)?s :: creativecommons.org/licenses/by-nd
+cc-by-nc-sa :: cc-by-nc-sa-[1234]\\.[05] :: cc by-nc-sa;creative commons attribution-noncommercial-sharealike :: creativecommons.org/licenses/by-nc-sa
+cc-by-nc-nd :: cc-by-nc-nd-[1234]\\.[05] :: cc by-nc-nd;creative commons attribution-noncommercial-noderiv(?:ative)?s :: creativecommons.org/licenses/by-nc-nd
+cc0 :: cc0-1\\.0 :: cc0;creative commons zero :: creativecommons.org/publicdomain/zero
+public-domain :: publicdomain :: public domain :: creativecommons.org/publicdomain/mark
+unlicense :: unlicense :: the unlicense :: unlicense.org
+wtfpl :: wtfpl :: do what the fuck you want to public;wtfpl :: wtfpl.net
+zlib :: zlib :: zlib(?:/libpng)? :: zlib.net/zlib_license
+libpng :: libpng(?:-2\\.0)? :: libpng :: libpng.org/pub/png/src/libpng-license
+bsl :: bsl-1\\.0 :: boost software :: boost.org/license_1_0
+bus :: busl-1\\.1 :: business source :: mariadb.com/bsl11
+sspl :: sspl-1\\.0 :: server side public :: mongodb.com/licensing/server-side-public-license
+elastic :: elastic-2\\.0 :: elastic :: elastic.co/licensing
+artistic :: artistic-[12]\\.0(?:-perl)? :: artistic :: opensource.org/licenses/artistic
+psf :: psf-2\\.0 :: python software foundation :: docs.python.org/3/license
+python :: python-2\\.0(?:\\.1)? :: python :: opensource.org/licenses/python
+php :: php-3\\.0[01]? :: php :: php.net/license
+ruby :: ruby :: ruby :: ruby-lang.org/en/about/license
+tcl :: tcl :: tcl/tk :: tcl.tk/software/tcltk/license
+postgresql :: postgresql :: postgresql :: opensource.org/licenses/postgresql
+openssl :: openssl :: openssl :: openssl.org/source/license
+curl :: curl :: curl :: curl.se/docs/copyright
+x11 :: x11 :: x11;x consortium :: x.org/licenses
+ncsa :: ncsa :: university of illinois/ncsa open source :: opensource.org/licenses/ncsa
+upl :: upl-1\\.0 :: universal permissive :: opensource.org/licenses/upl
+afl :: afl-[123]\\.[01] :: academic free :: opensource.org/licenses/afl
+osl :: osl-[123]\\.[01] :: open software :: opensource.org/licenses/osl
+eupl :: eupl-1\\.[012] :: european union public :: joinup.ec.europa.eu/software/page/eupl
+ecl :: ecl-[12]\\.0 :: educational community :: opensource.org/licenses/ecl
+mspl :: ms-pl :: microsoft public :: opensource.org/licenses/ms-pl
+msrl :: ms-rl :: microsoft reciprocal :: opensource.org/licenses/ms-rl
+ofl :: ofl-1\\.[01] :: (?:sil )?open font :: scripts.sil.org/ofl
+odbl :: odbl-1\\.0 :: open database :: opendatacommons.org/licenses/odbl
+odc-by :: odc-by-1\\.0 :: open data commons attribution :: opendatacommons.org/licenses/by
+pddl :: pddl-1\\.0 :: public domain dedication and :: opendatacommons.org/licenses/pddl
+cecill :: cecill-(?:[12]\\.[01]|b|c) :: cecill(?:-[bc])? :: cecill.info
+latex :: lppl-1\\.[0123][ac]? :: latex project public :: latex-project.org/lppl
+mulan :: mulanpsl-[12]\\.0 :: mulan (?:permissive software|psl) :: license.coscl.org.cn/mulanpsl
+openrail :: (?:big(?:code|science)-)?openrail(?:-m)? :: (?:creativeml |bigscience )?open ?rail(?:-m)? :: huggingface.co/spaces/bigcode
+llama :: llama[23](?:\\.[12])? :: llama [23](?:\\.[12])? community :: ai.meta.com/llama/license
+gemma :: gemma :: gemma terms of use :: ai.google.dev/gemma/terms
+jquery :: jquery :: jquery :: jquery.org/license
+sleepycat :: sleepycat :: sleepycat :: opensource.org/licenses/sleepycat
+qpl :: qpl-1\\.0 :: q public :: opensource.org/licenses/qpl
+ipl :: ipl-1\\.0 :: ibm public :: opensource.org/licenses/ipl
+apsl :: apsl-[12]\\.[012] :: apple public source :: opensource.apple.com/apsl
+watcom :: watcom-1\\.0 :: (?:sybase )?open watcom public :: opensource.org/licenses/watcom
+vim :: vim :: vim :: vimhelp.org/uganda
+beerware :: beerware :: the beer-ware :: people.freebsd.org/~phk
+json :: json :: json :: json.org/license
+ruby-bsd :: bsd-2-clause-ruby :: ruby bsdl :: ruby-lang.org/en/about/license.bsdl
 """
 
+_STATED = r"(?:licen[cs]ed|released|distributed|available|published|covered|provided)\s+under\s"
+
 #: Forms in order of priority: name, certainty, pattern. {tag}, {name} and {address} come from the table.
 FORMS = (
     ("tag", 1.0, r"spdx-license-identifier:\s*{tag}(?![\w.-])"),
     ("address", 0.95, r"https?://(?:www\.)?{address}[\w./-]*"),
-    ("statement", 0.9, r"(?:licen[cs]ed|released|distributed|available|published|covered|provided)\s+under\s+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?{name}(?![\w-])(?:[\s-]+licen[cs]e)?(?:,?\s+(?:version\s+|v)?\d(?:\.\d)*)?"),
+    ("statement", 0.9, _STATED + r"+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?{name}(?![\w-])(?:[\s-]+licen[cs]e)?(?:,?\s+(?:version\s+|v)?\d(?:\.\d)*)?"),
     ("title", 0.7, r"(?<![\w-]){name}[\s-]+licen[cs]e(?:,?\s+(?:version\s+|v)?\d(?:\.\d)*)?"),
     ("short", 0.5, r"(?<![\w.-]){tag}(?![\w.-])(?=[^.\n]{{0,80}}licen)"),
 )
 
 
-def rules() -> list[tuple[int, str, str, str, float]]:
-    """``(priority, label, keyword, pattern, certainty)``; lower numbers win."""
+#: What every match of a form contains, as a condition on the lower-cased text.
+ASKS = {
+    "tag": lambda low: F.contains(low, F.lit("spdx-license-identifier:")),
+    "address": lambda low: F.contains(low, F.lit("http")),
+    "statement": lambda low: F.contains(low, F.lit("under")) & low.rlike(_STATED),
+    "title": lambda low: F.contains(low, F.lit("licen")),
+    "short": lambda low: F.contains(low, F.lit("licen")),
+}
+
+
+def gate(pattern: str) -> str:
+    """The longest literal, without blanks, that every match of a pattern of the table contains."""
+    pattern = re.sub(r"\\(.)", lambda m: chr(0xE000 + ord(m[1])), pattern)
+    while (less := re.sub(r"\(\?:[^()]*\)\??|\[[^]]*\]\??", " ", pattern)) != pattern:
+        pattern = less
+    plain = re.sub("[\ue000-\ue07f]", lambda m: chr(ord(m[0]) - 0xE000), re.sub(r".\?", " ", pattern))
+    return max(plain.split(), key=len)
+
+
+def rules() -> list[tuple[int, str, str, list[str], str, float]]:
+    """``(priority, label, form, gates, pattern, certainty)``; lower numbers win. Every match contains one of the gates."""
     out = []
     for form, certainty, pattern in FORMS:
         for line in LICENSES.strip().splitlines():
-            label, keyword, tag, names, address = line.split(" :: ")
-            name = "(?:" + "|".join(n.replace(" ", r"\s+") for n in names.split(";")) + ")"
+            label, tag, names, address = line.split(" :: ")
+            name = "(?:" + "|".join(n.replace(" ?", r"\s*").replace(" ", r"\s+") for n in names.split(";")) + ")"
             text = pattern.format(tag=f"(?:{tag})", name=name, address=address.replace(".", r"\."))
-            gate = {"tag": "spdx", "address": address.split("/")[0]}.get(form, keyword)
-            out.append((len(out), label, gate, f"(?i){text}", certainty))
+            gates = {"tag": [gate(tag)], "short": [gate(tag)], "address": [address]}.get(form) or sorted(map(gate, names.split(";")))
+            out.append((len(out), label, form, gates, f"(?i){text}", certainty))
     return out
 
 
@@ -149,15 +170,21 @@ def base_counts(rows: DataFrame) -> DataFrame:
     return counted.withColumns({"first_word": before("?"), "last_word": before(""), "base": F.array_compact(F.array(*found))})
 
 
-def detections(rows: DataFrame, spark: SparkSession) -> DataFrame:
-    """``__rid, priority, label, certainty, start, end`` of what is left after suppression."""
-    table = spark.createDataFrame(rules(), "priority int, label string, keyword string, pattern string, certainty double")
-    low = F.lower("__text")
-    gated = rows.select("__rid", "__text", low.alias("low")).where(" or ".join(f"contains(low, '{s}')" for s in STEMS))
-    keywords = sorted({r[2] for r in rules()})
-    present = F.filter(F.array(*map(F.lit, keywords)), lambda k: F.contains("low", k))
-    # The rule table is a constant of some 340 rows, so it is broadcast.
-    cand = gated.select("__rid", "__text", F.explode_outer(present).alias("keyword")).join(F.broadcast(table), "keyword")
+def detections(rows: DataFrame, spark: SparkSession, gated: bool = True) -> DataFrame:
+    """``__rid, priority, label, certainty, start, end`` of what is left after suppression. Tests run it without gates."""
+    table = spark.createDataFrame(rules(), "priority int, label string, form string, gates array<string>, pattern string, certainty double")
+    low = F.col("low")
+    cand = rows.select("__rid", "__text")
+    if gated:
+        forms = F.array_compact(F.array(*(F.when(asks(low), F.lit(form)) for form, asks in ASKS.items())))
+        asked = rows.select("__rid", "__text", F.lower("__text").alias("low")).withColumn("forms", forms).where(F.size("forms") > 0)
+        groups = sorted({(form, tuple(gates)) for _, _, form, gates, _, _ in rules()})
+        every = F.array(*(F.struct(F.lit(f).alias("form"), F.array(*map(F.lit, g)).alias("gates")) for f, g in groups))
+        present = F.filter(every, lambda g: F.array_contains("forms", g["form"]) & F.exists(g["gates"], lambda w: F.contains(low, w)))
+        # The rule table is a constant of some 340 rows, so it is broadcast.
+        cand = asked.select("__rid", "__text", F.explode(present).alias("g")).select("__rid", "__text", "g.*").join(F.broadcast(table), ["form", "gates"])
+    else:
+        cand = cand.crossJoin(F.broadcast(table))
     cand = cand.withColumn("m", F.regexp_extract_all("__text", F.col("pattern"), F.lit(0))).where(F.size("m") > 0)
     # Offsets of the matches: lengths of the gaps between them, which a split at the same pattern gives, and of themselves.
     cand = cand.withColumn("gap", F.split("__text", F.col("pattern"), -1))
