@@ -166,6 +166,19 @@ def test_line_dedup_finds_passages_inside_lines(spark):
         assert 0 < r.n_removed_chunks and lines[1].count("Shared") <= 4
 
 
+def test_line_dedup_leaves_short_remarks(spark):
+    """Two common clauses in a sentence are no passage; fifty words are, and so are three whole lines."""
+    own = lambda d, n: f"Document {d} has a sentence {n} of its own"
+    remark = "as far as anybody can tell from here, this is what people usually say about it, more or less, in such cases, and so on."
+    lines = "\n".join(f"Common line {i}, which has some more words in it, {i * 7} of them." for i in range(12))
+    long = " ".join(f"Long sentence {i}, with a few more words than that {i * 37 % 101}, and an end." for i in range(12))
+    texts = [f"{own(d, 1)}, {remark} {own(d, 2)}.\n{own(d, 3)}.\n{x}\n{own(d, 4)}." for d, x in enumerate(["none", "nothing", lines, lines, long, long])]
+    out = {r.doc_id: r for r in line_dedup.line_dedup_report(frame(spark, *texts)).collect()}
+    assert [out[d].text == texts[d - 1] for d in range(1, 7)] == [True, True, True, False, True, False]
+    for d in (4, 6):
+        assert remark in out[d].text and own(d - 1, 4) in out[d].text and out[d].n_removed_chunks > 0
+
+
 def test_pieces_are_counted_alike(spark, docs):
     """The pass that hashes pieces parts a text where the pass that removes them does."""
     odd = frame(spark, "", "\n", "a. ", "a. \n", "a. . b,, c! ? \r\n\r\n; d", " . \n .", "x.\r\ny:\n\n", ". . . ", "\u3002 \u00a0. e")

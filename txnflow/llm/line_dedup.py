@@ -8,7 +8,9 @@ outside it; every text is cut ``CUTS`` times, and what one cut misses another ca
 and ``MIN_CHARS`` characters or more whose key occurs again anywhere are compared byte by byte (blanks around pieces aside);
 where all the bytes under a key agree, its first occurrence (smallest doc_id, then row, then piece) stays and the others
 are removed. A key under which different bytes meet is left alone. A piece is only removed for one at an earlier
-place, so the first of equal pieces always stays, whatever chunks overlap. A line of which nothing is left goes.
+place, so the first of equal pieces always stays, whatever chunks overlap. Chunks to remove that adjoin or overlap make a run; runs
+are only removed where those at most ``MAX_GAP`` pieces apart add up to a passage, of ``MIN_WORDS`` words or ``MIN_LINES`` whole
+lines at least (what lies in the gaps doesn't count and stays); a remark of a few clauses that others also make stays. A line of which nothing is left goes.
 
 Null texts count as empty and stay null. Rows that repeat id and text are one document and are treated alike. Rows
 without an id come first in the order of occurrences. Only DataFrame functions are used.
@@ -25,6 +27,11 @@ from txnflow.llm.shared import BLANKS, packed, unpacked, written
 MIN_PIECES, MIN_CHARS = 2, 40
 #: Ways in which each text is cut into chunks.
 CUTS = 4
+#: Least size of a passage: words, or whole lines that aren't blank.
+MIN_WORDS, MIN_LINES = 50, 3
+#: Pieces between two runs of one passage, at most: chunks under the least size are never compared, so a passage has gaps.
+MAX_GAP = 4
+_WORD = r"[^\x20\x09-\x0D]+"
 _PIECE_END = r"(?<=[.!?,;:] )"
 #: Parts a text at the same places in one pass; pieces lose their last mark, which the comparison of bytes then sees.
 _PIECE_GAP = r"[.!?,;:] |\r?\n"
@@ -99,13 +106,53 @@ def repeated_chunks(rows: DataFrame, chunks: DataFrame | None = None) -> DataFra
     return places.where(later).join(equal, keys).select("__rid", "start", "len")
 
 
+def _merged(cut: Column, gap: int = 0) -> Column:
+    """Spans that overlap, adjoin or stand at most ``gap`` pieces apart as one run each: ``start`` and ``end`` (the piece after it)."""
+
+    def step(runs: Column, c: Column) -> Column:
+        last, end = F.element_at(runs, -1), c["start"] + c["len"]
+        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], end).alias("end"))
+        new = F.struct(c["start"].alias("start"), end.alias("end"))
+        joins = (F.size(runs) > 0) & (c["start"] <= last["end"] + gap)
+        return F.when(joins, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, F.array(new)))
+
+    return F.aggregate(F.array_sort(cut), F.array().cast("array<struct<start: int, end: int>>"), step)
+
+
+def _passages(rows: DataFrame) -> DataFrame:
+    """Packed rows with their pieces ``__p``, the spans ``__spans`` of repeated chunks and the passages ``__runs`` to remove."""
+    spans = repeated_chunks(rows).groupBy("__rid").agg(F.collect_set(F.struct("start", "len")).alias("__spans"))
+    joined = rows.join(spans.withColumns({"__runs": _merged(F.col("__spans")), "__near": _merged(F.col("__spans"), MAX_GAP)}), "__rid", "left")
+    pieces = joined.withColumn("__p", F.when(F.col("__runs").isNotNull(), _pieces("__text")))
+
+    def sized(r: Column) -> Column:
+        own = F.slice("__p", r["start"] + 1, F.least(r["end"], F.size("__p")) - r["start"])
+        words = F.regexp_count(F.array_join(F.transform(own, lambda x: x["t"]), "\n"), F.lit(_WORD))
+        whole = F.array_distinct(F.transform(F.filter(own, lambda x: x["t"].rlike(r"\S")), lambda x: x["line"]))
+        first, last = F.get("__p", r["start"])["line"], F.get("__p", F.least(r["end"], F.size("__p")) - 1)["line"]
+        begun = (r["start"] > 0) & (F.get("__p", F.greatest(r["start"] - 1, F.lit(0)))["line"] == first)
+        open_ = F.coalesce(F.get("__p", r["end"])["line"] == last, F.lit(False))
+        lines = F.size(F.filter(whole, lambda x: ~(begun & (x == first)) & ~(open_ & (x == last))))
+        return F.struct(r["start"].alias("start"), r["end"].alias("end"), words.alias("words"), lines.alias("lines"))
+
+    def passage(g: Column) -> Column:
+        own = F.filter("__sized", lambda r: (r["start"] >= g["start"]) & (r["start"] < g["end"]))
+        total = lambda of: F.aggregate(own, F.lit(0), lambda s, r: s + r[of])
+        return (total("words") >= MIN_WORDS) | (total("lines") >= MIN_LINES)
+
+    pieces = pieces.withColumn("__sized", F.transform("__runs", sized)).withColumn("__near", F.filter("__near", passage))
+    kept = F.filter("__runs", lambda r: F.exists("__near", lambda g: (r["start"] >= g["start"]) & (r["start"] < g["end"])))
+    return pieces.withColumn("__runs", kept).drop("__sized", "__near")
+
+
 def _cut(rows: DataFrame) -> DataFrame:
     """Packed rows with ``__cut`` (the number of removed chunks, or null), ``__left`` (the text left) and ``__lines`` (lines that went)."""
-    spans = repeated_chunks(rows).groupBy("__rid").agg(F.collect_set(F.struct("start", "len")).alias("cut"))
-    gone = F.array_distinct(F.flatten(F.transform("cut", lambda c: F.sequence(c["start"], c["start"] + c["len"] - 1))))
-    joined = rows.join(spans.select("__rid", F.size("cut").alias("__cut"), gone.alias("__gone")), "__rid", "left")
+    found = _passages(rows)
+    some = F.size("__runs") > 0
+    cut = F.size(F.filter("__spans", lambda c: F.exists("__runs", lambda r: (c["start"] >= r["start"]) & (c["start"] < r["end"]))))
+    gone = F.flatten(F.transform("__runs", lambda r: F.sequence(r["start"], r["end"] - 1)))
+    out = found.withColumn("__cut", F.when(some, cut)).withColumn("__gone", F.when(some, gone)).drop("__spans", "__runs")
     uncut = F.col("__gone").isNull()
-    out = joined.withColumn("__p", F.when(~uncut, _pieces("__text")))
     out = out.withColumn("__k", F.array_except(F.sequence(F.lit(0), F.size("__p") - 1), "__gone"))
 
     def piece(k: Column, m: Column) -> Column:
@@ -130,5 +177,7 @@ def line_dedup_report(docs: DataFrame) -> DataFrame:
 
 def dedup_lines(docs: DataFrame) -> DataFrame:
     """``docs`` without repeated passages; a document of which only blanks are left after a removal goes."""
-    out = _cut(packed(docs))
-    return unpacked(out.where(F.col("__cut").isNull() | F.col("__left").rlike(r"\S")), docs.columns, F.col("__left"))
+    # The outer form keeps Spark from filtering below the columns of the cut, for which it would part the text for every piece.
+    stays = F.filter(F.array(F.struct("__left")), lambda x: F.col("__cut").isNull() | x["__left"].rlike(r"\S"))
+    out = _cut(packed(docs)).select("__row", F.explode_outer(stays).alias("x")).where("x is not null")
+    return unpacked(out, docs.columns, F.col("x.__left"))
