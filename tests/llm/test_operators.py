@@ -207,6 +207,16 @@ def test_line_dedup_compares_bytes(spark):
     assert [tuple(r) for r in line_dedup.repeated_chunks(rows, keyed).collect()] == [(ids[2], 0, 2)]  # key 7 collides, so it stays
 
 
+def test_line_dedup_survives_a_variant(spark):
+    """A copy with other marks shares all keys with the passage; the equal copies still go, and the variant stays."""
+    passage = "\n".join(f"Sentence {i} of the passage, which stands in three documents; it is number {i * 37 % 101}." for i in range(12))
+    variant = passage.replace("passage, which", "passage; which")
+    texts = [f"Own words of document {d}.\n{x}\nMore of document {d}." for d, x in enumerate([passage, variant, passage, passage])]
+    out = {r.doc_id: r for r in line_dedup.line_dedup_report(frame(spark, *texts)).collect()}
+    assert [out[d].text == texts[d - 1] for d in (1, 2)] == [True, True]
+    assert all(out[d].n_removed_chunks > 0 and len(out[d].text) < len(texts[d - 1]) / 2 for d in (3, 4))
+
+
 def test_leaks_by_brute_force(spark, docs, rows):
     items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
     words = lambda t: [w for w in re.split(decontaminate._GAP, t.lower()) if w]

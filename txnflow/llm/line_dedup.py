@@ -5,9 +5,9 @@ cut again after each closing mark or comma that a space follows. Pieces are hash
 rolling hash runs over each pair of neighbouring piece hashes. Bit ``c`` of the rolling hash ends a chunk of cut ``c``, so
 boundaries depend on two pieces alone and shift with the text. The chunks at the ends of a passage also hold pieces from
 outside it; every text is cut ``CUTS`` times, and what one cut misses another can find. Chunks of ``MIN_PIECES`` pieces
-and ``MIN_CHARS`` characters or more whose key occurs again anywhere are compared byte by byte (blanks around pieces aside);
-where all the bytes under a key agree, its first occurrence (smallest doc_id, then row, then piece) stays and the others
-are removed. A key under which different bytes meet is left alone. A piece is only removed for one at an earlier
+and ``MIN_CHARS`` characters or more whose key occurs again anywhere are told apart by the SHA-256 digest of their bytes (blanks
+around pieces aside), marks included; the first occurrence of each byte string (smallest doc_id, then row, then piece) stays and
+the others are removed, whatever other bytes share its key. A piece is only removed for one at an earlier
 place, so the first of equal pieces always stays, whatever chunks overlap. Chunks to remove that adjoin or overlap make a run; runs
 are only removed where those at most ``MAX_GAP`` pieces apart add up to a passage, of ``MIN_WORDS`` words or ``MIN_LINES`` whole
 lines at least (what lies in the gaps doesn't count and stays); a remark of a few clauses that others also make stays. A line of which nothing is left goes.
@@ -33,7 +33,7 @@ MIN_WORDS, MIN_LINES = 50, 3
 MAX_GAP = 4
 _WORD = r"[^\x20\x09-\x0D]+"
 _PIECE_END = r"(?<=[.!?,;:] )"
-#: Parts a text at the same places in one pass; pieces lose their last mark, which the comparison of bytes then sees.
+#: Parts a text at the same places in one pass; pieces lose their last mark, which the digest of bytes then sees.
 _PIECE_GAP = r"[.!?,;:] |\r?\n"
 
 
@@ -90,20 +90,20 @@ def repeated_chunks(rows: DataFrame, chunks: DataFrame | None = None) -> DataFra
     chunks = written(_chunked(rows)) if chunks is None else chunks
     keys = ["k1", "k2"]
     # The keys are a table of their own, so that the joins with their places can be split where a key is hot.
-    again = written(chunks.groupBy(*keys).agg(F.count("*").alias("n"), F.min(F.struct("__id", "__rid", "start")).alias("first")).where("n > 1").drop("n"))
-    places = written(chunks.join(again, keys))
-    by_row = places.groupBy("__rid").agg(F.collect_set(F.struct("start", "len", *keys)).alias("p"))
-    texts = rows.select("__rid", "__text").join(by_row, "__rid").select("p", F.transform(_pieces("__text"), _bare).alias("l"))
+    again = written(chunks.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys))
+    by_row = chunks.join(again, keys).groupBy("__rid").agg(F.collect_set(F.struct("start", "len")).alias("p"))
+    texts = rows.select("__row", "__rid", "__text").join(by_row, "__rid").select(F.col("__row.doc_id").alias("__id"), "__rid", "p", F.transform(_pieces("__text"), _bare).alias("l"))
 
     def passage(p: Column) -> Column:
         # Two uses of the pieces: Spark moves what is used once into the function, and would cut the text for every chunk.
         part = F.slice("l", p["start"] + 1, F.least(p["len"], F.size("l")))
-        return F.struct(p["k1"].alias("k1"), p["k2"].alias("k2"), F.array_join(part, "\n").alias("t"))
+        text = F.array_join(part, "\n")
+        return F.struct(p["start"].alias("start"), p["len"].alias("len"), F.when(text.rlike(r"\S"), F.unhex(F.sha2(text, 256))).alias("d"))
 
-    bytes_of = texts.select(F.explode(F.transform("p", passage)).alias("p")).select("p.*").where(F.col("t").rlike(r"\S")).distinct()
-    equal = written(bytes_of.groupBy(*keys).agg(F.count("*").alias("n")).where("n = 1").select(*keys))
+    found = written(texts.select("__id", "__rid", F.explode(F.transform("p", passage)).alias("p")).select("__id", "__rid", "p.*").where("d is not null"))
+    first = written(found.groupBy("d").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__rid", "start")).alias("first")).where("n > 1").drop("n"))
     later = F.struct("__id", "__rid", "start") != F.col("first")
-    return places.where(later).join(equal, keys).select("__rid", "start", "len")
+    return found.join(first, "d").where(later).select("__rid", "start", "len")
 
 
 def _merged(cut: Column, gap: int = 0) -> Column:
