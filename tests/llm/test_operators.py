@@ -3,12 +3,14 @@
 import base64
 import collections
 import hashlib
+import itertools
 import random
 import re
 import struct
 
-import pytest
 import public_tokenizers
+import pytest
+import xxhash
 from pyspark.sql import functions as F
 
 from tests.oracle import difference
@@ -154,7 +156,7 @@ def test_line_dedup_keeps_first_and_all_else(spark):
 def test_line_dedup_finds_passages_inside_lines(spark):
     """The passage starts and ends in the middle of lines; short pieces that recur by themselves stay."""
     passage = " ".join(f"Shared {i} with a few words, and more of it {i * 37 % 101}." for i in range(8))
-    own = lambda d, n: f"document {d} says things {n} of its own. Yes. No {d} {n}"
+    own = lambda d, n: f"document {d} says things {n} of its own. Yes. No {n} {d}"
     texts = [f"{own(d, 1)}\n{own(d, 2)} {passage} {own(d, 3)}\n{own(d, 4)}" for d in range(6)]
     out = {r.doc_id: r for r in line_dedup.line_dedup_report(frame(spark, *texts)).collect()}
     assert out[1].text == texts[0] and out[1].n_removed_chunks == 0
@@ -179,32 +181,111 @@ def test_line_dedup_leaves_short_remarks(spark):
         assert remark in out[d].text and own(d - 1, 4) in out[d].text and out[d].n_removed_chunks > 0
 
 
-def test_pieces_are_counted_alike(spark, docs):
-    """The pass that hashes pieces parts a text where the pass that removes them does."""
-    odd = frame(spark, "", "\n", "a. ", "a. \n", "a. . b,, c! ? \r\n\r\n; d", " . \n .", "x.\r\ny:\n\n", ". . . ", "\u3002 \u00a0. e")
-    both = odd.select("text").union(docs.select("text").where("text is not null"))
-    gap, pieces = F.size(F.split("text", line_dedup._PIECE_GAP, -1)), F.size(line_dedup._pieces("text"))
-    assert both.where(gap != pieces).count() == 0
-    assert both.where(F.array_join(F.transform(line_dedup._pieces("text"), lambda p: p["t"]), "") != F.replace("text", F.lit("\n"), F.lit(""))).count() == 0
-
-
 def test_line_dedup_keeps_one_of_equal_lines(spark):
     """However the chunks of the cuts overlap, every distinct line is still somewhere, and more cuts find more."""
     passages = [[f"passage {p} line {i} with words" for i in range(9)] for p in range(6)]
     texts = ["\n".join(line for p in range(6) for line in [f"own line {d} {p}", *passages[(d * 5 + p * p) % 6]]) for d in range(12)]
-    rows = line_dedup.packed(frame(spark, *texts))
     left = [r.text for r in line_dedup.line_dedup_report(frame(spark, *texts)).collect()]
     assert {x for t in left for x in t.split("\n")} == {x for t in texts for x in t.split("\n")}
-    removed = [sum(r.len for r in line_dedup.repeated_chunks(rows, line_dedup._chunked(rows, cuts)).distinct().collect()) for cuts in (1, 3)]
-    assert 0 < removed[0] < removed[1]
+    assert sum(map(len, left)) < 0.7 * sum(map(len, texts))
 
 
 def test_line_dedup_compares_bytes(spark):
-    rows = line_dedup.packed(frame(spark, "a\nb\nc\nd", "a\nb\nx\ny", "p\nq"))
-    ids = {r.doc: r["__rid"] for r in rows.select(F.col("__row.doc_id").alias("doc"), "__rid").collect()}
-    chunk = lambda doc, start, k: (doc, ids[doc], start, 2, k, k)
-    keyed = spark.createDataFrame([chunk(1, 0, 1), chunk(2, 0, 1), chunk(1, 2, 7), chunk(2, 2, 7), chunk(3, 0, 9)], "__id long, __rid long, start int, len int, k1 long, k2 long")
-    assert [tuple(r) for r in line_dedup.repeated_chunks(rows, keyed).collect()] == [(ids[2], 0, 2)]  # key 7 collides, so it stays
+    """Candidates come by key; only equal bytes are removed, and only words equal beside both places are added."""
+    rows = [
+        (1, b"1", "a b ", 0, None, "c d e f g "), (2, b"2", "a b ", 5, None, "c d e f x "), (1, b"1", "k ", 30, None, None), (3, b"3", "q ", 0, None, None),
+        (None, b"0", "z ", 4, "u e f g h ", None), (1, b"1", "z ", 50, "w e f g h ", None), (4, b"4", "z ", 0, "f g h ", None),
+    ]
+    found = spark.createDataFrame(rows, "`__id` long, `__rid` binary, text string, start int, left string, right string")
+    assert sorted(tuple(r) for r in line_dedup.repeated_spans(found).collect()) == [(b"1", 42, 52), (b"2", 5, 17), (b"4", 0, 2)]
+
+
+def test_line_dedup_zero_characters_and_breaks(spark):
+    """Zero characters of a text are not taken for marks; a passage inside a line leaves the line break it held."""
+    passage = "".join(f"Shared \0{i} sentence, with more \0\1 of it {i * 37 % 101}; and an end.{' ' if i % 5 else chr(10)}" for i in range(16))
+    texts = [f"Own \0 start {d} of it\0\3, {passage}tail {d} \0\2 after it.\nlast {d}" for d in range(3)]
+    out = {r.doc_id: r.text for r in line_dedup.line_dedup_report(frame(spark, *texts)).collect()}
+    assert out[1] == texts[0]
+    assert all(out[d + 1] == f"Own \0 start {d} of it\0\3, \ntail {d} \0\2 after it.\nlast {d}" for d in (1, 2))
+
+
+def rebuilt_without_repeats(rows):
+    """What line dedup leaves, by plain loops over chunks, first places, words beside them and runs."""
+    signed = lambda b, seed=42: xxhash.xxh64_intdigest(b, seed)
+    chunked, n, first, at = {}, collections.Counter(), {}, {}
+    for d, text in sorted((r.doc_id, r.text or "") for r in rows):
+        pieces = re.split(line_dedup._MARK_END, text)
+        chunks, last, prev = [""], 0, None
+        for p in pieces:
+            h = signed(p.encode())
+            rolling = signed(struct.pack("<Q", h))
+            if prev is not None:
+                rolling = signed(struct.pack("<Q", prev), rolling)
+            chunks[-1] += p
+            prev = h
+            if rolling % line_dedup.TARGET == 0:
+                chunks.append("")
+        chunked[d] = chunks
+        at[d] = list(itertools.accumulate(map(len, chunks), initial=0))
+        for i, c in enumerate(chunks):
+            if len(c) >= line_dedup.MIN_CHARS:
+                n[c] += 1
+                first.setdefault(c, (d, i))
+    known = lambda d, i: 0 <= i < len(chunked[d]) and len(chunked[d][i]) >= line_dedup.MIN_CHARS and n[chunked[d][i]] > 1
+
+    def shared(a, b, order):
+        """Characters of equal pieces, and of the equal words of the next piece where they are enough."""
+        split = lambda text, cut: re.split(cut, text)[::order]
+        equal = lambda x, y: [v for v, _ in itertools.takewhile(lambda p: p[0] == p[1], zip(x, y))]
+        a, b = split("".join(a), line_dedup._MARK_END), split("".join(b), line_dedup._MARK_END)
+        same = equal(a, b)
+        k = len(same)
+        part = "".join(equal(split(a[k], "(?<=[ \n])"), split(b[k], "(?<=[ \n])"))) if k < min(len(a), len(b)) else ""
+        return len("".join(same)) + (len(part) if len(part.split()) >= line_dedup.MIN_SHARED else 0)
+
+    out = {}
+    for d, chunks in chunked.items():
+        text, gone, count = "".join(chunks), set(), line_dedup.REACH
+        for i, c in enumerate(chunks):
+            if not known(d, i) or first[c] == (d, i):
+                continue
+            e, j = first[c]
+            lo, hi = at[d][i], at[d][i] + len(c)
+            if not known(d, i + 1) and not known(e, j + 1):
+                hi += shared(chunks[i + 1 : i + 1 + count], chunked[e][j + 1 : j + 1 + count], 1)
+            if i and j and not known(d, i - 1) and not known(e, j - 1):
+                lo -= shared(chunks[max(0, i - count) : i], chunked[e][max(0, j - count) : j], -1)
+            gone.update(range(lo, hi))
+        left = []
+        for is_gone, run in itertools.groupby(range(len(text)), gone.__contains__):
+            run = list(run)
+            part = text[run[0] : run[-1] + 1]
+            inside = run[0] > 0 and text[run[0] - 1] != "\n"
+            if not is_gone or (len(part.encode().split()) < line_dedup.MIN_WORDS and part.count("\n") - inside < line_dedup.MIN_LINES):
+                left.append(part)
+            elif run[-1] + 1 == len(text):
+                left = ["".join(left).removesuffix("\n")]
+            elif "\n" in part and "".join(left)[-1:] not in ("", "\n"):
+                left.append("\n")
+        out[d] = "".join(left)
+    return out
+
+
+def test_line_dedup_by_brute_force(docs, rows):
+    """Every text of the table as rebuilt by loops, to the byte."""
+    expected = rebuilt_without_repeats(rows)
+    got = {r.doc_id: r.text for r in line_dedup.line_dedup_report(docs).collect()}
+    assert {d: (t or "") for d, t in got.items()} == expected
+    assert sum(expected[r.doc_id] != (r.text or "") for r in rows) > 50
+
+
+def test_line_dedup_by_whole_lines(spark):
+    """Without cuts inside lines only passages of whole lines go."""
+    lines = "\n".join(f"common line {i} with a number of words in it {i * 7919 % 1000}" for i in range(24))
+    inside = " ".join(f"Shared {i} with a few words, and more of it {i * 37 % 101}." for i in range(24))
+    texts = [f"Own {d} line\n{lines}\nline {d} ends" for d in range(2)] + [f"Own {d} words {inside} {d} at its end" for d in (7, 8)]
+    out = [r.text for r in sorted(line_dedup.line_dedup_report(frame(spark, *texts), within_lines=False).collect(), key=lambda r: r.doc_id)]
+    assert [a == b for a, b in zip(out, texts)] == [True, False, True, True] and out[1] == "Own 1 line\nline 1 ends"
 
 
 def test_line_dedup_survives_a_variant(spark):

@@ -1,183 +1,191 @@
 """Content-defined chunks of lines: passages that stand in many places are kept once.
 
-Shared passages often start and end in the middle of a line. So the lines chunked here are the pieces of a text: its lines,
-cut again after each closing mark or comma that a space follows. Pieces are hashed without the blanks around them, and a
-rolling hash runs over each pair of neighbouring piece hashes. Bit ``c`` of the rolling hash ends a chunk of cut ``c``, so
-boundaries depend on two pieces alone and shift with the text. The chunks at the ends of a passage also hold pieces from
-outside it; every text is cut ``CUTS`` times, and what one cut misses another can find. Chunks of ``MIN_PIECES`` pieces
-and ``MIN_CHARS`` characters or more whose key occurs again anywhere are told apart by the SHA-256 digest of their bytes (blanks
-around pieces aside), marks included; the first occurrence of each byte string (smallest doc_id, then row, then piece) stays and
-the others are removed, whatever other bytes share its key. A piece is only removed for one at an earlier
-place, so the first of equal pieces always stays, whatever chunks overlap. Chunks to remove that adjoin or overlap make a run; runs
-are only removed where those at most ``MAX_GAP`` pieces apart add up to a passage, of ``MIN_WORDS`` words or ``MIN_LINES`` whole
-lines at least (what lies in the gaps doesn't count and stays); a remark of a few clauses that others also make stays. A line of which nothing is left goes.
-
-Null texts count as empty and stay null. Rows that repeat id and text are one document and are treated alike. Rows
-without an id come first in the order of occurrences. Only DataFrame functions are used.
+The lines chunked here are the pieces of a text: its lines, cut again after each mark that a space follows
+(``within_lines``; without it only whole lines are compared), since shared passages also start and end inside lines. A
+piece keeps its blanks and its line break, so the pieces in order are the text, byte for byte. A rolling hash runs over the
+hashes of ``WINDOW`` (two) neighbouring pieces; where its lowest bits are zero a chunk ends, every ``TARGET`` (two) pieces on the
+average. Boundaries so depend on two pieces alone and shift with the text; one piece without marks can make a long chunk.
+
+1. Chunks of ``MIN_CHARS`` characters or more are counted by a 64-bit key. Those whose key occurs again are grouped by
+   their bytes: equal keys with different bytes are different chunks. The first place of each byte string (smallest doc_id, then
+   row, then place) stays, and all others are to be removed.
+2. A passage rarely starts where a chunk does. Where a neighbour of a chunk isn't repeated itself, the texts beside it and beside
+   its first place, ``REACH`` chunks on each side, are compared piece by piece and, in the first unequal piece, word by word; what is equal joins the chunk.
+3. Spans that adjoin or overlap make a run. Runs of ``MIN_WORDS`` words or ``MIN_LINES`` line ends are passages and go; shorter
+   ones stay, as a remark that others also make is no passage. If a passage that starts inside a line goes with its line break, the
+   rest of that line ends there.
+
+Rows without an id come first in the order of occurrences. Defined cases: null texts count as empty and stay null; an empty
+table gives an empty one; rows that repeat id and text are one document and are treated alike; equal texts under other
+ids are copies, of which the first stays whole; other columns may have any names and are kept; a text of any length is
+processed whole, its chunks being rows of their own. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-
-from txnflow.llm.shared import BLANKS, packed, unpacked, written
-
-#: Least size of a chunk.
-MIN_PIECES, MIN_CHARS = 2, 40
-#: Ways in which each text is cut into chunks.
-CUTS = 4
-#: Least size of a passage: words, or whole lines that aren't blank.
+from pyspark.sql.window import Window
+
+from txnflow.llm.shared import packed, unpacked, written
+
+#: Pieces the rolling hash looks at, and mean pieces of a chunk (a power of two).
+WINDOW, TARGET = 2, 2
+#: Least characters of a chunk that is compared.
+MIN_CHARS = 24
+#: Chunks on each side of a repeated one that are compared word by word.
+REACH = 4
+#: Least number of words of a part of a piece that join a chunk so; the next sentence often begins with an equal word or two.
+MIN_SHARED = 4
+#: Least size of a passage: words, or line ends less one where it starts inside a line.
 MIN_WORDS, MIN_LINES = 50, 3
-#: Pieces between two runs of one passage, at most: chunks under the least size are never compared, so a passage has gaps.
-MAX_GAP = 4
 _WORD = r"[^\x20\x09-\x0D]+"
-_PIECE_END = r"(?<=[.!?,;:] )"
-#: Parts a text at the same places in one pass; pieces lose their last mark, which the digest of bytes then sees.
-_PIECE_GAP = r"[.!?,;:] |\r?\n"
-
-
-def _pieces(text: str) -> Column:
-    """``t`` (as it stands) and ``line`` of every piece of a text column, in order."""
-    lines = F.split(text, "\n", -1)
-    return F.flatten(F.transform(lines, lambda x, i: F.transform(F.split(x, _PIECE_END, -1), lambda t: F.struct(t.alias("t"), i.alias("line")))))
-
-
-def _bare(piece: Column) -> Column:
-    return F.trim(piece["t"], F.lit(BLANKS))
-
-
-def _chunked(rows: DataFrame, cuts: int = CUTS) -> DataFrame:
-    """``__id, __rid, start, len, k1, k2`` of every chunk of the least size or more, once if several cuts agree."""
-    pieces = rows.select(F.col("__row.doc_id").alias("__id"), "__rid", F.split("__text", _PIECE_GAP, -1).alias("t"))
-    hashed = pieces.select("__id", "__rid", F.transform("t", lambda t: F.xxhash64(F.trim(t))).alias("h"), F.transform("t", F.length).alias("n"))
-    rolled = hashed.select("*", F.transform("h", lambda h, i: F.xxhash64(h, F.get("h", i - 1))).alias("r"))
-
-    def ends(c: int) -> Column:
-        return F.filter(F.sequence(F.lit(0), F.size("r") - 1), lambda i: (i == F.size("r") - 1) | (F.get("r", i).bitwiseAND(1 << c) != 0)).alias(f"e{c}")
-
-    cut = rolled.select("__id", "__rid", "h", "n", *map(ends, range(cuts)))
-
-    # A chunk is one number, its start above its size: Spark compares structs pair by pair to find the distinct ones.
-    def begin(c: Column) -> Column:
-        return F.shiftright(c, 32).cast("int")
-
-    def size(c: Column) -> Column:
-        return c.bitwiseAND((1 << 32) - 1).cast("int")
-
-    def chunks(e: str) -> Column:
-        def chunk(end: Column, n: Column) -> Column:
-            start = F.when(n == 0, 0).otherwise(F.get(e, n - 1) + 1)
-            return F.shiftleft(start.cast("long"), 32) + (end - start + 1)
-
-        return F.filter(F.transform(e, chunk), lambda c: size(c) >= MIN_PIECES)
-
-    def keyed(c: Column) -> Column:
-        part = F.slice("h", begin(c) + 1, size(c))
-        return F.struct(begin(c).alias("start"), size(c).alias("len"), F.xxhash64(part).alias("k1"), F.xxhash64(F.lit(1), part).alias("k2"))
-
-    def long_enough(c: Column) -> Column:
-        return F.aggregate(F.slice("n", begin(c) + 1, size(c)), F.lit(0), lambda s, n: s + n) >= MIN_CHARS
-
-    spans = F.array_distinct(F.concat(*(chunks(f"e{c}") for c in range(cuts))))
-    # Keys are made before the rows are, which so hold no array.
-    out = cut.select("__id", "__rid", F.explode(F.transform(F.filter(spans, long_enough), keyed)).alias("c"))
-    return out.select("__id", "__rid", "c.*")
+_LINE_END, _MARK_END = r"(?<=\n)", r"(?<=[.!?,;:] )|(?<=\n)"
+_TOKEN_END = r"(?<=[ \n])"
+#: Two characters that end a chunk or stand for a removed passage; a zero character of the text itself gets a third form.
+_END, _GONE, _ZERO = "\0\1", "\0\3", "\0\2"
+#: Chunks whose lengths are added up at once, for the place of a chunk in its text.
+_BLOCK = 64
+
+
+def _cuts(within_lines: bool) -> str:
+    return _MARK_END if within_lines else _LINE_END
+
+
+def _escaped(text: str) -> Column:
+    return F.when(F.contains(F.col(text), F.lit("\0")), F.replace(F.col(text), F.lit("\0"), F.lit(_ZERO))).otherwise(F.col(text))
 
-
-def repeated_chunks(rows: DataFrame, chunks: DataFrame | None = None) -> DataFrame:
-    """Occurrences ``__rid, start, len`` to remove from packed rows. ``chunks`` takes the place of the keyed chunks in tests."""
-    chunks = written(_chunked(rows)) if chunks is None else chunks
-    keys = ["k1", "k2"]
-    # The keys are a table of their own, so that the joins with their places can be split where a key is hot.
-    again = written(chunks.groupBy(*keys).agg(F.count("*").alias("n")).where("n > 1").select(*keys))
-    by_row = chunks.join(again, keys).groupBy("__rid").agg(F.collect_set(F.struct("start", "len")).alias("p"))
-    texts = rows.select("__row", "__rid", "__text").join(by_row, "__rid").select(F.col("__row.doc_id").alias("__id"), "__rid", "p", F.transform(_pieces("__text"), _bare).alias("l"))
-
-    def passage(p: Column) -> Column:
-        # Two uses of the pieces: Spark moves what is used once into the function, and would cut the text for every chunk.
-        part = F.slice("l", p["start"] + 1, F.least(p["len"], F.size("l")))
-        text = F.array_join(part, "\n")
-        return F.struct(p["start"].alias("start"), p["len"].alias("len"), F.when(text.rlike(r"\S"), F.unhex(F.sha2(text, 256))).alias("d"))
-
-    found = written(texts.select("__id", "__rid", F.explode(F.transform("p", passage)).alias("p")).select("__id", "__rid", "p.*").where("d is not null"))
-    first = written(found.groupBy("d").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__rid", "start")).alias("first")).where("n > 1").drop("n"))
-    later = F.struct("__id", "__rid", "start") != F.col("first")
-    return found.join(first, "d").where(later).select("__rid", "start", "len")
-
-
-def _merged(cut: Column, gap: int = 0) -> Column:
-    """Spans that overlap, adjoin or stand at most ``gap`` pieces apart as one run each: ``start`` and ``end`` (the piece after it)."""
-
-    def step(runs: Column, c: Column) -> Column:
-        last, end = F.element_at(runs, -1), c["start"] + c["len"]
-        longer = F.struct(last["start"].alias("start"), F.greatest(last["end"], end).alias("end"))
-        new = F.struct(c["start"].alias("start"), end.alias("end"))
-        joins = (F.size(runs) > 0) & (c["start"] <= last["end"] + gap)
-        return F.when(joins, F.concat(F.slice(runs, 1, F.size(runs) - 1), F.array(longer))).otherwise(F.concat(runs, F.array(new)))
-
-    return F.aggregate(F.array_sort(cut), F.array().cast("array<struct<start: int, end: int>>"), step)
-
-
-def _passages(rows: DataFrame) -> DataFrame:
-    """Packed rows with their pieces ``__p``, the spans ``__spans`` of repeated chunks and the passages ``__runs`` to remove."""
-    spans = repeated_chunks(rows).groupBy("__rid").agg(F.collect_set(F.struct("start", "len")).alias("__spans"))
-    joined = rows.join(spans.withColumns({"__runs": _merged(F.col("__spans")), "__near": _merged(F.col("__spans"), MAX_GAP)}), "__rid", "left")
-    pieces = joined.withColumn("__p", F.when(F.col("__runs").isNotNull(), _pieces("__text")))
-
-    def sized(r: Column) -> Column:
-        own = F.slice("__p", r["start"] + 1, F.least(r["end"], F.size("__p")) - r["start"])
-        words = F.regexp_count(F.array_join(F.transform(own, lambda x: x["t"]), "\n"), F.lit(_WORD))
-        whole = F.array_distinct(F.transform(F.filter(own, lambda x: x["t"].rlike(r"\S")), lambda x: x["line"]))
-        first, last = F.get("__p", r["start"])["line"], F.get("__p", F.least(r["end"], F.size("__p")) - 1)["line"]
-        begun = (r["start"] > 0) & (F.get("__p", F.greatest(r["start"] - 1, F.lit(0)))["line"] == first)
-        open_ = F.coalesce(F.get("__p", r["end"])["line"] == last, F.lit(False))
-        lines = F.size(F.filter(whole, lambda x: ~(begun & (x == first)) & ~(open_ & (x == last))))
-        return F.struct(r["start"].alias("start"), r["end"].alias("end"), words.alias("words"), lines.alias("lines"))
-
-    def passage(g: Column) -> Column:
-        own = F.filter("__sized", lambda r: (r["start"] >= g["start"]) & (r["start"] < g["end"]))
-        total = lambda of: F.aggregate(own, F.lit(0), lambda s, r: s + r[of])
-        return (total("words") >= MIN_WORDS) | (total("lines") >= MIN_LINES)
-
-    pieces = pieces.withColumn("__sized", F.transform("__runs", sized)).withColumn("__near", F.filter("__near", passage))
-    kept = F.filter("__runs", lambda r: F.exists("__near", lambda g: (r["start"] >= g["start"]) & (r["start"] < g["end"])))
-    return pieces.withColumn("__runs", kept).drop("__sized", "__near")
-
-
-def _cut(rows: DataFrame) -> DataFrame:
-    """Packed rows with ``__cut`` (the number of removed chunks, or null), ``__left`` (the text left) and ``__lines`` (lines that went)."""
-    found = _passages(rows)
+
+def _chunked(df: DataFrame, within_lines: bool) -> DataFrame:
+    """``df`` with its chunks ``__c`` for ``__text``. Each step is used twice by the next, so that Spark keeps it apart."""
+    pieces = df.withColumn("__p", F.split(_escaped("__text"), _cuts(within_lines), -1)).drop("__text")
+    hashed = pieces.withColumn("__h", F.transform("__p", lambda p: F.xxhash64(p)))
+
+    def ended(p: Column, i: Column) -> Column:
+        rolling = F.xxhash64(*(F.get("__h", i - k) for k in range(WINDOW)))
+        return F.when(rolling.bitwiseAND(TARGET - 1) == 0, F.concat(p, F.lit(_END))).otherwise(p)
+
+    return hashed.withColumn("__c", F.split(F.array_join(F.transform("__p", ended), ""), _END, -1)).drop("__p", "__h")
+
+
+def _repeated(rows: DataFrame, within_lines: bool) -> DataFrame:
+    """``__rid, __at``: the numbers of the chunks of each document whose key occurs again anywhere."""
+    # The outer form keeps Spark from filtering on the size of the chunks, for which it would make them twice.
+    chunks = _chunked(rows.select("__rid", "__text"), within_lines).select("__rid", F.posexplode_outer("__c").alias("seq", "c"))
+    keys = written(chunks.where(F.length("c") >= MIN_CHARS).select("__rid", "seq", F.xxhash64("c").alias("key")))
+    # A table of its own, here and below, so that the join can be split where a key is hot.
+    again = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
+    return keys.join(again, "key").groupBy("__rid").agg(F.sort_array(F.collect_set("seq")).alias("__at"))
+
+
+def _candidates(rows: DataFrame, within_lines: bool) -> DataFrame:
+    """``__id, __rid, text, start, left, right`` of every chunk whose key is repeated, the last two where they end a row of such chunks."""
+    known = rows.select("__rid", F.col("__row.doc_id").alias("__id"), "__text").join(_repeated(rows, within_lines), "__rid")
+    parts = _chunked(known, within_lines).withColumn("__n", F.transform("__c", F.length))
+    total = lambda a: F.aggregate(a, F.lit(0), lambda s, n: s + n)
+    blocks = F.sequence(F.lit(0), F.floor(F.size("__n") / _BLOCK).cast("int"))
+    parts = parts.withColumn("__b", F.transform(blocks, lambda b: total(F.slice("__n", b * _BLOCK + 1, _BLOCK))))
+
+    def found(i: Column, k: Column) -> Column:
+        b = F.floor(i / _BLOCK).cast("int")
+        start = total(F.slice("__b", 1, b)) + total(F.slice("__n", b * _BLOCK + 1, i % _BLOCK))
+        beside = lambda k, i: F.coalesce(F.get("__at", k), F.lit(-1)) == i
+        left = F.array_join(F.slice("__c", F.greatest(i - REACH, F.lit(0)) + 1, F.least(F.lit(REACH), i)), "")
+        right = F.array_join(F.slice("__c", i + 2, REACH), "")
+        return F.struct(
+            F.get("__c", i).alias("text"), start.alias("start"),
+            F.when((i > 0) & ~beside(k - 1, i - 1), left).alias("left"), F.when(~beside(k + 1, i + 1), right).alias("right"),
+        )
+
+    return written(parts.select("__id", "__rid", F.inline_outer(F.transform("__at", found))))
+
+
+def _same(a: Column, b: Column) -> Column:
+    """Number of equal elements at the start of two arrays."""
+    differs = F.array_position(F.zip_with(a, b, lambda x, y: x.eqNullSafe(y)), False)
+    return F.when(differs == 0, F.size(a)).otherwise(differs - 1).cast("int")
+
+
+def _reach(own: Column, first: Column, before: bool, cut: str) -> Column:
+    """Characters that two texts share at their start, or before a chunk at their end.
+
+    Whole pieces count, and of the next piece the equal words, if they aren't so few that they are chance.
+    """
+    order = F.reverse if before else (lambda x: x)
+    a, b = (order(F.split(x, cut, -1)) for x in (own, first))
+    n = _same(a, b)
+    x, y = (order(F.split(F.get(p, n), _TOKEN_END, -1)) for p in (a, b))
+    part = F.coalesce(F.array_join(F.slice(x, 1, _same(x, y)), ""), F.lit(""))
+    more = F.when(F.regexp_count(part, F.lit(_WORD)) >= MIN_SHARED, F.length(part)).otherwise(0)
+    return F.coalesce(F.length(F.array_join(F.slice(a, 1, n), "")) + more, F.lit(0))
+
+
+def repeated_spans(found: DataFrame, within_lines: bool = True) -> DataFrame:
+    """``__rid, start, end`` of the repeats to remove among candidates (``__id, __rid, text, start, left, right``)."""
+    cut = _cuts(within_lines)
+    place = F.struct("__id", "__rid", "start")
+    first = found.groupBy("text").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__rid", "start", "left", "right")).alias("f")).where("n > 1").drop("n")
+    later = found.join(written(first), "text").where(~place.eqNullSafe(F.struct("f.__id", "f.__rid", "f.start")))
+    begin = F.col("start") - _reach(F.col("left"), F.col("f.left"), True, cut)
+    end = F.col("start") + F.length("text") + _reach(F.col("right"), F.col("f.right"), False, cut)
+    return later.select("__rid", begin.alias("start"), end.alias("end")).distinct()
+
+
+def _runs(spans: DataFrame) -> DataFrame:
+    """``__rid, __runs``: per document the spans that adjoin or overlap as one run each, with their number."""
+    w = Window.partitionBy("__rid").orderBy("start", "end")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    new = spans.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
+    runs = new.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    runs = runs.groupBy("__rid", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").cast("int").alias("n"))
+    return runs.groupBy("__rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "n"))).alias("__runs"))
+
+
+def _cut(rows: DataFrame, within_lines: bool) -> DataFrame:
+    """Packed rows with ``__cut`` (the number of removed chunks, or null) and ``__left`` (the text left)."""
+    spans = written(_runs(repeated_spans(_candidates(rows, within_lines), within_lines)))
+    joined = rows.drop("__text").join(spans, "__rid", "left")
+    joined = joined.withColumn("__e", F.when(F.col("__runs").isNotNull(), _escaped("__row.text")))
+    part = lambda r: F.substring(F.col("__e"), r["start"] + 1, r["end"] - r["start"])
+    breaks = lambda text: F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+
+    def passage(r: Column) -> Column:
+        inside = (r["start"] > 0) & (F.substring(F.col("__e"), r["start"], F.lit(1)) != "\n")
+        return (F.regexp_count(part(r), F.lit(_WORD)) >= MIN_WORDS) | (breaks(part(r)) - inside.cast("int") >= MIN_LINES)
+
+    sized = joined.withColumn("__runs", F.filter("__runs", passage))
+
+    def kept(r: Column, k: Column) -> Column:
+        since = F.when(k > 0, F.get("__runs", k - 1)["end"]).otherwise(0)
+        return F.concat(F.substring(F.col("__e"), since + 1, r["start"] - since), F.lit(_GONE), F.when(F.contains(part(r), F.lit("\n")), "\n").otherwise(""))
+
+    tail = F.substring(F.col("__e"), F.element_at("__runs", -1)["end"] + 1, F.length("__e"))
+    text = F.concat(F.array_join(F.transform("__runs", kept), ""), tail)
+    # A passage from the start of a line takes its line break along; one from inside a line leaves a break if it held one,
+    # and one at the end of the text takes the break before it.
+    gone = rf"(?:{_GONE}\n?)"
+    for pattern, new in ((rf"\n?{gone}+\z", ""), (rf"(^|\n){gone}+", "$1"), (rf"(?:{_GONE})*{_GONE}\n{gone}*", "\n")):
+        text = F.regexp_replace(text, pattern, new)
+    text = F.replace(F.replace(text, F.lit(_GONE), F.lit("")), F.lit(_ZERO), F.lit("\0"))
     some = F.size("__runs") > 0
-    cut = F.size(F.filter("__spans", lambda c: F.exists("__runs", lambda r: (c["start"] >= r["start"]) & (c["start"] < r["end"]))))
-    gone = F.flatten(F.transform("__runs", lambda r: F.sequence(r["start"], r["end"] - 1)))
-    out = found.withColumn("__cut", F.when(some, cut)).withColumn("__gone", F.when(some, gone)).drop("__spans", "__runs")
-    uncut = F.col("__gone").isNull()
-    out = out.withColumn("__k", F.array_except(F.sequence(F.lit(0), F.size("__p") - 1), "__gone"))
-
-    def piece(k: Column, m: Column) -> Column:
-        line = F.get("__p", k)["line"]
-        new = (m > 0) & (line != F.get("__p", F.get("__k", m - 1))["line"])
-        return F.concat(F.when(new, "\n").otherwise(""), F.get("__p", k)["t"])
-
-    went = F.get("__p", F.size("__p") - 1)["line"] + 1 - F.size(F.array_distinct(F.transform("__k", lambda k: F.get("__p", k)["line"])))
-    left = F.when(uncut, F.col("__row.text")).otherwise(F.array_join(F.transform("__k", piece), ""))
-    return out.withColumns({"__left": left, "__lines": F.when(uncut, 0).otherwise(went)}).drop("__p", "__k", "__gone")
+    total = F.aggregate("__runs", F.lit(0), lambda s, r: s + r["n"])
+    return sized.select("__row", "__rid", F.when(some, total).alias("__cut"), F.when(some, text).otherwise(F.col("__row.text")).alias("__left"))
 
 
-def line_dedup_report(docs: DataFrame) -> DataFrame:
-    """Per document the text that is left and how many chunks and whole lines were removed."""
-    return _cut(packed(docs)).select(
+def line_dedup_report(docs: DataFrame, within_lines: bool = True) -> DataFrame:
+    """Per document the text that is left, the number of repeated chunks removed and of the line breaks that went."""
+    breaks = lambda text: F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    return _cut(packed(docs), within_lines).select(
         F.col("__row.doc_id").alias("doc_id"),
         F.col("__left").alias("text"),
         F.coalesce("__cut", F.lit(0)).alias("n_removed_chunks"),
-        F.col("__lines").alias("n_removed_lines"),
+        F.when(F.col("__cut").isNull(), 0).otherwise(breaks(F.col("__row.text")) - breaks(F.col("__left"))).alias("n_removed_lines"),
     )
 
 
-def dedup_lines(docs: DataFrame) -> DataFrame:
+def dedup_lines(docs: DataFrame, within_lines: bool = True) -> DataFrame:
     """``docs`` without repeated passages; a document of which only blanks are left after a removal goes."""
-    # The outer form keeps Spark from filtering below the columns of the cut, for which it would part the text for every piece.
+    # The outer form keeps Spark from filtering below the cut, for which it would make it twice.
     stays = F.filter(F.array(F.struct("__left")), lambda x: F.col("__cut").isNull() | x["__left"].rlike(r"\S"))
-    out = _cut(packed(docs)).select("__row", F.explode_outer(stays).alias("x")).where("x is not null")
+    out = _cut(packed(docs), within_lines).select("__row", F.explode_outer(stays).alias("x")).where("x is not null")
     return unpacked(out, docs.columns, F.col("x.__left"))
