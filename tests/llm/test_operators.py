@@ -209,12 +209,15 @@ def test_line_dedup_zero_characters_and_breaks(spark):
     assert all(out[d + 1] == f"Own \0 start {d} of it\0\3, \ntail {d} \0\2 after it.\nlast {d}" for d in (1, 2))
 
 
+PIECE_END = re.compile(r"(?<=[.,] )|(?<=\n)")
+
+
 def rebuilt_without_repeats(rows):
     """What line dedup leaves, by plain loops over chunks, first places, words beside them and runs."""
     signed = lambda b, seed=42: xxhash.xxh64_intdigest(b, seed)
     chunked, n, first, at = {}, collections.Counter(), {}, {}
     for d, text in sorted((r.doc_id, r.text or "") for r in rows):
-        pieces = re.split(line_dedup._MARK_END, text)
+        pieces = re.split(PIECE_END, text)
         chunks, last, prev = [""], 0, None
         for p in pieces:
             h = signed(p.encode())
@@ -237,7 +240,7 @@ def rebuilt_without_repeats(rows):
         """Characters of equal pieces, and of the equal words of the next piece where they are enough."""
         split = lambda text, cut: re.split(cut, text)[::order]
         equal = lambda x, y: [v for v, _ in itertools.takewhile(lambda p: p[0] == p[1], zip(x, y))]
-        a, b = split("".join(a), line_dedup._MARK_END), split("".join(b), line_dedup._MARK_END)
+        a, b = split("".join(a), PIECE_END), split("".join(b), PIECE_END)
         same = equal(a, b)
         k = len(same)
         part = "".join(equal(split(a[k], "(?<=[ \n])"), split(b[k], "(?<=[ \n])"))) if k < min(len(a), len(b)) else ""

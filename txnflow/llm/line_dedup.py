@@ -1,6 +1,6 @@
 """Content-defined chunks of lines: passages that stand in many places are kept once.
 
-The lines chunked here are the pieces of a text: its lines, cut again after each mark that a space follows
+The lines chunked here are the pieces of a text: its lines, cut again after each comma or full stop that a space follows
 (``within_lines``; without it only whole lines are compared), since shared passages also start and end inside lines. A
 piece keeps its blanks and its line break, so the pieces in order are the text, byte for byte. A rolling hash runs over the
 hashes of ``WINDOW`` (two) neighbouring pieces; where its lowest bits are zero a chunk ends, every ``TARGET`` (two) pieces on the
@@ -40,32 +40,46 @@ MIN_SHARED = 4
 #: Least size of a passage: words, or line ends less one where it starts inside a line.
 MIN_WORDS, MIN_LINES = 50, 3
 _WORD = r"[^\x20\x09-\x0D]+"
-_LINE_END, _MARK_END = r"(?<=\n)", r"(?<=[.!?,;:] )|(?<=\n)"
+#: What ends a piece: a line break, and within lines also these marks before a space.
+_LINE_ENDS, _MARK_ENDS = ("\n",), ("\n", ". ", ", ")
 _TOKEN_END = r"(?<=[ \n])"
-#: Two characters that end a chunk or stand for a removed passage; a zero character of the text itself gets a third form.
-_END, _GONE, _ZERO = "\0\1", "\0\3", "\0\2"
+#: Stands between pieces or chunks, or for a removed passage. Texts hold none, as their own zero characters are escaped.
+_CUT = "\0"
+_ESCAPES = (("\1", "\1b"), ("\0", "\1a"))
 #: Chunks whose lengths are added up at once, for the place of a chunk in its text.
-_BLOCK = 64
+_BLOCK = 32
 
 
-def _cuts(within_lines: bool) -> str:
-    return _MARK_END if within_lines else _LINE_END
+def _escaped(text: str) -> Column:
+    odd, out = F.contains(F.col(text), F.lit("\0")) | F.contains(F.col(text), F.lit("\1")), F.col(text)
+    for plain, code in _ESCAPES:
+        out = F.replace(out, F.lit(plain), F.lit(code))
+    return F.when(odd, out).otherwise(F.col(text))
 
 
-def _escaped(text: str) -> Column:
-    return F.when(F.contains(F.col(text), F.lit("\0")), F.replace(F.col(text), F.lit("\0"), F.lit(_ZERO))).otherwise(F.col(text))
+def _unescaped(text: Column) -> Column:
+    for plain, code in reversed(_ESCAPES):
+        text = F.replace(text, F.lit(code), F.lit(plain))
+    return text
+
+
+def _pieces(text: Column, within_lines: bool) -> Column:
+    """The pieces of an escaped text. Plain replacements and a split at one character are far cheaper than a pattern."""
+    for end in _MARK_ENDS if within_lines else _LINE_ENDS:
+        text = F.replace(text, F.lit(end), F.lit(end + _CUT))
+    return F.split(text, _CUT, -1)
 
 
 def _chunked(df: DataFrame, within_lines: bool) -> DataFrame:
     """``df`` with its chunks ``__c`` for ``__text``. Each step is used twice by the next, so that Spark keeps it apart."""
-    pieces = df.withColumn("__p", F.split(_escaped("__text"), _cuts(within_lines), -1)).drop("__text")
+    pieces = df.withColumn("__p", _pieces(_escaped("__text"), within_lines)).drop("__text")
     hashed = pieces.withColumn("__h", F.transform("__p", lambda p: F.xxhash64(p)))
 
     def ended(p: Column, i: Column) -> Column:
         rolling = F.xxhash64(*(F.get("__h", i - k) for k in range(WINDOW)))
-        return F.when(rolling.bitwiseAND(TARGET - 1) == 0, F.concat(p, F.lit(_END))).otherwise(p)
+        return F.when(rolling.bitwiseAND(TARGET - 1) == 0, F.concat(p, F.lit(_CUT))).otherwise(p)
 
-    return hashed.withColumn("__c", F.split(F.array_join(F.transform("__p", ended), ""), _END, -1)).drop("__p", "__h")
+    return hashed.withColumn("__c", F.split(F.array_join(F.transform("__p", ended), ""), _CUT, -1)).drop("__p", "__h")
 
 
 def _repeated(rows: DataFrame, within_lines: bool) -> DataFrame:
@@ -80,7 +94,8 @@ def _repeated(rows: DataFrame, within_lines: bool) -> DataFrame:
 
 def _candidates(rows: DataFrame, within_lines: bool) -> DataFrame:
     """``__id, __rid, text, start, left, right`` of every chunk whose key is repeated, the last two where they end a row of such chunks."""
-    known = rows.select("__rid", F.col("__row.doc_id").alias("__id"), "__text").join(_repeated(rows, within_lines), "__rid")
+    # Hashing the small side, one row a document, spares sorting the texts.
+    known = rows.select("__rid", F.col("__row.doc_id").alias("__id"), "__text").join(_repeated(rows, within_lines).hint("shuffle_hash"), "__rid")
     parts = _chunked(known, within_lines).withColumn("__n", F.transform("__c", F.length))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, n: s + n)
     blocks = F.sequence(F.lit(0), F.floor(F.size("__n") / _BLOCK).cast("int"))
@@ -106,29 +121,31 @@ def _same(a: Column, b: Column) -> Column:
     return F.when(differs == 0, F.size(a)).otherwise(differs - 1).cast("int")
 
 
-def _reach(own: Column, first: Column, before: bool, cut: str) -> Column:
-    """Characters that two texts share at their start, or before a chunk at their end.
+def _reached(df: DataFrame, own: str, first: str, before: bool, within_lines: bool) -> DataFrame:
+    """``df`` with the characters (column ``own``) that two texts share at their start, or before a chunk at their end.
 
-    Whole pieces count, and of the next piece the equal words, if they aren't so few that they are chance.
+    Whole pieces count, and of the next piece the equal words, if they aren't so few that they are chance. Each step is a
+    column that the next uses twice, so that Spark keeps them apart. Where a text is null nothing is shared.
     """
     order = F.reverse if before else (lambda x: x)
-    a, b = (order(F.split(x, cut, -1)) for x in (own, first))
-    n = _same(a, b)
-    x, y = (order(F.split(F.get(p, n), _TOKEN_END, -1)) for p in (a, b))
-    part = F.coalesce(F.array_join(F.slice(x, 1, _same(x, y)), ""), F.lit(""))
-    more = F.when(F.regexp_count(part, F.lit(_WORD)) >= MIN_SHARED, F.length(part)).otherwise(0)
-    return F.coalesce(F.length(F.array_join(F.slice(a, 1, n), "")) + more, F.lit(0))
+    both = F.col(own).isNotNull() & F.col(first).isNotNull()
+    a, b, x, y, n = (F.col(f"__{c}") for c in "abxyn")
+    df = df.withColumns({"__a": F.when(both, order(_pieces(F.col(own), within_lines))), "__b": F.when(both, order(_pieces(F.col(first), within_lines)))})
+    df = df.withColumn("__n", _same(a, b))
+    df = df.withColumns({"__x": order(F.split(F.get(a, n), _TOKEN_END, -1)), "__y": order(F.split(F.get(b, n), _TOKEN_END, -1)), "__a": F.slice(a, 1, n)})
+    df = df.withColumn("__x", F.array_join(F.slice(x, 1, _same(x, y)), ""))
+    more = F.when(F.regexp_count(x, F.lit(_WORD)) >= MIN_SHARED, F.length(x)).otherwise(0)
+    return df.withColumn(own, F.coalesce(F.length(F.array_join(a, "")) + more, F.lit(0))).drop("__a", "__b", "__n", "__x", "__y")
 
 
 def repeated_spans(found: DataFrame, within_lines: bool = True) -> DataFrame:
     """``__rid, start, end`` of the repeats to remove among candidates (``__id, __rid, text, start, left, right``)."""
-    cut = _cuts(within_lines)
     place = F.struct("__id", "__rid", "start")
     first = found.groupBy("text").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__rid", "start", "left", "right")).alias("f")).where("n > 1").drop("n")
     later = found.join(written(first), "text").where(~place.eqNullSafe(F.struct("f.__id", "f.__rid", "f.start")))
-    begin = F.col("start") - _reach(F.col("left"), F.col("f.left"), True, cut)
-    end = F.col("start") + F.length("text") + _reach(F.col("right"), F.col("f.right"), False, cut)
-    return later.select("__rid", begin.alias("start"), end.alias("end")).distinct()
+    later = later.select("__rid", "start", F.length("text").alias("n"), "left", "right", F.col("f.left").alias("first_left"), F.col("f.right").alias("first_right"))
+    later = _reached(_reached(later, "left", "first_left", True, within_lines), "right", "first_right", False, within_lines)
+    return later.select("__rid", (F.col("start") - F.col("left")).alias("start"), (F.col("start") + F.col("n") + F.col("right")).alias("end")).distinct()
 
 
 def _runs(spans: DataFrame) -> DataFrame:
@@ -144,7 +161,7 @@ def _runs(spans: DataFrame) -> DataFrame:
 def _cut(rows: DataFrame, within_lines: bool) -> DataFrame:
     """Packed rows with ``__cut`` (the number of removed chunks, or null) and ``__left`` (the text left)."""
     spans = written(_runs(repeated_spans(_candidates(rows, within_lines), within_lines)))
-    joined = rows.drop("__text").join(spans, "__rid", "left")
+    joined = rows.drop("__text").join(spans.hint("shuffle_hash"), "__rid", "left")
     joined = joined.withColumn("__e", F.when(F.col("__runs").isNotNull(), _escaped("__row.text")))
     part = lambda r: F.substring(F.col("__e"), r["start"] + 1, r["end"] - r["start"])
     breaks = lambda text: F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
@@ -157,16 +174,16 @@ def _cut(rows: DataFrame, within_lines: bool) -> DataFrame:
 
     def kept(r: Column, k: Column) -> Column:
         since = F.when(k > 0, F.get("__runs", k - 1)["end"]).otherwise(0)
-        return F.concat(F.substring(F.col("__e"), since + 1, r["start"] - since), F.lit(_GONE), F.when(F.contains(part(r), F.lit("\n")), "\n").otherwise(""))
+        return F.concat(F.substring(F.col("__e"), since + 1, r["start"] - since), F.lit(_CUT), F.when(F.contains(part(r), F.lit("\n")), "\n").otherwise(""))
 
     tail = F.substring(F.col("__e"), F.element_at("__runs", -1)["end"] + 1, F.length("__e"))
     text = F.concat(F.array_join(F.transform("__runs", kept), ""), tail)
     # A passage from the start of a line takes its line break along; one from inside a line leaves a break if it held one,
     # and one at the end of the text takes the break before it.
-    gone = rf"(?:{_GONE}\n?)"
-    for pattern, new in ((rf"\n?{gone}+\z", ""), (rf"(^|\n){gone}+", "$1"), (rf"(?:{_GONE})*{_GONE}\n{gone}*", "\n")):
+    gone = r"(?:\x00\n?)"
+    for pattern, new in ((rf"\n?{gone}+\z", ""), (rf"(^|\n){gone}+", "$1"), (rf"\x00+\n{gone}*", "\n")):
         text = F.regexp_replace(text, pattern, new)
-    text = F.replace(F.replace(text, F.lit(_GONE), F.lit("")), F.lit(_ZERO), F.lit("\0"))
+    text = _unescaped(F.replace(text, F.lit(_CUT), F.lit("")))
     some = F.size("__runs") > 0
     total = F.aggregate("__runs", F.lit(0), lambda s, r: s + r["n"])
     return sized.select("__row", "__rid", F.when(some, total).alias("__cut"), F.when(some, text).otherwise(F.col("__row.text")).alias("__left"))
