@@ -47,7 +47,7 @@ _TOKEN_END = r"(?<=[ \n])"
 _CUT = "\0"
 _ESCAPES = (("\1", "\1b"), ("\0", "\1a"))
 #: Chunks whose lengths are added up at once, for the place of a chunk in its text.
-_BLOCK = 32
+_BLOCK = 16
 
 
 def _escaped(text: str) -> Column:
