@@ -5,15 +5,15 @@ with d as (
   select row_number() over () as r, doc_id, list_filter(regexp_split_to_array(lower(t), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') as w
   from (select distinct doc_id, coalesce(text, '') as t from documents)),
 i as (
-  select * from (select distinct item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') as iw from benchmark)
-  where len(iw) >= 5),
+  select distinct item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'), lambda x: x <> '') as iw from benchmark),
 m as (
-  select * from (values (0, 9, [0, 1, 3, 4, 6, 8]), (1, 10, [0, 1, 2, 5, 8, 9]), (2, 12, [0, 2, 5, 6, 7, 11]), (3, 5, [0, 1, 2, 3, 4])) as v(mask, width, ones)
-  where mask < 3 or exists (select 1 from i where len(iw) < 9)),
-iat as (select item_id, iw, unnest(range(len(iw) - 4)) as off from i),
+  select * from (values (0, 9, 9, 1000000000, [0, 1, 3, 4, 6, 8]), (1, 10, 10, 1000000000, [0, 1, 2, 5, 8, 9]), (2, 12, 12, 1000000000, [0, 2, 5, 6, 7, 11]), (3, 4, 9, 15, [0, 1, 2, 3]))
+    as v(mask, width, least, most, ones)
+  union all select 100 + n, n, n, n, range(n) from range(1, 9) as g(n)),
+iat as (select item_id, iw, unnest(range(len(iw))) as off from i),
 seed as (
   select distinct item_id, off, mask, array_to_string(list_transform(ones, lambda k: iw[off + k + 1]), ' ') as key
-  from iat, m where off + width <= len(iw)),
+  from iat, m where off + width <= len(iw) and len(iw) between least and most),
 word as (select r, unnest(w) as x, generate_subscripts(w, 1) - 1 as pos from d),
 ahead as (
   select r, pos, [x, lead(x, 1) over s, lead(x, 2) over s, lead(x, 3) over s, lead(x, 4) over s, lead(x, 5) over s, lead(x, 6) over s,
@@ -22,12 +22,14 @@ ahead as (
 dkey as (select r, pos, mask, array_to_string(list_transform(ones, lambda k: xs[k + 1]), ' ') as key from ahead, m where xs[width] is not null),
 hit as (select distinct r, item_id, pos - off as start from dkey join seed using (mask, key)),
 scored as (
-  select d.r, d.doc_id, i.item_id, start, len(iw) as n, len(list_filter(range(len(iw)), lambda k: start + k >= 0 and w[start + k + 1] = iw[k + 1])) as agree
+  select d.r, d.doc_id, i.item_id, start, len(iw) as n, list_filter(range(len(iw)), lambda k: start + k >= 0 and w[start + k + 1] = iw[k + 1]) as ks
   from hit join d using (r) join i using (item_id)),
+sized as (
+  select *, len(ks) as agree, coalesce(list_max(list_transform(ks, lambda k: len(list_filter(ks, lambda j: j >= k and j < k + 40)))), 0) as stretch from scored),
 best as (
-  select *, row_number() over (partition by r, item_id order by agree desc, n desc, start) as o from scored
-  where agree >= 0.5 * n and agree >= least(8, n))
-select doc_id, item_id, agree::double / n as overlap, agree::int as n_matched, n::int as n_item_words, start::int as start from best where o = 1
+  select *, row_number() over (partition by r, item_id order by agree desc, n desc, stretch desc, start) as o from sized
+  where (agree >= 0.5 * n and agree >= least(8, n)) or stretch >= 24)
+select doc_id, item_id, agree::double / n as overlap, agree::int as n_matched, n::int as n_item_words, stretch::int as n_stretch, start::int as start from best where o = 1
 """
 
 RULES = r"""

@@ -14,11 +14,15 @@ forward and backward in one step; rounds are needed only where dependencies lead
 the directions. No conversation is gathered into one array.
 
 ``valid`` asks for a JSON object, a known tool, every required argument, no unknown argument and matching types; a JSON
-null counts as an argument that is absent. Canonical JSON has its keys in order, no blanks, and null where something is missing.
+null counts as an argument that is absent. Whole numbers of any size are integers. Canonical JSON has its keys in order, no blanks,
+and null where something is missing; decimal numbers lose their final zeros (``1.0`` is ``1``), and numbers with an exponent are
+doubles (``1e0`` is ``1.0``).
 
 Defined cases: a call id that occurs twice in a conversation keeps its call of the smallest turn (then name, then
 arguments); of several results the smallest text counts; rows without conv_id or call_id are left out; null or
-malformed arguments are invalid and serialised as null; a missing result gives ``linked`` false. The schemas are
+malformed arguments are invalid and serialised as null; a missing result gives ``linked`` false. Of several schema rows for an
+argument the smallest (type, required) counts. Empty tables of calls give no rows, empty results or schemas no links or no valid call;
+other columns of the three tables are ignored, whatever their names; texts of any length are kept whole. The schemas are
 a bounded table, at most ``MAX_SCHEMA`` rows, which is checked before they are broadcast. Only DataFrame functions are used.
 """
 
@@ -102,7 +106,7 @@ def _argument_type(value: str) -> Column:
     """Schema type of a variant value; null for a JSON null."""
     t = F.upper(F.schema_of_variant(F.col(value)))
     return (
-        F.when(t.isin("BIGINT"), "integer").when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), "number").when(t == "STRING", "string")
+        F.when(t.isin("BIGINT") | t.rlike(r"^DECIMAL\(\d+,0\)$"), "integer").when(t.startswith("DECIMAL") | t.isin("DOUBLE", "FLOAT"), "number").when(t == "STRING", "string")
         .when(t == "BOOLEAN", "boolean").when(t.startswith("ARRAY"), "array").when(t.startswith("OBJECT"), "object")
     )
 
@@ -110,7 +114,9 @@ def _argument_type(value: str) -> Column:
 def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     """``conv_id, call_id`` and ``ok`` for the calls that have arguments, a known tool, or both."""
     spark = calls.sparkSession
-    schemas = schemas.where("name is not null and arg is not null").dropDuplicates(["name", "arg"])
+    # Projected, so that other columns don't clash; one row an argument, the smallest by type where rows disagree.
+    one = F.min(F.struct("type", "required")).alias("s")
+    schemas = schemas.where("name is not null and arg is not null").groupBy("name", "arg").agg(one).select("name", "arg", "s.type", "s.required")
     if schemas.limit(MAX_SCHEMA + 1).count() > MAX_SCHEMA:
         raise ValueError(f"more than {MAX_SCHEMA} schema rows")
     tools = schemas.groupBy("name").agg(F.sum(F.col("required").cast("int")).alias("n_required"))

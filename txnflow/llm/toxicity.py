@@ -9,8 +9,10 @@ weight. A sentence without a feature of the vocabulary counts as clean, so that
 documents a class, those with the smallest hashes of their ids; that bound is all that is limited.
 
 Only rows with ``crc32(doc_id) mod 4 <> 2`` train, and only text is a feature. Null and empty texts have no sentence
-and score 0. Of repeated labels of a document the larger one counts; null labels are left out. Without both classes
-every score is the share of toxic training rows.
+and score 0. Of repeated labels of a document the larger one counts; null labels are left out; of rows that repeat a doc_id the
+smallest text trains and all are scored. Without both classes (no labels, say) every score is the share of toxic training rows, and
+no sentences are named; the columns stay the same. A score of exactly the threshold predicts 1. An empty table gives no rows; other
+columns are ignored, whatever their names; texts of any length are scored whole.
 """
 
 from __future__ import annotations
@@ -62,7 +64,8 @@ def training_sample(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> D
     chosen = known.where("y = 1").orderBy(*order).limit(size).union(known.where("y = 0").orderBy(*order).limit(size))
     # At most 2 * size ids, so this side may be broadcast.
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    return texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+    # One text an id, the smallest, so that the bound holds for rows too.
+    return texts.join(F.broadcast(chosen), "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
 
 
 def vocabulary(sample: DataFrame) -> list[str]:
@@ -71,7 +74,7 @@ def vocabulary(sample: DataFrame) -> list[str]:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in batches:
             found = [sorted(sentence_features(t)) for t in p.text]
-            yield pd.DataFrame({"f": [f for fs in found for f in fs], "y": np.repeat(p.y.to_numpy(), [len(fs) for fs in found])})
+            yield pd.DataFrame({"f": pd.Series([f for fs in found for f in fs], dtype=object), "y": np.repeat(p.y.to_numpy(), [len(fs) for fs in found])})
 
     ship(sample.sparkSession)
     totals = {r.y: r.n for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
@@ -170,7 +173,9 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     sample.unpersist()
     if data.y.nunique() < 2 or not names:
         share = float(data.y.mean()) if len(data) else 0.0
-        return packed(docs).select(F.col("__row.doc_id").alias("doc_id"), held, F.lit(share).alias("score"), F.lit(int(share >= THRESHOLD)).alias("predicted"))
+        constant = F.struct(F.lit(share).alias("score"), *(F.lit(None).cast(k).alias(n) for n, k in (("n_sentences", "int"), ("n_offending", "int"), ("offending", "array<struct<start: int, end: int, score: double>>"))))
+        out = packed(docs).withColumn("__s", constant)
+        return out.select(F.col("__row.doc_id").alias("doc_id"), held, "__s.*").withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
     weights, bias = fit(data, len(names))
     model = spark.sparkContext.broadcast(tuple(zip(names, weights.tolist(), strict=True)))  # at most VOCABULARY items
     run = struct_udf(spark, lambda t: score(t, _weights(model.value), bias), SCHEMA)
