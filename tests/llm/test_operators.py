@@ -8,6 +8,7 @@ import math
 import random
 import re
 import struct
+import time
 
 import numpy as np
 import pandas as pd
@@ -574,6 +575,35 @@ def test_html_text(spark):
     assert html_text.page_texts(d.where("false")).count() == 0
 
 
+def test_html_names_only_lower_scores():
+    """Furniture names on wrappers change nothing, and names that only look alike are kept."""
+    text = lambda page: html_text.extract(page)[0]
+    body = "<h1>Head</h1><p>Long text, here. And more, of it.</p><section id='share-price'><p>Shares, of it, cost 3.</p></section><p data-id='search'>Kept, too.</p>"
+    want = "Head\nLong text, here. And more, of it.\nShares, of it, cost 3.\nKept, too."
+    comments = "<div class='comment-list'><p>A reader says so, here.</p></div>"
+    assert text(f"<body class='home sidebar-right'><article class='post comments-open'>{body}{comments}</article></body>") == want
+    assert text(f"<form><div id='page' class='header-fixed'><div class=sidebar><a>x</a></div><main>{body}</main></div></form>") == want
+    assert text(f"<div><h1>Title</h1><div>{body.replace('h1', 'h3')}</div></div><div>foot</div>") == "Title\n" + want
+
+
+def test_html_scores_decide(spark, monkeypatch):
+    """Where tags and classes say nothing, the paths' scores find the text of most pages, and nothing else does."""
+    pages = [r.html for r in spark.read.parquet(f"{SF}/pages.parquet").collect()]
+    want = [html_text.extract(p)[0] for p in pages]
+    neutral = [re.sub(r"<(/?)(?:article|nav|footer)\b", r"<\1div", p).replace(' class="ad"', ' class="x"') for p in pages]
+    found = sum(html_text.extract(p)[0] == w for p, w in zip(neutral, want, strict=True))
+    monkeypatch.setattr(html_text, "content_paths", lambda page: set(page.path))
+    assert found > 0.75 * len(pages) and sum(html_text.extract(p)[0] == w for p, w in zip(neutral, want, strict=True)) == 0
+
+
+def test_html_time_grows_with_length():
+    """Unclosed and deeply nested elements, many of each, end in seconds."""
+    start = time.time()
+    assert html_text.extract("<p>" + "<b>x " * 100_000)[1] == 199_999
+    assert html_text.extract("<div>" * 100_000 + "deep" + "</span>" * 100_000)[0] == "deep"
+    assert html_text.extract("x<a " * 50_000)[1] > 0 and time.time() - start < 30
+
+
 def test_html_articles_of_the_table(spark):
     import html
 
