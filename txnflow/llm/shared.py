@@ -19,21 +19,35 @@ BLANKS = " \t\n\x0b\x0c\r"
 #: Documents in one batch for a Python worker, at most.
 BATCH_ROWS = 1_000
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
 #: Applications whose workers have this package.
 _SHIPPED: set[str] = set()
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """A new path in the cluster's shared folder (``spark.checkpoint.dir``); a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="txnflow-")
+    """A new path in the cluster's shared folder (``spark.checkpoint.dir``); a local one only for a local master without that."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="txnflow-")
     return f"{base}/txnflow-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, and read again whatever executor is lost."""
-    path = shared_dir(df.sparkSession)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    """``df`` as a table in the shared folder: computed once, and read again whatever executor is lost.
+
+    The shuffle files behind it are of no use then; Spark is asked to remove them when the write ends.
+    """
+    spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    before = spark.conf.get(_CLEANUP, "false")
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def row_id(doc_id: str = "doc_id", text: str = "text") -> Column:
