@@ -524,6 +524,7 @@ def test_license_gates_pass_every_alternative(spark):
     names = [(f[0], t) for f in table for n in f[-2].split(";") for t in _readings(n)]
     texts = [f"SPDX-License-Identifier: {t.upper()}" for _, t in tags] + [f"Here is {t.upper()} license." for _, t in tags] + [f"see https://{f[-1]}" for f in table]
     texts += [x for _, t in names for x in (f"Released under the {t.title()}.", f"the {t} licence", f"the {t.replace(' ', chr(10))} License, version 2.0")]
+    texts += [f"// {x.split(' :: ')[1].capitalize().replace(' ', chr(10) + ' * ', 3)}." for x in licenses.TEXTS.strip().splitlines()]
     rows = licenses.packed(frame(spark, *texts, "licensed under the GNU GPL", "nothing released under any"))
     gated, every = ({tuple(r) for r in licenses.detections(rows, spark, gated).collect()} for gated in (True, False))
     assert gated == every
@@ -536,6 +537,33 @@ def test_license_gates_pass_every_alternative(spark):
     assert labels["licensed under the GNU GPL"] == {"gpl"} and labels["Here is MPL-1.0 license."] == {"mpl"} and labels["the wtfpl licence"] == {"wtfpl"}
 
 
+def test_license_texts_and_lookalikes(spark):
+    """Grants and clauses are found without any name; words that only look like one are not."""
+    d = frame(
+        spark, "Permission is hereby granted, free of charge, to any person obtaining a copy\n * of this software and associated documentation files (the thing)",
+        "# Redistributions of source code must retain the above copyright notice,\n# this list of conditions and the following disclaimer.", "the ruby license plate",
+        "This Source Code Form is subject to the terms of the Mozilla Public\n  License, v. 2.0.",
+    )
+    got = {r.doc_id: (r.labels, r.score) for r in licenses.license_report(d).collect()}
+    assert got == {1: ("mit", 0.98), 2: ("bsd", 0.98), 3: ("", 0.0), 4: ("mpl", 0.98)}
+    assert all(any(x in line.split(" :: ")[1] for x in licenses.STEMS) for line in licenses.TEXTS.strip().splitlines())
+
+
+def test_license_suppression_by_brute_force(spark):
+    rng = random.Random(2)
+    rows = [(d, rng.randrange(50), f"l{k}", 0.5, a, a + rng.randrange(1, 12)) for d in range(40) for k in range(8) for a in [rng.randrange(40)]]
+    expected = set()
+    for d in range(40):
+        own = sorted({r for r in rows if r[0] == d}, key=lambda r: (r[4], -r[5], r[1]))
+        outer = [r for i, r in enumerate(own) if all(o[5] < r[5] for o in own[:i])]
+        for i, r in enumerate(outer):
+            near = [o for o in outer[max(0, i - 1) : i] + outer[i + 1 : i + 2] if o[4] < r[5] and o[5] > r[4]]
+            if all(o[1] >= r[1] for o in near):
+                expected.add(r)
+    found = spark.createDataFrame(sorted(set(rows)), "`__rid` long, priority int, label string, certainty double, start int, end int")
+    assert {tuple(r) for r in licenses.suppressed(found).collect()} == expected
+
+
 def test_quality_counts_by_brute_force(docs, rows):
     got = {r.doc_id: r for r in quality_rules.quality_report(docs).collect()}
     for r in rows:

@@ -1,20 +1,23 @@
 """License scan by ordered signature rules.
 
-Rules are regular expressions built from a table of licenses and a list of forms (tag, address, statement, title,
-short name), so their order is a priority: an earlier form is more certain. A rule runs only on texts that contain what its
-form asks for and one of its gates. Both are parts of the pattern itself, so every match contains them. Of overlapping
-detections those that lie within another one are dropped, the same interval staying with the rule of highest priority; what is
-left names the labels.
+Rules are regular expressions in order of priority. First come phrases of the licenses' own texts and notices, the longer
+ones before; then forms of naming a license (tag, address, statement, title, short name) for each license of a table, an earlier form
+being more certain. A rule runs only on texts that contain what its form asks for and one of its gates. Both are parts of the
+pattern itself, so every match contains them. Of overlapping detections those that lie within another one are dropped, the same
+interval staying with the rule of highest priority; of neighbours that overlap in part the one of lower priority is dropped;
+what is left names the labels.
 
 Besides, the base phrases are counted over all texts: places where the words of a phrase stand consecutively. Words are
 runs of ASCII letters and digits and non-ASCII characters, compared with A-Z as a-z.
 
-Null and empty texts have no words, labels or score. Rows that repeat id and text get equal results. Only DataFrame
+Defined cases: null and empty texts have no words, labels or score; rows that repeat id and text get equal results; an empty
+table gives no rows; other columns are ignored, whatever their names; texts of any length are searched whole. Only DataFrame
 functions are used.
 """
 
 from __future__ import annotations
 
+import functools
 import re
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -102,6 +105,87 @@ json :: json :: json :: json.org/license
 ruby-bsd :: bsd-2-clause-ruby :: ruby bsdl :: ruby-lang.org/en/about/license.bsdl
 """
 
+# Label :: a phrase of the license's own text or notice. Blanks match any run of blanks and comment signs.
+TEXTS = """
+mit :: permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files
+mit :: the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software
+mit-0 :: permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files without any
+isc :: permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
+isc :: permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice
+0bsd :: permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. the software is provided
+bsd :: redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met
+bsd :: redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer
+bsd :: redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer
+bsd-3 :: neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products
+bsd-4 :: all advertising materials mentioning features or use of this software must display the following acknowledgement: this product includes copyright
+bsd-clear :: no express or implied licenses to any party's patent rights are granted by this license
+apache :: licensed under the apache license, version 2.0 (the "license"); you may not use this file except in compliance with the license
+apache :: unless required by applicable law or agreed to in writing, software distributed under the license is distributed on an "as is" basis
+apache :: each contributor hereby grants to you a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce
+gpl :: this program is free software; you can redistribute it and/or modify it under the terms of the gnu general public license
+gpl :: this program is free software: you can redistribute it and/or modify it under the terms of the gnu general public license
+gpl :: everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed
+gpl :: the gnu general public license is a free, copyleft license for software and other kinds of works
+gpl :: the licenses for most software are designed to take away your freedom to share and change it
+lgpl :: this library is free software; you can redistribute it and/or modify it under the terms of the gnu lesser general public license
+lgpl :: this library is free software; you can redistribute it and/or modify it under the terms of the gnu library general public license
+lgpl :: this version of the gnu lesser general public license incorporates the terms and conditions of version 3 of the gnu general public license
+agpl :: it under the terms of the gnu affero general public license as published by the free software foundation
+agpl :: the gnu affero general public license is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation
+gfdl :: permission is granted to copy, distribute and/or modify this document under the terms of the gnu free documentation license
+mpl :: this source code form is subject to the terms of the mozilla public license
+mpl :: the contents of this file are subject to the mozilla public license version
+npl :: the contents of this file are subject to the netscape public license version
+epl :: this program and the accompanying materials are made available under the terms of the eclipse public license
+epl :: the accompanying program is provided under the terms of this eclipse public license
+cpl :: this program and the accompanying materials are made available under the terms of the common public license
+cddl :: the contents of this file are subject to the terms of the common development and distribution license
+zlib :: permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely
+zlib :: altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. this notice may not be removed or altered from any source distribution or licen
+bsl :: permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license
+unlicense :: anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means. in jurisdictions that recognize copyright laws
+unlicense :: we make this dedication for the benefit of the public at large and to the detriment of our heirs and successors. we intend this dedication to be an overt act of relinquishment in perpetuity of all present and future rights to this software under copyright law
+cc0 :: to the extent possible under law, the author has waived all copyright and related or neighboring rights to this work
+cc0 :: the person who associated a work with this deed has dedicated the work to the public domain by waiving all of his or her rights to the work worldwide under copyright law
+cc-by :: this work is licensed under a creative commons attribution
+cc-by :: you are free to share copy and redistribute the material in any medium or format
+cc-by-nc :: you may not use the material for commercial purposes under this license
+cc-by-nd :: if you remix, transform, or build upon the material, you may not distribute the modified material under this license
+cc-by-sa :: you must distribute your contributions under the same license as the original
+wtfpl :: everyone is permitted to copy and distribute verbatim or modified copies of this license document, and changing it is allowed as long as the name is changed
+artistic :: the intent of this document is to state the conditions under which a package may be copied, such that the copyright holder maintains some semblance of artistic control
+artistic :: everyone is permitted to copy and distribute verbatim copies of this license document, but changing it is not allowed. preamble this license establishes the terms under which a given free software package may be copied
+ofl :: this font software is licensed under the sil open font license
+ofl :: permission is hereby granted, free of charge, to any person obtaining a copy of the font software, to use, study, copy, merge, embed, modify, redistribute, and sell
+psf :: psf hereby grants licensee a nonexclusive, royalty-free, world-wide license to reproduce, analyze, test, perform and/or display publicly
+python :: cnri grants licensee a nonexclusive, royalty-free, world-wide license to reproduce, analyze, test
+php :: this product includes php software, freely available from http://www.php.net/software/ under the php license
+openssl :: this product includes software developed by the openssl project for use in the openssl toolkit under this license
+postgresql :: permission to use, copy, modify, and distribute this software and its documentation for any purpose, without fee, and without a written agreement is hereby granted
+ncsa :: permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal with the software without restriction
+x11 :: except as contained in this notice, the name of the x consortium shall not be used in advertising or otherwise to promote the sale without prior written permission
+curl :: permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies
+hpnd :: permission to use, copy, modify, and distribute this software and its documentation for any purpose and without fee is hereby granted
+tcl :: the authors hereby grant permission to use, copy, modify, distribute, and license this software and its documentation for any purpose
+ruby :: you may make and give away verbatim copies of the source form of the software without restriction, provided that you duplicate all of the original copyright notices
+vim :: there are no restrictions on distributing unmodified copies of vim except that they must include this license text
+json :: the software shall be used for good, not evil, under this license
+beerware :: as long as you retain this notice you can do whatever you want with this stuff. if we meet some day, and you think this stuff is worth it, you can buy me a beer under this license
+elastic :: you may not provide the software to third parties as a hosted or managed service, where the service provides users with access to any substantial set of the features licen
+sspl :: if you make the functionality of the program or a modified version available to third parties as a service, you must make the service source code available under this license
+bus :: the licensor hereby grants you the right to copy, modify, create derivative works, redistribute, and make non-production use of the licensed work
+eupl :: licensed under the eupl, version
+ms-pl :: this license governs use of the accompanying software. if you use the software, you accept this license
+upl :: subject to the condition set forth below, permission is hereby granted to any person obtaining a copy of this software, associated documentation and/or data
+llama :: is licensed under the llama 2 community license, copyright meta platforms
+proprietary :: all rights reserved. unauthorized copying of this file, via any medium is strictly prohibited copyright
+proprietary :: this software is the confidential and proprietary information of its copyright owner
+"""
+#: Every phrase above holds one of these, which is looked for first.
+STEMS = ("permission", "licen", "redistribut", "copyright")
+
+#: Words after "license" that make it no software license.
+_NOT = r"(?!\s+(?:plate|number|holder|fee|key|server)s?\b)"
 _STATED = r"(?:licen[cs]ed|released|distributed|available|published|covered|provided)\s+under\s"
 
 #: Forms in order of priority: name, certainty, pattern. {tag}, {name} and {address} come from the table.
@@ -109,13 +193,15 @@ FORMS = (
     ("tag", 1.0, r"spdx-license-identifier:\s*{tag}(?![\w.-])"),
     ("address", 0.95, r"https?://(?:www\.)?{address}[\w./-]*"),
     ("statement", 0.9, _STATED + r"+(?:the\s+)?(?:terms\s+of\s+)?(?:the\s+)?{name}(?![\w-])(?:[\s-]+licen[cs]e)?(?:,?\s+(?:version\s+|v)?\d(?:\.\d)*)?"),
-    ("title", 0.7, r"(?<![\w-]){name}[\s-]+licen[cs]e(?:,?\s+(?:version\s+|v)?\d(?:\.\d)*)?"),
-    ("short", 0.5, r"(?<![\w.-]){tag}(?![\w.-])(?=[^.\n]{{0,80}}licen)"),
+    ("title", 0.7, r"(?<![\w-]){name}[\s-]+licen[cs]e" + _NOT + r"(?:,?\s+(?:version\s+|v)?\d(?:\.\d)*)?"),
+    ("short", 0.5, r"(?<![\w.-]){tag}(?![\w.-])(?=[^.\n]{{0,80}}licen\w*\b" + _NOT + ")"),
 )
+_BLANKS = r"[\s*#/]+"
 
 
 #: What every match of a form contains, as a condition on the lower-cased text.
 ASKS = {
+    "text": lambda low: functools.reduce(Column.__or__, (F.contains(low, F.lit(x)) for x in STEMS)),
     "tag": lambda low: F.contains(low, F.lit("spdx-license-identifier:")),
     "address": lambda low: F.contains(low, F.lit("http")),
     "statement": lambda low: F.contains(low, F.lit("under")) & low.rlike(_STATED),
@@ -136,6 +222,12 @@ def gate(pattern: str) -> str:
 def rules() -> list[tuple[int, str, str, list[str], str, float]]:
     """``(priority, label, form, gates, pattern, certainty)``; lower numbers win. Every match contains one of the gates."""
     out = []
+    # Longer phrases are more particular and come first.
+    for line in sorted(TEXTS.strip().splitlines(), key=len, reverse=True):
+        label, phrase = line.split(" :: ")
+        words = phrase.split()
+        longest = max((re.sub(r"^\W+|\W+$", "", w) for w in words), key=len)
+        out.append((len(out), label, "text", [longest], "(?i)" + _BLANKS.join(map(re.escape, words)), 0.98))
     for form, certainty, pattern in FORMS:
         for line in LICENSES.strip().splitlines():
             label, tag, names, address = line.split(" :: ")
@@ -181,7 +273,7 @@ def detections(rows: DataFrame, spark: SparkSession, gated: bool = True) -> Data
         groups = sorted({(form, tuple(gates)) for _, _, form, gates, _, _ in rules()})
         every = F.array(*(F.struct(F.lit(f).alias("form"), F.array(*map(F.lit, g)).alias("gates")) for f, g in groups))
         present = F.filter(every, lambda g: F.array_contains("forms", g["form"]) & F.exists(g["gates"], lambda w: F.contains(low, w)))
-        # The rule table is a constant of some 340 rows, so it is broadcast.
+        # The rule table is a constant of some 420 rows, so it is broadcast.
         cand = asked.select("__rid", "__text", F.explode(present).alias("g")).select("__rid", "__text", "g.*").join(F.broadcast(table), ["form", "gates"])
     else:
         cand = cand.crossJoin(F.broadcast(table))
@@ -191,8 +283,22 @@ def detections(rows: DataFrame, spark: SparkSession, gated: bool = True) -> Data
     ends = F.transform("m", lambda _, i: F.aggregate(F.slice("gap", 1, i + 1), F.lit(0), lambda a, g: a + F.length(g)) + F.aggregate(F.slice("m", 1, i + 1), F.lit(0), lambda a, g: a + F.length(g)))
     found = cand.select("__rid", "priority", "label", "certainty", F.explode(F.arrays_zip(F.col("m"), ends.alias("end"))).alias("d"))
     found = found.select("__rid", "priority", "label", "certainty", (F.col("d.end") - F.length("d.m")).alias("start"), "d.end")
-    w = Window.partitionBy("__rid").orderBy("start", F.desc("end"), "priority").rowsBetween(Window.unboundedPreceding, -1)
-    return found.withColumn("reach", F.max("end").over(w)).where("reach is null or reach < end").drop("reach")
+    return suppressed(found)
+
+
+def suppressed(found: DataFrame) -> DataFrame:
+    """``found`` without what lies within another detection, and of neighbours that overlap in part the one of lower priority.
+
+    What is left of the first step has rising starts and ends; each detection is compared with the one before and after it.
+    """
+    w = Window.partitionBy("__rid").orderBy("start", F.desc("end"), "priority")
+    reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
+    outer = found.withColumn("reach", reach).where("reach is null or reach < end")
+    w = Window.partitionBy("__rid").orderBy("start")
+    near = F.struct("start", "end", "priority")
+    outer = outer.withColumns({"before": F.lag(near).over(w), "after": F.lead(near).over(w)})
+    beaten = ((F.col("before.end") > F.col("start")) & (F.col("before.priority") < F.col("priority"))) | ((F.col("after.start") < F.col("end")) & (F.col("after.priority") < F.col("priority")))
+    return outer.where(~F.coalesce(beaten, F.lit(False))).drop("reach", "before", "after")
 
 
 def license_report(docs: DataFrame) -> DataFrame:
