@@ -1,5 +1,6 @@
 """The decisions about edge cases, each on a few literal rows."""
 
+import zlib
 from datetime import date
 
 import pytest
@@ -125,3 +126,46 @@ def test_clients_with_an_end_marker(spark):
     d = spark.createDataFrame([("0",), ("1",), ("2",)], "client_id string")
     s = spark.createDataFrame([("0", "end"), ("1", "end"), ("1", "abort")], "client_id string, event string")
     assert values(predicates.completed_clients(d, s), F.col("client_id")) == ["0"]
+
+
+def test_predicates_reach_the_scan(spark, tmp_path):
+    """Plain comparisons of stored columns are filters of the scan."""
+    spark.createDataFrame([(1.0, "a", 3), (None, None, None)], "x double, s string, n long").write.parquet(str(tmp_path / "t"))
+    d = spark.read.parquet(str(tmp_path / "t"))
+    for field, op, value, pushed in [
+        ("x", "lt", 50, "LessThan(x,50.0)"), ("n", "ge", 2, "GreaterThanOrEqual(n,2)"), ("s", "eq", "a", "EqualTo(s,a)"), ("s", "startswith", "a", "StringStartsWith(s,a)"), ("s", "in", ["a", "b"], "In(s, [a,b])"),
+    ]:
+        out = predicates.where_op(d, field, op, value)
+        assert pushed in out._jdf.queryExecution().executedPlan().toString() and out.count() == 1
+    assert predicates.where_op(d, "x", "neq", 1).count() == 1 and predicates.where_op(d, "n", "eq", 2.5).count() == 0
+
+
+def test_crc32_shards(spark):
+    d = spark.createDataFrame([("a", 1), ("", 22), (None, 3), ("é", 4)], "s string, n long")
+    assert values(d, fn.shard_crc32(["s", "n"], 7)) == [zlib.crc32(t.encode()) % 7 for t in ("a1", "22", "3", "é4")]
+    assert values(d, fn.shard_crc32(["s", "n"], 7, "|")) == [zlib.crc32(t.encode()) % 7 for t in ("a|1", "|22", "3", "é|4")]
+
+
+def test_partitioning(spark):
+    d = spark.range(40).select(F.concat(F.lit("00"), F.col("id") % 4).alias("k"), (F.col("id") % 3).alias("j"))
+    by = quality.repartition_by(d, 5, fn.normalize_bank_id("k"), "j").withColumn("p", F.spark_partition_id())
+    assert by.groupBy("k", "j").agg(F.countDistinct("p").alias("n")).where("n > 1").count() == 0 and by.count() == 40
+    assert quality.spread(d, 4).rdd.getNumPartitions() == 4 and quality.spread(d, 4).count() == 40
+
+
+def test_files_to_results(spark, tmp_path):
+    """Source files of one client to the five folders, with a fiat rate file behind the conversion."""
+    (tmp_path / "tx.csv").write_text(
+        "Timestamp,From Bank,Account,To Bank,Account,Amount Received,Receiving Currency,Amount Paid,Payment Currency,Payment Format\n"
+        "2022/09/01 00:08,011,A,02,B,1,Euro,0.50,Euro,Wire\n2022/09/01 00:09,011,A,02,B,1,Yuan,0.50,Yuan,ACH\n"
+        "2022/09/02 00:10,011,A,02,B,1,US Dollar,7.25,US Dollar,Cheque\n2022/09/02 00:11,011,A,02,B,1,Bitcoin,0.00001,Bitcoin,Wire\n"
+    )
+    (tmp_path / "accounts.csv").write_text("Bank Name,Bank ID\nFirst,11\n")
+    (tmp_path / "btc.csv").write_text("date,rate\n2022/09/02,20000\n")
+    (tmp_path / "fiat.csv").write_text("day,origin,target,rate\n2022-09-01,eur,USD,1.0\n2022-09-01,CNY,usd,bad\nx\n")
+    path = lambda name: str(tmp_path / name)
+    payments.run_files(spark, path("tx.csv"), path("accounts.csv"), path("btc.csv"), path("out"), path("fiat.csv"))
+    lines = {q: sorted(x for f in (tmp_path / "out" / f"results_{q}").rglob("*.csv") for x in f.read_text().split()) for q in ("q1", "q2", "q3", "q4", "q5")}
+    assert lines == {"q1": ["011,A,02,B,7.25"], "q2": ["11,A,First,7.25"], "q3": [], "q4": [], "q5": ["2"]}
+    fiat = readers.read_fiat_rates(spark, path("fiat.csv"))
+    assert [tuple(r) for r in fiat.collect()] == [(date(2022, 9, 1), "EUR", "USD", 1.0)]

@@ -16,15 +16,19 @@ def distinct_edges(e: DataFrame) -> DataFrame:
     return e.dropDuplicates(["client_id", "src", "dst"])
 
 
-def node_degrees(e: DataFrame, side: str, k: int = 0) -> DataFrame:
-    """Number of different neighbours of each node as ``side`` ("src": fan-out, "dst": fan-in), where over ``k``."""
+def node_degrees(e: DataFrame, side: str, k: int = 0, unique: bool = False) -> DataFrame:
+    """Number of different neighbours of each node as ``side`` ("src": fan-out, "dst": fan-in), where over ``k``.
+
+    Edges known to be ``unique`` are just counted, which takes one shuffle less.
+    """
     other = "dst" if side == "src" else "src"
-    return e.groupBy("client_id", side).agg(F.countDistinct(other).alias("n")).where(F.col("n") > k)
+    n = F.count(other) if unique else F.countDistinct(other)
+    return e.groupBy("client_id", side).agg(n.alias("n")).where(F.col("n") > k)
 
 
-def with_degree(e: DataFrame, side: str, k: int) -> DataFrame:
+def with_degree(e: DataFrame, side: str, k: int, unique: bool = False) -> DataFrame:
     """Edges whose ``side`` node has more than ``k`` different neighbours."""
-    return e.join(node_degrees(e, side, k), ["client_id", side], "left_semi").select("client_id", "src", "dst")
+    return e.join(node_degrees(e, side, k, unique), ["client_id", side], "left_semi").select("client_id", "src", "dst")
 
 
 def tagged_edges(incoming: DataFrame, outgoing: DataFrame) -> DataFrame:
@@ -59,5 +63,5 @@ def scatter_gather(txns: DataFrame, k: int = 5, multiplicity: str = "set", prune
         hubs = with_degree(e, "src", k)
         return endpoints(path_counts(two_hop(hubs, hubs), k))
     e = distinct_edges(e)
-    first, second = (with_degree(e, "src", k), with_degree(e, "dst", k)) if prune else (e, e)
+    first, second = (with_degree(e, "src", k, True), with_degree(e, "dst", k, True)) if prune else (e, e)
     return endpoints(path_counts(two_hop(first, second), k))

@@ -24,37 +24,48 @@ _TEXT = {
 OPS = ("eq", "neq", "lt", "le", "gt", "ge", "contains", "startswith", "endswith", "in")
 
 
-def predicate(field: str, op: str, value) -> Column:
-    """Boolean column, never null. The type of ``value`` decides the comparison.
+_NUMERIC = ("tinyint", "smallint", "int", "bigint", "double")
 
-    Numbers compare as doubles (decimal comma accepted), dates by day, a pair of dates with ``in`` as an
-    inclusive day range in either order, a list with ``in`` by text, everything else as text. What can't be
-    parsed fails every operator but ``neq``.
-    """
+
+def _condition(x: Column, op: str, value, kind: str = "string") -> Column:
+    """The comparison itself, null where what is compared can't be parsed. ``kind`` is the column's type."""
     if op not in OPS:
         raise ValueError(f"unknown operator {op!r}; known: {', '.join(OPS)}")
-    x = F.col(field)
+    text = x if kind == "string" else x.cast("string")
     if op == "in":
         if isinstance(value, tuple) and len(value) == 2 and all(isinstance(v, date) for v in value):
-            return F.coalesce(to_day(x).between(F.lit(min(value)), F.lit(max(value))), F.lit(False))
+            return to_day(x).between(F.lit(min(value)), F.lit(max(value)))
         if not isinstance(value, (list, set, tuple)):
             raise ValueError("'in' needs a list or a pair of dates")
-        return F.coalesce(x.cast("string").isin([str(v) for v in value]), F.lit(False))
+        return text.isin([str(v) for v in value])
     if isinstance(value, (list, tuple, set)):
         raise ValueError("a list or a pair of dates needs the operator 'in'")
     if op in _TEXT:
-        return F.coalesce(_TEXT[op](x.cast("string"), str(value)), F.lit(False))
+        return _TEXT[op](text, str(value))
     if isinstance(value, (int, float)) and not isinstance(value, bool):
-        x, value = to_number(x), F.lit(float(value))
+        # A numeric column is compared as it is, so that the scan can do it.
+        x, value = (x, F.lit(int(value) if kind != "double" and float(value).is_integer() else float(value))) if kind in _NUMERIC else (to_number(x), F.lit(float(value)))
     elif isinstance(value, date):
         x, value = to_day(x), F.lit(value)
     else:
-        x, value = x.cast("string"), F.lit(str(value))
-    return ~x.eqNullSafe(value) if op == "neq" else F.coalesce(_COMPARE[op](x, value), F.lit(False))
+        x, value = text, F.lit(str(value))
+    return ~x.eqNullSafe(value) if op == "neq" else _COMPARE[op](x, value)
+
+
+def predicate(field: str, op: str, value) -> Column:
+    """Boolean column, never null. The type of ``value`` decides the comparison.
+
+    Numbers compare as doubles (decimal comma accepted), dates by day, a pair of dates with ``in`` as an
+    inclusive day range in either order, a list with ``in`` by text, everything else as text. What can't be
+    parsed fails every operator but ``neq``.
+    """
+    return F.coalesce(_condition(F.col(field), op, value, ""), F.lit(False))
 
 
 def where_op(df: DataFrame, field: str, op: str, value) -> DataFrame:
-    return df.where(predicate(field, op, value))
+    """Rows that ``predicate`` holds for. The column's type is known here, so plain comparisons reach the scan."""
+    kind = df.schema[field].dataType.simpleString() if field in df.columns else ""
+    return df.where(_condition(F.col(field), op, value, kind))
 
 
 def drop_filter_field(df: DataFrame, field: str, op: str, value) -> DataFrame:

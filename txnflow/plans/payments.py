@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 from txnflow.operators.aggregates import aggregate
 from txnflow.operators.fx import convert_currency
 from txnflow.operators.graph import scatter_gather
 from txnflow.operators.joins import add_bank_name, below_group_baseline
 from txnflow.operators.predicates import where_op
+from txnflow.operators.quality import tag_client
 from txnflow.functions import normalize_bank_id
 from txnflow.schema import BASE_PERIOD, BASELINE_COEF, MIN_PATHS, PROBE_PERIOD
-from txnflow.sources.sinks import result_columns
+from txnflow.sources.readers import fx_rates, read_accounts, read_btc_rates, read_fiat_rates, read_transactions
+from txnflow.sources.sinks import result_columns, write_results
 
 
 def usd(txns: DataFrame) -> DataFrame:
@@ -46,6 +48,16 @@ def micro_count(txns: DataFrame, rates: DataFrame, period=BASE_PERIOD, formats=(
 
 
 def run_all(txns: DataFrame, accounts: DataFrame, rates: DataFrame) -> dict[str, DataFrame]:
-    """All five over one kept copy of the transactions."""
-    shared = txns.persist()
-    return {"q1": small_payments(shared), "q2": bank_max(shared, accounts), "q3": far_below_baseline(shared), "q4": scatter_gather_accounts(shared), "q5": micro_count(shared, rates)}
+    """All five results by name. Persist ``txns`` before and release it after the results are written."""
+    return {"q1": small_payments(txns), "q2": bank_max(txns, accounts), "q3": far_below_baseline(txns), "q4": scatter_gather_accounts(txns), "q5": micro_count(txns, rates)}
+
+
+def run_files(spark: SparkSession, transactions: str, accounts: str, btc: str, out: str, fiat: str | None = None, client: str = "0") -> None:
+    """From the source files of one client to the five result folders under ``out``."""
+    txns = tag_client(read_transactions(spark, transactions), client).persist()
+    rates = fx_rates(read_btc_rates(spark, btc), read_fiat_rates(spark, fiat) if fiat else None)
+    try:
+        for name, result in run_all(txns, tag_client(read_accounts(spark, accounts), client), rates).items():
+            write_results(result, out, name)
+    finally:
+        txns.unpersist()

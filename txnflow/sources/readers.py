@@ -64,6 +64,14 @@ def read_btc_rates(spark: SparkSession, path: str) -> DataFrame:
     return out.where(F.col("day").isNotNull() & F.col("rate").isNotNull())
 
 
+def read_fiat_rates(spark: SparkSession, path: str) -> DataFrame:
+    """``day, origin, target, rate`` of other currencies, with headers of these names; lines that can't be parsed are skipped."""
+    raw = spark.read.schema("day string, origin string, target string, rate string").options(header=True, mode="PERMISSIVE").csv(path)
+    day = F.regexp_replace(F.trim("day"), "/", "-").try_cast("date").alias("day")
+    out = raw.select(day, F.upper(F.trim("origin")).alias("origin"), F.upper(F.trim("target")).alias("target"), to_number("rate").alias("rate"))
+    return out.dropna()
+
+
 def fx_rates(btc: DataFrame, fiat: DataFrame | None = None) -> DataFrame:
     """The rate table: bitcoin divides by its dollar price, other currencies multiply."""
     out = btc.select("day", F.lit("BTC").alias("origin"), F.lit("USD").alias("target"), "rate", F.lit("div").alias("op"))

@@ -9,6 +9,8 @@ from pyspark.sql import SparkSession
 
 
 def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh path in the cluster's shared folder; a local temporary folder only where none is set."""
+    """A fresh path in the cluster's shared folder; a local temporary folder only for a local master without one."""
     shared = spark.conf.get("spark.checkpoint.dir", None)
+    if not shared and not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
     return f"{shared or tempfile.mkdtemp(prefix='txnflow-')}/{name}-{uuid.uuid4().hex}"
