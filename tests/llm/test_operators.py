@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -9,6 +10,7 @@ import random
 import re
 import struct
 import time
+import zlib
 
 import numpy as np
 import pandas as pd
@@ -324,15 +326,14 @@ def test_line_dedup_survives_a_variant(spark):
     assert all(out[d].n_removed_chunks > 0 and len(out[d].text) < len(texts[d - 1]) / 2 for d in (3, 4))
 
 
-def test_leaks_by_brute_force(spark, docs, rows):
-    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+def brute_leaks(rows, items):
+    """Pairs of document and item with an alignment that agrees enough."""
     words = lambda t: [w for w in re.split(decontaminate._GAP, t.lower()) if w]
     at = {i: words(t) for i, t in items.items()}
     expected = set()
     for r in rows:
-        w = words(r.text)
         place = collections.defaultdict(list)
-        for i, x in enumerate(w):
+        for i, x in enumerate(words(r.text)):
             place[x].append(i)
         for item, iw in at.items():
             diagonals = collections.defaultdict(list)
@@ -343,8 +344,13 @@ def test_leaks_by_brute_force(spark, docs, rows):
                 stretch = max(sum(k <= j < k + decontaminate.STRETCH for j in ks) for k in ks)
                 if len(ks) >= max(0.5 * len(iw), min(8, len(iw))) or stretch >= decontaminate.MIN_STRETCH:
                     expected.add((r.doc_id, item))
-    got = {(r.doc_id, r.item_id) for r in decontaminate.leak_report(docs, spark.read.parquet(f"{SF}/benchmark.parquet")).collect()}
-    assert got == expected
+    return expected
+
+
+def test_leaks_by_brute_force(spark, docs, rows):
+    bench = spark.read.parquet(f"{SF}/benchmark.parquet")
+    got = {(r.doc_id, r.item_id) for r in decontaminate.leak_report(docs, bench).collect()}
+    assert got == brute_leaks(rows, {r.item_id: r.text for r in bench.collect()})
 
 
 def test_leaks_do_not_depend_on_other_items(spark):
@@ -418,6 +424,7 @@ def test_toxicity_noisy_or_by_brute_force():
     assert all(loss(w + step * np.eye(6)[k]) > at - 1e-3 for k in range(6) for step in (-0.3, 0.3)) and w[1] > max(w[2:])
 
 
+@functools.cache
 def _tiktoken():
     import tiktoken
 
@@ -425,13 +432,24 @@ def _tiktoken():
     return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+def token_digests(text):
+    """Count and digests of the tiktoken library's ids."""
+    ids = _tiktoken().encode_ordinary(text)
+    return len(ids), hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest(), hashlib.sha256(text.encode()).hexdigest()
+
+
 def test_bpe_equals_tiktoken(spark, docs, rows):
-    encoding = _tiktoken()
     got = {r.doc_id: r for r in bpe.token_report(spark, docs, RANKS, PATTERN).collect()}
     for r in rows:
-        ids = encoding.encode_ordinary(r.text)
-        digest = hashlib.sha256(struct.pack(f"<{len(ids)}I", *ids)).hexdigest()
-        assert (len(ids), digest, hashlib.sha256(r.text.encode()).hexdigest()) == (got[r.doc_id].n_tokens, got[r.doc_id].ids_sha256, got[r.doc_id].decoded_sha256)
+        assert token_digests(r.text) == (got[r.doc_id].n_tokens, got[r.doc_id].ids_sha256, got[r.doc_id].decoded_sha256)
+
+
+def test_bpe_every_character():
+    """Each character of Unicode between others is split and encoded as the library does."""
+    codec, encoding = bpe.Codec(*bpe.load(RANKS, PATTERN)), _tiktoken()
+    for at in range(0, 0x110000, 0x2000):
+        text = "".join(f"a{chr(c)} 1{chr(c)}" for c in range(at, at + 0x2000) if not 0xD800 <= c < 0xE000)
+        assert list(memoryview(codec.encode(text)).cast("I")) == encoding.encode_ordinary(text)
 
 
 def shingle_set(text):
@@ -564,6 +582,32 @@ def test_license_suppression_by_brute_force(spark):
     assert {tuple(r) for r in licenses.suppressed(found).collect()} == expected
 
 
+def test_quality_discriminant_by_brute_force(spark, docs, rows):
+    """Moments, log-densities and the calibrated scores from raw vectors in numpy."""
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    y = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None}
+    train = lambda d: zlib.crc32(str(d).encode()) % 5 != 0
+    x = {r.doc_id: np.array(quality_qda.statistics(r.text)) for r in rows}
+    of = {c: np.array([x[d] for d in x if train(d) and y.get(d) == c]) for c in (0, 1)}
+    frame_ = spark.createDataFrame([(c, v.tolist()) for c, vs in of.items() for v in vs], "y int, x array<double>")
+    got = quality_qda.moments(frame_)
+    pooled = sum(len(v) * np.cov(v.T, bias=True) for v in of.values()) / sum(map(len, of.values()))
+    density = {}
+    for c, v in of.items():
+        n, mean, cov = got[c]
+        assert n == len(v) and np.allclose(mean, v.mean(axis=0)) and np.allclose(cov, np.cov(v.T, bias=True), atol=1e-9)
+        s = 0.9 * cov + 0.1 * pooled
+        s = 0.9 * s + 0.1 * np.diag(np.diag(s)) + 1e-4 * np.eye(len(s))
+        density[c] = {d: -0.5 * (w - mean) @ np.linalg.solve(s, w - mean) - 0.5 * np.linalg.slogdet(s)[1] for d, w in x.items()}
+    ids = sorted(x)
+    llr = np.array([density[1][d] - density[0][d] for d in ids])
+    assert np.allclose(quality_qda.Discriminant(got).difference(np.array([x[d] for d in ids])), llr, rtol=1e-6, atol=1e-6)
+    score = {r.doc_id: (r.score, r.predicted) for r in quality_qda.quality_scores(docs, labels).collect()}
+    order = np.argsort(np.clip(llr, -50, 50), kind="stable")
+    assert np.all(np.diff([score[ids[i]][0] for i in order]) >= -1e-9)
+    assert all(p == (s >= 0.3) for s, p in score.values())
+
+
 def test_quality_counts_by_brute_force(docs, rows):
     got = {r.doc_id: r for r in quality_rules.quality_report(docs).collect()}
     for r in rows:

@@ -3,7 +3,7 @@
 import collections
 
 import corpus_pipeline
-from tests.llm.test_operators import SF, brute_classes, frame
+from tests.llm.test_operators import SF, brute_classes, brute_leaks, frame, rebuilt_without_repeats, token_digests
 from txnflow.llm import quality_rules
 
 
@@ -19,10 +19,17 @@ def test_stages(spark):
     ids = lambda rows: {r.doc_id for r in rows}
     judged = {r.doc_id: quality_rules.judge(r.text) for r in raw}
     assert ids(clean) == {d for d, q in judged.items() if q[6]} and all(r.text == judged[r.doc_id][9] and r.n_chars == len(r.text) for r in clean)
-    assert ids(lines) <= ids(clean)
+    left = rebuilt_without_repeats(clean)
+    gone = {r.doc_id for r in clean if left[r.doc_id] != r.text and not left[r.doc_id].strip()}
+    assert {r.doc_id: r.text for r in lines} == {d: t for d, t in left.items() if d not in gone}
+    assert all(r.n_chars == len(r.text) for r in lines)
     classes = brute_classes(lines)
     assert ids(near) == {d for d, (c, _) in classes.items() if d == c}
-    assert ids(bench) <= ids(near) and ids(tokens) == ids(bench)
+    text = {r.doc_id: r.text for r in lines}
+    assert all(r.text == text[r.doc_id] for r in near) and all(r.text == text[r.doc_id] for r in bench)
+    items = {r.item_id: r.text for r in spark.read.parquet(f"{SF}/benchmark.parquet").collect()}
+    assert ids(bench) == ids(near) - {d for d, _ in brute_leaks(near, items)}
+    assert {(r.doc_id, r.n_tokens, r.ids_sha256, r.decoded_sha256) for r in tokens} == {(r.doc_id, *token_digests(r.text)) for r in bench}
     assert collections.Counter(ids(tokens)) == collections.Counter({r.doc_id: 1 for r in corpus_pipeline.run(spark, SF).collect()})
 
 

@@ -25,6 +25,16 @@ SCHEMA = "n_tokens long, ids_sha256 string, decoded_sha256 string"
 CACHE = 200_000
 
 
+# Letters and numbers that the regex module knows and the tables of the tiktoken library don't have yet. There
+# they count as other signs, and so they do here.
+LATE_CHARACTERS = """
+558 58B-58C 88F C5C CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 10ED9-10EEE 11B0A
+11DB0-11DDB 11DE0-11DE9 11DF1 1246F 12475-1247F 12550-12686 16EA0-16EB8 16EBB-16ED3 16FF2-16FF6 187F8-187FF 18CD6-18CDA 18D09-18D20
+18D80-18DF2 18E00-19191 191A0-191D2 1B123-1B128 1B168 1D6A6 1DF1F-1DF24 1DF2B-1DF81 1DF90-1DF96 1DFCD-1DFFF 1E6C0-1E6DE 1E6E0-1E6E2
+1E6E4-1E6E5 1E6E7-1E6ED 1E6F0-1E6F4 1E6FE-1E6FF 2B73A-2B73F 2B81E 2CEA2-2CEAD 323B0-33479 3D000-3FC3F
+"""
+
+
 def byte_characters() -> list[str]:
     """A printable character for each byte: itself where Latin-1 prints it, else the next from U+0100 on."""
     printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
@@ -105,7 +115,9 @@ class Codec:
         sp = sentencepiece.SentencePieceProcessor(model_proto=proto)
         back = {c: b for b, c in enumerate(byte_characters())}
         pieces = [sp.id_to_piece(i) for i in range(sp.get_piece_size() - 1)]
-        self.split_any = regex.compile(pattern).findall
+        self.split_any = regex.compile(pattern)
+        late = "".join("-".join(f"\\U{int(c, 16):08x}" for c in r.split("-")) for r in LATE_CHARACTERS.split())
+        self.late = regex.compile(f"[{late}]")
         self.split_latin = re.compile(latin_pattern(pattern)).findall
         self.bytes_of = [bytes(map(back.__getitem__, p)) for p in pieces]
         self.known = _Ids(sp, {p: i for i, p in enumerate(pieces)})
@@ -119,7 +131,9 @@ class Codec:
         try:
             text.encode("latin-1")
         except UnicodeEncodeError:
-            return self.split_any(text)
+            if not self.late.search(text):
+                return self.split_any.findall(text)
+            return [text[slice(*m.span())] for m in self.split_any.finditer(self.late.sub("\u2022", text))]
         return self.split_latin(text)
 
     def decode(self, packed_ids: bytes) -> bytes:
