@@ -497,6 +497,56 @@ def test_near_duplicates_in_many_blocks(spark, monkeypatch):
     assert got == brute_classes(d.collect())
 
 
+def signed_texts(spark, *texts):
+    """Each text once, with its signature."""
+    floor = near_dup.prefix_depth(near_dup.THRESHOLD, 64)
+    d = near_dup.packed(frame(spark, *texts)).select(F.md5("__text").alias("rid"), F.col("__rid").alias("row"), F.col("__text").alias("text"))
+    return floor, near_dup.written(near_dup._signed(d, near_dup.TREES, floor))
+
+
+def entries_of(copies):
+    member = copies.select("rid", F.inline(F.arrays_zip(F.col("nodes").alias("node"), "after")))
+    return member.join(member.groupBy("node").agg(F.min("rid").alias("head"), F.count("*").alias("m")).where("m > 1"), "node")
+
+
+def varied(base, changes):
+    return " ".join(f"new{i}" if i in changes else w for i, w in enumerate(base))
+
+
+def test_forest_depth_follows_the_weakest_link(spark):
+    """Close copies alone keep the long prefix; one weak link among them shortens it, in the result without loss."""
+    base = [f"word{i}" for i in range(1000)]
+    close = [varied(base, {40 * k}) for k in range(12)]
+    weak = [varied([f"other{i}" for i in range(1000)], set(range(0, 20 * k, 20))) for k in (0, 20)]
+    limits = (near_dup.THRESHOLD, near_dup.TREES, near_dup.TARGET_RECALL)
+    for texts, extra in ((close, near_dup.LEVELS), (close + weak, 0)):
+        floor, copies = signed_texts(spark, *texts)
+        assert near_dup.measured_depth(entries_of(copies), copies, *limits, floor) == floor + extra
+        d = frame(spark, *texts)
+        assert {r.doc_id: (r.class_id, r.n_links) for r in near_dup.near_duplicates(d).collect()} == brute_classes(d.collect())
+
+
+def test_chance_meetings_link_nothing(spark):
+    """A chain of texts that share half of their shingles with the next meets in many nodes, and forms no group."""
+    words = [f"word{i}" for i in range(40_000)]
+    _, copies = signed_texts(spark, *(" ".join(words[100 * k : 100 * k + 300]) for k in range(300)))
+    assert entries_of(copies).where("rid <> head").select("rid").distinct().count() > 20  # 40 are expected
+    assert near_dup.candidates(copies, near_dup.THRESHOLD, near_dup.TREES, near_dup.TARGET_RECALL).count() <= 6
+
+
+def test_sketch_estimates_similarity(spark):
+    """Also of short texts, whose minima are few."""
+    for n, changed in ((40, {20}), (300, {150}), (1000, {300, 600})):
+        base = [f"word{i}" for i in range(n)]
+        texts = " ".join(base), varied(base, changed)
+        floor, copies = signed_texts(spark, *texts)
+        a, b = (r.rid for r in copies.select("rid").collect())
+        pairs = spark.createDataFrame([(a, b)], "a string, b string")
+        estimate = near_dup._estimated(pairs, copies, near_dup.TREES * (floor + near_dup.LEVELS)).first().estimate
+        s, t = map(shingle_set, texts)
+        assert abs(estimate - len(s & t) / len(s | t)) < 1.5 * near_dup.SKETCH_ERROR
+
+
 def test_license_base_by_brute_force(docs, rows):
     word = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     low = {c: c + 32 for c in range(65, 91)}
