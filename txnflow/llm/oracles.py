@@ -68,4 +68,37 @@ select *, n_words < 10 or 100 * n_repeat_words > 20 * n_words as base_failed,
 from j
 """
 
-ORACLES = {"op4_decontaminate": LEAKS, "op10_quality_rules": RULES}
+
+
+def vector_codes(rounds: int = 4, parts: int = 4, entries: int = 256) -> str:
+    """Product quantisation by a full search: each round's assignment and codebook is a table of its own."""
+
+    def assigned(r: int) -> str:
+        return f"""a{r} as materialized (
+  select i, p, min_by(e, (dist, e)) as e, min(dist) as dist
+  from (select v.i, v.p, b.e, list_sum(list_transform(list_zip(v.y, b.c), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) as dist from v join b{r} b using (p)) group by i, p)"""
+
+    def moved(r: int) -> str:
+        return f"""b{r + 1} as materialized (
+  select b.p, b.e, coalesce(m.c, b.c) as c from b{r} b left join (
+    select p, e, list(m order by j) as c
+    from (select p, e, j, cast(floor(sum(x) / count(*)) as bigint) as m from (select p, e, unnest(y) as x, generate_subscripts(y, 1) as j from a{r} join v using (i, p)) group by p, e, j)
+    group by p, e) m using (p, e))"""
+
+    steps = ",\n".join(x for r in range(rounds) for x in (assigned(r), moved(r)))
+    return f"""
+with k as materialized (
+  select row_number() over (order by vec_id nulls last, x) - 1 as i, vec_id, label, x from (
+    select vec_id, label, list_transform(embedding, lambda c: cast(floor(1024 * cast(c as double)) as bigint)) as x from embeddings
+    where embedding is not null and len(list_filter(embedding, lambda c: c is null or not isfinite(c))) = 0)),
+v as materialized (select i, p, x[p * len(x) // {parts} + 1:(p + 1) * len(x) // {parts}] as y from k, range({parts}) as g(p)),
+b0 as materialized (select p, i as e, y as c from v where i < {entries}),
+{steps},
+{assigned(rounds)},
+coded as (select i, string_agg(printf('%02x', e), '' order by p) as code, cast(sum(dist) as bigint) as error from a{rounds} group by i),
+books as (select sha256(string_agg(array_to_string(c, ','), ',' order by p, e)) as codebooks_sha256 from b{rounds})
+select vec_id, code, error, cast(sum(error) over (partition by label) as bigint) as label_error, codebooks_sha256 from coded join k using (i), books
+"""
+
+
+ORACLES = {"op4_decontaminate": LEAKS, "op10_quality_rules": RULES, "op11_vector_codes": vector_codes()}

@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from txnflow.llm import bpe, decontaminate, html_text, licenses, line_dedup, near_dup, oracles, quality_qda, quality_rules, tool_calls, toxicity
+from txnflow.llm import bpe, decontaminate, html_text, language_id, licenses, line_dedup, near_dup, oracles, quality_qda, quality_rules, tool_calls, toxicity, vector_codes, whitening
 
 #: Place of the rank file and its pre-token pattern.
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
@@ -60,11 +60,23 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_report(table(spark, sf_dir, "documents"))
 
 
+def op11_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes.vector_codes(table(spark, sf_dir, "embeddings"))
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(table(spark, sf_dir, "embeddings"))
+
+
+def op13_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_id.languages(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
         op1_tool_calls, op2_line_dedup, op3_html_text, op4_decontaminate, op5_toxicity, op6_bpe,
-        op7_near_duplicates, op8_quality, op9_licenses, op10_quality_rules,
+        op7_near_duplicates, op8_quality, op9_licenses, op10_quality_rules, op11_vector_codes, op12_whitening, op13_language_id,
     )
 }
 ORACLES: dict[str, str] = {
