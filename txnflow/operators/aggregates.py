@@ -21,7 +21,8 @@ def aggregate(df: DataFrame, op: str, field: str | None = None, key: list[str] =
     g = df.groupBy(*_keys(list(key)))
     if op == "max":
         v = to_number(field)
-        best = F.min_by(F.struct(*carry), F.struct((-v).alias("v"), *carry)) if carry else None
+        # Rows without a value are no candidates.
+        best = F.min_by(F.struct(*carry), F.when(v.isNotNull(), F.struct((-v).alias("v"), *carry))) if carry else None
         out = g.agg(F.max(v).alias(field), *([best.alias("_row")] if carry else []))
         out = out.select(*_keys(list(key)), field, *(F.col("_row")[c].alias(c) for c in carry))
     elif op == "avg":

@@ -13,8 +13,13 @@ def _requests(df: DataFrame, target: str) -> DataFrame:
 
 
 def convert_currency(df: DataFrame, rates: DataFrame, target: str = "USD") -> DataFrame:
-    """``amount`` in ``target``; ``op`` of a rate says whether it multiplies or divides. Rows without a rate drop out."""
-    r = rates.where(F.col("target") == target).select(F.col("day").alias("_day"), F.col("origin").alias("_origin"), "rate", "op")
+    """``amount`` in ``target``; ``op`` of a rate says whether it multiplies or divides. Rows without a rate drop out.
+
+    Of several rates for a day and currency the smallest counts, those that divide before those that multiply, so a
+    payment is never doubled.
+    """
+    first = F.min(F.struct("op", "rate")).alias("_r")
+    r = rates.where((F.col("target") == target) & F.col("rate").isNotNull()).groupBy(F.col("day").alias("_day"), F.col("origin").alias("_origin")).agg(first).select("_day", "_origin", "_r.rate", "_r.op")
     out = _requests(df, target).join(r, ["_day", "_origin"], "left")
     amount = F.when(F.col("_origin") == target, F.col("amount")).when(F.col("op") == "div", F.try_divide("amount", "rate")).when(F.col("op") == "mul", F.col("amount") * F.col("rate"))
     return out.withColumns({"amount": amount, "currency": F.lit(target)}).where(F.col("amount").isNotNull()).drop("_day", "_origin", "rate", "op")

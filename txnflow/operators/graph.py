@@ -5,6 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from txnflow.sources.scratch import stored
+
+#: Paths through one middle node above which it is a hub, and edges in a block of a hub's.
+HUB_PATHS, HUB_BLOCK = 1_000_000, 1_000
+#: Hubs are broadcast up to so many, else joined by shuffle.
+BROADCAST_HUBS = 10_000
+
 
 def edges(txns: DataFrame) -> DataFrame:
     """Directed payment edges, repeats kept."""
@@ -35,15 +42,44 @@ def tagged_edges(incoming: DataFrame, outgoing: DataFrame) -> DataFrame:
     return incoming.withColumn("side", F.lit("i")).unionByName(outgoing.withColumn("side", F.lit("o")))
 
 
-def two_hop(first: DataFrame, second: DataFrame) -> DataFrame:
-    """``(start, mid, final)`` with start other than final; joined by shuffle, hubs are split by adaptive execution."""
-    a = first.select("client_id", F.col("src").alias("start"), F.col("dst").alias("mid"))
-    b = second.select("client_id", F.col("src").alias("mid"), F.col("dst").alias("final"))
-    return a.join(b, ["client_id", "mid"]).where(F.col("start") != F.col("final"))
+def weighted_edges(e: DataFrame) -> DataFrame:
+    """Each edge once, with the number of its payments as ``weight``."""
+    return e.groupBy("client_id", "src", "dst").agg(F.count("*").alias("weight"))
+
+
+def hubs(first: DataFrame, second: DataFrame, paths: int = HUB_PATHS, block: int = HUB_BLOCK) -> DataFrame:
+    """``client_id, mid, in_blocks, out_blocks`` of the nodes through which more than ``paths`` paths lead."""
+    a = first.groupBy("client_id", F.col("dst").alias("mid")).agg(F.count("*").alias("n_in"))
+    b = second.groupBy("client_id", F.col("src").alias("mid")).agg(F.count("*").alias("n_out"))
+    blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
+    both = a.join(b, ["client_id", "mid"]).where(F.col("n_in") * F.col("n_out") > paths)
+    return both.select("client_id", "mid", blocks("n_in").alias("in_blocks"), blocks("n_out").alias("out_blocks"))
+
+
+def two_hop(first: DataFrame, second: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
+    """``(start, mid, final)`` with start other than final, joined by shuffle; with ``weight``, the product, if edges have it.
+
+    ``heavy`` (from ``hubs``) names middle nodes whose edges are dealt out: incoming edges in blocks by their start, outgoing
+    ones by their end, and every pair of blocks is a key of its own. An edge of a hub is copied once for each block
+    of the other side, which is little beside its paths; edges of other nodes stay single.
+    """
+    a = first.select("client_id", F.col("src").alias("start"), F.col("dst").alias("mid"), *(F.col(c).alias("_w1") for c in first.columns if c == "weight"))
+    b = second.select("client_id", F.col("src").alias("mid"), F.col("dst").alias("final"), *(F.col(c).alias("_w2") for c in second.columns if c == "weight"))
+    keys = ["client_id", "mid"]
+    if heavy is not None:
+        own = lambda end, n: F.pmod(F.xxhash64(end), F.coalesce(n, F.lit(1))).cast("int")
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
+        a = a.join(heavy, keys, "left").withColumn("_i", own("start", F.col("in_blocks"))).withColumn("_o", every(F.col("out_blocks"))).drop("in_blocks", "out_blocks")
+        b = b.join(heavy, keys, "left").withColumn("_o", own("final", F.col("out_blocks"))).withColumn("_i", every(F.col("in_blocks"))).drop("in_blocks", "out_blocks")
+        keys += ["_i", "_o"]
+    out = a.join(b, keys).where(F.col("start") != F.col("final")).drop("_i", "_o")
+    return out.withColumn("weight", F.col("_w1") * F.col("_w2")).drop("_w1", "_w2") if {"_w1", "_w2"} <= set(out.columns) else out.drop("_w1", "_w2")
 
 
 def path_counts(paths: DataFrame, k: int) -> DataFrame:
-    return paths.groupBy("client_id", "start", "final").agg(F.count("*").alias("n_paths")).where(F.col("n_paths") > k)
+    """Pairs of ends with more than ``k`` paths between them, each counted by its weight if it has one."""
+    n = F.sum("weight") if "weight" in paths.columns else F.count("*")
+    return paths.groupBy("client_id", "start", "final").agg(n.alias("n_paths")).where(F.col("n_paths") > k)
 
 
 def endpoints(pairs: DataFrame) -> DataFrame:
@@ -55,13 +91,24 @@ def scatter_gather(txns: DataFrame, k: int = 5, multiplicity: str = "set", prune
     """Accounts at either end of more than ``k`` two-hop paths.
 
     "set" counts different intermediaries. There a start needs more than ``k`` receivers and an end more than
-    ``k`` senders, so pruning both sides by degree before the join loses nothing. "bag" counts every pair of payments
-    and takes both hops from payments whose sender has more than ``k`` receivers.
+    ``k`` senders, so pruning both sides by degree before the join loses nothing. "bag" counts every pair of payments,
+    as products of the edges' weights, and takes both hops from payments whose sender has more than ``k`` receivers.
+
+    The edges, each once, are stored in the shared folder: all further steps read them there, and the hubs among their
+    nodes are known before the join is planned.
     """
-    e = edges(txns)
+    e = stored(weighted_edges(edges(txns)), "edges")
     if multiplicity == "bag":
-        hubs = with_degree(e, "src", k)
-        return endpoints(path_counts(two_hop(hubs, hubs), k))
-    e = distinct_edges(e)
-    first, second = (with_degree(e, "src", k, True), with_degree(e, "dst", k, True)) if prune else (e, e)
-    return endpoints(path_counts(two_hop(first, second), k))
+        first = second = _with_degree(e, "src", k)
+    else:
+        e = e.drop("weight")
+        first, second = (_with_degree(e, "src", k), _with_degree(e, "dst", k)) if prune else (e, e)
+    heavy = hubs(first, second)
+    n = heavy.limit(BROADCAST_HUBS + 1).count()
+    heavy = None if not n else F.broadcast(heavy) if n <= BROADCAST_HUBS else heavy
+    return endpoints(path_counts(two_hop(first, second, heavy), k))
+
+
+def _with_degree(e: DataFrame, side: str, k: int) -> DataFrame:
+    """As ``with_degree`` for unique edges, with all their columns."""
+    return e.join(node_degrees(e, side, k, unique=True), ["client_id", side], "left_semi").select(e.columns)

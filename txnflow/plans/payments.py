@@ -12,7 +12,8 @@ from txnflow.operators.predicates import where_op
 from txnflow.operators.quality import tag_client
 from txnflow.functions import normalize_bank_id
 from txnflow.schema import BASE_PERIOD, BASELINE_COEF, MIN_PATHS, PROBE_PERIOD
-from txnflow.sources.readers import fx_rates, read_accounts, read_btc_rates, read_fiat_rates, read_transactions
+from txnflow.sources.files import client_names
+from txnflow.sources.readers import fx_rates, read_accounts, read_btc_rates, read_client_accounts, read_client_transactions, read_fiat_rates, read_transactions
 from txnflow.sources.sinks import result_columns, write_results
 
 
@@ -52,12 +53,23 @@ def run_all(txns: DataFrame, accounts: DataFrame, rates: DataFrame) -> dict[str,
     return {"q1": small_payments(txns), "q2": bank_max(txns, accounts), "q3": far_below_baseline(txns), "q4": scatter_gather_accounts(txns), "q5": micro_count(txns, rates)}
 
 
-def run_files(spark: SparkSession, transactions: str, accounts: str, btc: str, out: str, fiat: str | None = None, client: str = "0") -> None:
-    """From the source files of one client to the five result folders under ``out``."""
-    txns = tag_client(read_transactions(spark, transactions), client).persist()
-    rates = fx_rates(read_btc_rates(spark, btc), read_fiat_rates(spark, fiat) if fiat else None)
+def _run(txns: DataFrame, accounts: DataFrame, rates: DataFrame, out: str, clients: list[str]) -> None:
+    txns = txns.persist()
     try:
-        for name, result in run_all(txns, tag_client(read_accounts(spark, accounts), client), rates).items():
-            write_results(result, out, name)
+        for name, result in run_all(txns, accounts, rates).items():
+            write_results(result, out, name, clients)
     finally:
         txns.unpersist()
+
+
+def run_files(spark: SparkSession, transactions: str, accounts: str, btc: str, out: str, fiat: str | None = None, client: str = "0") -> None:
+    """From the source files of one client to the five result folders under ``out``; other clients' results stay."""
+    rates = fx_rates(read_btc_rates(spark, btc), read_fiat_rates(spark, fiat) if fiat else None)
+    _run(tag_client(read_transactions(spark, transactions), client), tag_client(read_accounts(spark, accounts), client), rates, out, [client])
+
+
+def run_client_files(spark: SparkSession, transactions: str, accounts: str, btc: str, out: str, fiat: str | None = None) -> None:
+    """The same for all clients at once, whose files lie in folders ``client_id=...`` under both paths."""
+    rates = fx_rates(read_btc_rates(spark, btc), read_fiat_rates(spark, fiat) if fiat else None)
+    txns = read_client_transactions(spark, transactions)
+    _run(txns, read_client_accounts(spark, accounts), rates, out, client_names(spark, transactions))

@@ -13,7 +13,7 @@ from txnflow.operators import aggregates, fx, graph, hooks, joins, predicates, q
 from txnflow.plans import payments
 from txnflow.plans.fixtures import TXN_CTES, derived
 from txnflow.schema import BASE_PERIOD, BASELINE_COEF, PROBE_PERIOD, TXN_COLUMNS, TXN_HEADERS
-from txnflow.sources import readers, sinks
+from txnflow.sources import files, readers, sinks, tables
 from txnflow.sources.scratch import scratch_dir
 from txnflow.streaming import streams
 
@@ -72,6 +72,30 @@ def _(spark, d):
     return readers.read_btc_rates(spark, path)
 
 
+def _client_folders(spark, d, name, select):
+    """The derived table as source files in a folder for each client."""
+    path = scratch_dir(spark, name)
+    select(derived(spark, d, name)).write.partitionBy("client_id").csv(path, header=True)
+    return path
+
+
+@query("scan_client_transactions", f"select {T8}, client_id from tx", source="")
+def _(spark, d):
+    return readers.read_client_transactions(spark, _client_folders(spark, d, "tx", lambda t: _as_source_file(t, "client_id")))
+
+
+@query("scan_client_accounts", "select bank_name, case when ltrim(bank_id, '0') = '' then '0' else ltrim(bank_id, '0') end bank_id, client_id from accounts", source="")
+def _(spark, d):
+    return readers.read_client_accounts(spark, _client_folders(spark, d, "accounts", lambda t: t.select("bank_name", "bank_id", "client_id")))
+
+
+@query("scan_fiat_rates", "select day, origin, target, rate from rates where op = 'mul'", source="")
+def _(spark, d):
+    path = scratch_dir(spark, "scan-fiat")
+    derived(spark, d, "rates").where("op = 'mul'").select(F.date_format("day", "yyyy/MM/dd").alias("day"), F.lower("origin").alias("origin"), "target", "rate").write.csv(path, header=True)
+    return readers.read_fiat_rates(spark, path)
+
+
 query("tag_client", f"select {KEY}, 'x9' client_id from tx")(lambda t: quality.tag_client(t.select("order_key", "line_number"), "x9"))
 
 
@@ -82,19 +106,34 @@ def _(t):
 
 @query("sink_csv", f"select from_bank, from_account, to_bank, to_account, amount, client_id from tx where {USD} and amount < 50", source="")
 def _(spark, d):
-    path = scratch_dir(spark, "results")
-    sinks.write_results(payments.small_payments(derived(spark, d, "tx")), path, "q1")
+    path, small = scratch_dir(spark, "results"), payments.small_payments(derived(spark, d, "tx"))
+    for client in ("0", "1", "0", "2"):  # a client's results replace its own alone
+        sinks.write_results(small.where(F.col("client_id") == client), path, "q1", [client])
     schema = "from_bank string, from_account string, to_bank string, to_account string, amount double, client_id string"
     return spark.read.schema(schema).csv(f"{path}/results_q1")
 
 
 @query("fan_out_counts", f"select 'all' consumer, count(*) n from tx where {USD} union all select 'small', count(*) from tx where {USD} and amount < 50")
 def _(t):
-    parts = sinks.fan_out(payments.usd(t), {"all": lambda df: df, "small": lambda df: predicates.where_op(df, "amount", "lt", 50)})
+    parts = sinks.fan_out(payments.usd(t), {"all": lambda df: df, "small": lambda df: predicates.where_op(df, "amount", "lt", 50)}, scratch_dir(t.sparkSession, "fan-out"))
     counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("consumer"), "n") for name, df in parts.items()]
     return counts[0].unionByName(counts[1])
 
 
+def _stored(spark: SparkSession, d: str) -> tuple[DataFrame, str]:
+    path = scratch_dir(spark, "payments")
+    tables.ingest(derived(spark, d, "tx"), path)
+    return tables.stored_payments(spark, path), path
+
+
+@query("purge_client", f"select {KEY}, client_id from tx where client_id <> '1'", source="")
+def _(spark, d):
+    path = _stored(spark, d)[1]
+    for _ in range(2):  # the second time finds nothing
+        files.purge_client(spark, "1", [path])
+    return tables.stored_payments(spark, path).select("order_key", "line_number", "client_id")
+
+
 # --- projections and predicates ----------------------------------------------------------------------------------
 
 query("reduce_columns", "select from_bank, amount, client_id from tx")(lambda t: predicates.reduce_columns(t, ["from_bank", "amount"]))
@@ -270,6 +309,9 @@ def _(spark, d):
     return payments.micro_count(*_t(spark, d, "tx", "rates"))
 
 
+query("q3_stored", Q3, source="")(lambda spark, d: payments.far_below_baseline(_stored(spark, d)[0]))
+query("q4_stored", Q4, source="")(lambda spark, d: payments.scatter_gather_accounts(_stored(spark, d)[0]))
+
 # --- streams -----------------------------------------------------------------------------------------------------
 
 
@@ -290,9 +332,55 @@ def _(spark, d):
     return streams.run_append(kept, scratch_dir(spark, "stream-q1"))
 
 
+def _sessions(spark: SparkSession, d: str) -> DataFrame:
+    """Payments of all clients, and then their end markers."""
+    path, t = scratch_dir(spark, "sessions"), derived(spark, d, "tx")
+    _as_source_file(t, "client_id", F.lit(None).cast("string").alias("event")).write.csv(path, header=True)
+    ends = t.select("client_id").distinct().select(*(F.lit(None).cast("string").alias(h) for h in TXN_HEADERS), "client_id", F.lit("end").alias("event"))
+    ends.write.mode("append").csv(path, header=True)
+    return readers.stream_sessions(spark, path)
+
+
 @query("stream_agg", "select client_id, payment_format, count(*) count from tx group by all", source="")
 def _(spark, d):
-    return streams.stream_aggregate(_stream(spark, d), "count", None, ["payment_format"], scratch_dir(spark, "stream-agg"))
+    return streams.stream_aggregate(_sessions(spark, d), "count", None, ["payment_format"], scratch_dir(spark, "stream-agg"))
+
+
+@query("stream_agg_max", "select client_id, from_bank, amount, from_account from (select *, row_number() over (partition by client_id, from_bank order by amount desc, from_account) r from tx) where r = 1", source="")
+def _(spark, d):
+    return streams.stream_aggregate(_sessions(spark, d), "max", "amount", ["from_bank"], scratch_dir(spark, "stream-max"), ["from_account"])
+
+
+def _arrivals(spark: SparkSession, df: DataFrame, name: str) -> DataFrame:
+    """A table as a stream with its rows' ``arrived`` time, and a last row that only moves the clock."""
+    path = scratch_dir(spark, name)
+    df.write.parquet(path)
+    last = df.limit(0).unionByName(spark.range(1).select(*(F.lit("2022-12-31").cast("timestamp").alias(c) if c == "arrived" else F.lit(None).cast(k).alias(c) for c, k in df.dtypes)))
+    last.write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 4).parquet(path)
+
+
+@query("stream_bank_names", f"{NAMES} select tx.client_id, {NORM.format('from_bank')} from_bank, from_account, amount, coalesce(bank_name, {NORM.format('from_bank')}) bank_name from tx left join names n on tx.client_id = n.client_id and {NORM.format('from_bank')} = n.bank_id", source="")
+def _(spark, d):
+    t, a = _t(spark, d, "tx", "accounts")
+    came = _arrivals(spark, t.select("client_id", "from_bank", "from_account", "amount", fn.to_timestamp("ts").alias("arrived")), "payments")
+    late = _arrivals(spark, a.withColumn("arrived", F.lit("2022-09-09").cast("timestamp")), "accounts")
+    named = streams.stream_bank_names(came, late, "arrived", "1 day", "30 days")
+    return streams.run_append(named.drop("arrived"), scratch_dir(spark, "stream-names"))
+
+
+@query("stream_dedup", "select distinct cast(order_key % 50 as bigint) batch_id, order_key * 10 + line_number row_index from tx", source="")
+def _(spark, d):
+    t = derived(spark, d, "tx").select((F.col("order_key") % 50).alias("batch_id"), (F.col("order_key") * 10 + F.col("line_number")).alias("row_index"), F.lit("2022-09-09").cast("timestamp").alias("arrived"))
+    twice = _arrivals(spark, t.unionByName(t.where("batch_id % 2 = 0")), "batches").where("batch_id is not null")
+    return streams.run_append(streams.stream_dedup(twice, "arrived", "1 day"), scratch_dir(spark, "stream-dedup")).drop("arrived")
+
+
+@query("stream_fan_out", f"select 'q1' consumer, count(*) n from tx where {USD} and amount < 50 union all select 'wires', count(*) from tx where payment_format = 'Wire'", source="")
+def _(spark, d):
+    parts = streams.fan_out_stream(_stream(spark, d), {"q1": payments.small_payments, "wires": lambda t: predicates.where_op(t, "payment_format", "eq", "Wire")}, scratch_dir(spark, "stream-fan-out"))
+    counts = [df.agg(F.count("*").alias("n")).select(F.lit(name).alias("consumer"), "n") for name, df in parts.items()]
+    return counts[0].unionByName(counts[1])
 
 
 @query("stream_bank_name", f"{NAMES} select tx.client_id, {NORM.format('from_bank')} from_bank, from_account, amount, coalesce(bank_name, {NORM.format('from_bank')}) bank_name from tx left join names n on tx.client_id = n.client_id and {NORM.format('from_bank')} = n.bank_id", source="")
