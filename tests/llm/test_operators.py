@@ -234,7 +234,19 @@ def test_line_dedup_zero_characters_and_breaks(spark):
     assert all(out[d + 1] == f"Own \0 start {d} of it\0\3, \ntail {d} \0\2 after it.\nlast {d}" for d in (1, 2))
 
 
-PIECE_END = re.compile(r"(?<=[.,] )|(?<=\n)")
+PIECE_END = re.compile(r"(?<=[.!?,;:] )|(?<=[\n。！？])")
+
+
+def fine_pieces(text):
+    """The pieces of a text; those of over 60 characters end after words whose hash is a multiple of 8 as well."""
+    for p in re.split(PIECE_END, text):
+        part = ""
+        for w in re.split("(?<= )", p) if len(p) > 60 else ():
+            part += w
+            if xxhash.xxh64_intdigest(w.encode(), 42) % 8 == 0:
+                yield part
+                part = ""
+        yield part if len(p) > 60 else p
 
 
 def rebuilt_without_repeats(rows):
@@ -242,7 +254,7 @@ def rebuilt_without_repeats(rows):
     signed = lambda b, seed=42: xxhash.xxh64_intdigest(b, seed)
     chunked, n, first, at = {}, collections.Counter(), {}, {}
     for d, text in sorted((r.doc_id, r.text or "") for r in rows):
-        pieces = re.split(PIECE_END, text)
+        pieces = fine_pieces(text)
         chunks, last, prev = [""], 0, None
         for p in pieces:
             h = signed(p.encode())
@@ -251,7 +263,7 @@ def rebuilt_without_repeats(rows):
                 rolling = signed(struct.pack("<Q", prev), rolling)
             chunks[-1] += p
             prev = h
-            if rolling % line_dedup.TARGET == 0:
+            if rolling % 8 and (len(p) >= line_dedup.SHORT_PIECE or rolling & 8):
                 chunks.append("")
         chunked[d] = chunks
         at[d] = list(itertools.accumulate(map(len, chunks), initial=0))
@@ -262,34 +274,56 @@ def rebuilt_without_repeats(rows):
     known = lambda d, i: 0 <= i < len(chunked[d]) and len(chunked[d][i]) >= line_dedup.MIN_CHARS and n[chunked[d][i]] > 1
 
     def shared(a, b, order):
-        """Characters of equal pieces, and of the equal words of the next piece where they are enough."""
+        """Characters of equal pieces and of the equal words of the next piece where they are enough; those of fewer words."""
         split = lambda text, cut: re.split(cut, text)[::order]
+        word_end = r"(?<=[ \n])|(?=[ \n])" if order > 0 else r"(?<=[ \n])"
         equal = lambda x, y: [v for v, _ in itertools.takewhile(lambda p: p[0] == p[1], zip(x, y))]
         a, b = split("".join(a), PIECE_END), split("".join(b), PIECE_END)
         same = equal(a, b)
         k = len(same)
-        part = "".join(equal(split(a[k], "(?<=[ \n])"), split(b[k], "(?<=[ \n])"))) if k < min(len(a), len(b)) else ""
-        return len("".join(same)) + (len(part) if len(part.split()) >= line_dedup.MIN_SHARED else 0)
+        part = "".join(equal(split(a[k], word_end), split(b[k], word_end))) if k < min(len(a), len(b)) else ""
+        enough = len(part.split()) >= line_dedup.MIN_SHARED
+        return len("".join(same)) + len(part) * enough, len(part) * (not enough)
+
+    def beside(c, i, order):
+        """The chunks before or after one, at least as far as the next that is compared by its key."""
+        side = c[i + 1 :] if order > 0 else c[:i][::-1]
+        n = next((n for n in line_dedup.REACH if any(len(x) >= line_dedup.MIN_CHARS for x in side[:n])), len(side))
+        return side[:n][::order]
 
     out = {}
     for d, chunks in chunked.items():
-        text, gone, count = "".join(chunks), set(), line_dedup.REACH
+        text, gone, spans = "".join(chunks), set(), []
         for i, c in enumerate(chunks):
             if not known(d, i) or first[c] == (d, i):
                 continue
             e, j = first[c]
-            lo, hi = at[d][i], at[d][i] + len(c)
+            lo, hi, before, after = at[d][i], at[d][i] + len(c), 0, 0
             if not known(d, i + 1) and not known(e, j + 1):
-                hi += shared(chunks[i + 1 : i + 1 + count], chunked[e][j + 1 : j + 1 + count], 1)
+                more, after = shared(beside(chunks, i, 1), beside(chunked[e], j, 1), 1)
+                hi += more
             if i and j and not known(d, i - 1) and not known(e, j - 1):
-                lo -= shared(chunks[max(0, i - count) : i], chunked[e][max(0, j - count) : j], -1)
+                more, before = shared(beside(chunks, i, -1), beside(chunked[e], j, -1), -1)
+                lo -= more
             gone.update(range(lo, hi))
-        left = []
+            spans.append((lo, hi, lo - before, hi + after))
+        passages = set()
         for is_gone, run in itertools.groupby(range(len(text)), gone.__contains__):
+            run = list(run)
+            lo, hi = run[0], run[-1] + 1
+            own = [s for s in spans if lo <= s[0] < hi] if is_gone else []
+            wide = range(min(s[2] for s in own), max(s[3] for s in own)) if own else ()
+            words = lambda r: len(text[r[0] : r[-1] + 1].encode().split()) + len(re.findall("[\u2e80-\u9fff\uf900-\ufaff]", text[r[0] : r[-1] + 1])) / 2
+            inside = lo > 0 and text[lo - 1] != "\n"
+            if own and (words(run) >= line_dedup.MIN_WORDS or text[lo:hi].count("\n") - inside >= line_dedup.MIN_LINES):
+                passages.update(run)
+            elif own and words(wide) >= line_dedup.MIN_WORDS:
+                passages.update(wide)
+        left = []
+        for is_gone, run in itertools.groupby(range(len(text)), passages.__contains__):
             run = list(run)
             part = text[run[0] : run[-1] + 1]
-            inside = run[0] > 0 and text[run[0] - 1] != "\n"
-            if not is_gone or (len(part.encode().split()) < line_dedup.MIN_WORDS and part.count("\n") - inside < line_dedup.MIN_LINES):
+            if not is_gone:
                 left.append(part)
             elif run[-1] + 1 == len(text):
                 left = ["".join(left).removesuffix("\n")]
@@ -307,6 +341,23 @@ def test_line_dedup_by_brute_force(docs, rows):
     assert sum(expected[r.doc_id] != (r.text or "") for r in rows) > 50
 
 
+def test_line_dedup_of_passages_with_any_marks_or_none(spark):
+    """Shared passages of 50 words and more go from the second document, whatever ends their sentences."""
+    say = lambda i: f"w{i * 7919 % 997} v{i * 104729 % 991}"
+    passages = [
+        " ".join(say(i) for i in range(40)),
+        " ".join(f"{say(3 * i)} {say(3 * i + 1)} {say(3 * i + 2)} on and on!" for i in range(100, 108)),
+        "".join(f"第{i * 7919 % 997}句话说的是{i * 31 % 89}件不同的事情。" for i in range(40)),
+        " ".join(f"{say(2 * i)} {say(2 * i + 1)}{'?;:'[i % 3]}" for i in range(300, 320)),
+        "of. it. " * 60 + " ".join(say(i) for i in range(500, 540)) + " so. on. " * 40,  # many chunks too short for a key
+    ]
+    texts = [f"Own words of {d} {p} other words {d} at the end." for p in passages for d in (1, 2)]
+    out = [r.text for r in sorted(line_dedup.line_dedup_report(frame(spark, *texts)).collect(), key=lambda r: r.doc_id)]
+    for i, p in enumerate(passages):
+        assert out[2 * i] == texts[2 * i]
+        assert len(out[2 * i + 1]) <= len(texts[2 * i + 1]) - 0.8 * len(p), i
+
+
 def test_line_dedup_by_whole_lines(spark):
     """Without cuts inside lines only passages of whole lines go."""
     lines = "\n".join(f"common line {i} with a number of words in it {i * 7919 % 1000}" for i in range(24))

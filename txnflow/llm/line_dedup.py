@@ -1,16 +1,19 @@
 """Content-defined chunks of lines: passages that stand in many places are kept once.
 
-The lines chunked here are the pieces of a text: its lines, cut again after each comma or full stop that a space follows
-(``within_lines``; without it only whole lines are compared), since shared passages also start and end inside lines. A
-piece keeps its blanks and its line break, so the pieces in order are the text, byte for byte. A rolling hash runs over the
-hashes of ``WINDOW`` (two) neighbouring pieces; where its lowest bits are zero a chunk ends, every ``TARGET`` (two) pieces on the
-average. Boundaries so depend on two pieces alone and shift with the text; one piece without marks can make a long chunk.
+The lines chunked here are the pieces of a text: its lines, cut again after each mark of ``_MARKS`` that a space follows and
+after each of ``_STOPS`` (``within_lines``; without it only whole lines are compared), since shared passages also start and
+end inside lines. A piece of over ``LONG_PIECE`` characters is cut once more after words chosen by their hash, every
+``WORDS`` on the average, so that passages without marks have places to start and end at too. A piece keeps its blanks and
+its line break, so the pieces in order are the text, byte for byte. A rolling hash runs over the hashes of ``WINDOW`` (two)
+neighbouring pieces; a chunk goes on where its three lowest bits are zero, and behind a short piece (under ``SHORT_PIECE``
+characters) also where the next bit is zero. Boundaries so depend on two pieces alone and shift with the text. A long piece without a mark or a blank in it is one chunk.
 
 1. Chunks of ``MIN_CHARS`` characters or more are counted by a 64-bit key. Those whose key occurs again are grouped by
    their bytes: equal keys with different bytes are different chunks. The first place of each byte string (smallest doc_id, then
    row, then place) stays, and all others are to be removed.
 2. A passage rarely starts where a chunk does. Where a neighbour of a chunk isn't repeated itself, the texts beside it and beside
-   its first place, ``REACH`` chunks on each side, are compared piece by piece and, in the first unequal piece, word by word; what is equal joins the chunk.
+   its first place are compared piece by piece and, in the first unequal piece, word by word; what is equal joins the chunk. They
+   reach at least to the next chunk that was compared by key, so a passage is followed to its end, however short its chunks.
 3. Spans that adjoin or overlap make a run. Runs of ``MIN_WORDS`` words or ``MIN_LINES`` line ends are passages and go; shorter
    ones stay, as a remark that others also make is no passage. If a passage that starts inside a line goes with its line break, the
    rest of that line ends there.
@@ -29,20 +32,28 @@ from pyspark.sql.window import Window
 
 from txnflow.llm.shared import packed, unpacked, written
 
-#: Pieces the rolling hash looks at, and mean pieces of a chunk (a power of two).
-WINDOW, TARGET = 2, 2
+#: Pieces the rolling hash looks at, its divisor where a chunk goes on, and the bit by which it goes on behind a short piece.
+WINDOW, JOINED, JOINED_SHORT = 2, 8, 8
+SHORT_PIECE = 28
+#: Characters above which a piece is cut after words, and mean words between those cuts (a power of two).
+LONG_PIECE, WORDS = 60, 8
 #: Least characters of a chunk that is compared.
-MIN_CHARS = 24
-#: Chunks on each side of a repeated one that are compared word by word.
-REACH = 4
-#: Least number of words of a part of a piece that join a chunk so; the next sentence often begins with an equal word or two.
+MIN_CHARS = 40
+#: Chunks on each side of a repeated one that are compared word by word; more are taken while none has ``MIN_CHARS``.
+REACH = (16, 256)
+#: Least number of words of a part of a piece that join a chunk; the next sentence often begins with an equal word or two, so
+#: fewer join only where the passage is long enough through them.
 MIN_SHARED = 4
 #: Least size of a passage: words, or line ends less one where it starts inside a line.
 MIN_WORDS, MIN_LINES = 50, 3
 _WORD = r"[^\x20\x09-\x0D]+"
-#: What ends a piece: a line break, and within lines also these marks before a space.
-_LINE_ENDS, _MARK_ENDS = ("\n",), ("\n", ". ", ", ")
-_TOKEN_END = r"(?<=[ \n])"
+# Characters of scripts without blanks; two of them count as a word.
+_IDEOGRAPH = r"[\u2E80-\u9FFF\uF900-\uFAFF]"
+#: What ends a piece within lines: these marks before a space, and those of scripts without spaces.
+_MARKS, _STOPS = ".!?,;:", "。！？"
+_LINE_ENDS, _MARK_ENDS = ("\n",), ("\n", *(f"{m} " for m in _MARKS), *_STOPS)
+# Words keep the blank behind them; towards the end of a text, which may lack it, blanks stand alone.
+_TOKEN_END, _TOKEN_ENDS = r"(?<=[ \n])", r"(?<=[ \n])|(?=[ \n])"
 #: Stands between pieces or chunks, or for a removed passage. Texts hold none, as their own zero characters are escaped.
 _CUT = "\0"
 _ESCAPES = (("\1", "\1b"), ("\0", "\1a"))
@@ -70,14 +81,24 @@ def _pieces(text: Column, within_lines: bool) -> Column:
     return F.split(text, _CUT, -1)
 
 
+def _fine_pieces(pieces: Column) -> Column:
+    """The pieces, long ones cut after words whose hash is a multiple of ``WORDS``."""
+    ended = lambda w: F.when(F.xxhash64(w).bitwiseAND(WORDS - 1) == 0, F.concat(w, F.lit(_CUT))).otherwise(w)
+    cut = lambda p: F.split(F.array_join(F.transform(F.split(p, "(?<= )", -1), ended), ""), _CUT, -1)
+    long = lambda p: F.length(p) > LONG_PIECE
+    return F.when(F.exists(pieces, long), F.flatten(F.transform(pieces, lambda p: F.when(long(p), cut(p)).otherwise(F.array(p))))).otherwise(pieces)
+
+
 def _chunked(df: DataFrame, within_lines: bool) -> DataFrame:
     """``df`` with its chunks ``__c`` for ``__text``. Each step is used twice by the next, so that Spark keeps it apart."""
     pieces = df.withColumn("__p", _pieces(_escaped("__text"), within_lines)).drop("__text")
+    pieces = pieces.withColumn("__p", _fine_pieces(F.col("__p"))) if within_lines else pieces
     hashed = pieces.withColumn("__h", F.transform("__p", lambda p: F.xxhash64(p)))
 
     def ended(p: Column, i: Column) -> Column:
         rolling = F.xxhash64(*(F.get("__h", i - k) for k in range(WINDOW)))
-        return F.when(rolling.bitwiseAND(TARGET - 1) == 0, F.concat(p, F.lit(_CUT))).otherwise(p)
+        goes_on = (rolling.bitwiseAND(JOINED - 1) == 0) | ((F.length(p) < SHORT_PIECE) & (rolling.bitwiseAND(JOINED_SHORT) == 0))
+        return F.when(~goes_on, F.concat(p, F.lit(_CUT))).otherwise(p)
 
     return hashed.withColumn("__c", F.split(F.array_join(F.transform("__p", ended), ""), _CUT, -1)).drop("__p", "__h")
 
@@ -105,8 +126,16 @@ def _candidates(rows: DataFrame, within_lines: bool) -> DataFrame:
         b = F.floor(i / _BLOCK).cast("int")
         start = total(F.slice("__b", 1, b)) + total(F.slice("__n", b * _BLOCK + 1, i % _BLOCK))
         beside = lambda k, i: F.coalesce(F.get("__at", k), F.lit(-1)) == i
-        left = F.array_join(F.slice("__c", F.greatest(i - REACH, F.lit(0)) + 1, F.least(F.lit(REACH), i)), "")
-        right = F.array_join(F.slice("__c", i + 2, REACH), "")
+        before = lambda c, n: F.slice(c, F.greatest(i - n, F.lit(0)) + 1, F.least(F.lit(n), i))
+        after = lambda c, n: F.slice(c, i + 2, n)
+
+        def reached(side) -> Column:
+            out = side("__c", 2**30)
+            for n in reversed(REACH):
+                out = F.when(F.exists(side("__n", n), lambda x: x >= MIN_CHARS), side("__c", n)).otherwise(out)
+            return F.array_join(out, "")
+
+        left, right = reached(before), reached(after)
         return F.struct(
             F.get("__c", i).alias("text"), start.alias("start"),
             F.when((i > 0) & ~beside(k - 1, i - 1), left).alias("left"), F.when(~beside(k + 1, i + 1), right).alias("right"),
@@ -124,28 +153,38 @@ def _same(a: Column, b: Column) -> Column:
 def _reached(df: DataFrame, own: str, first: str, before: bool, within_lines: bool) -> DataFrame:
     """``df`` with the characters (column ``own``) that two texts share at their start, or before a chunk at their end.
 
-    Whole pieces count, and of the next piece the equal words, if they aren't so few that they are chance. Each step is a
-    column that the next uses twice, so that Spark keeps them apart. Where a text is null nothing is shared.
+    Whole pieces count, and of the next piece the equal words; where these are so few that they may be chance, their
+    characters stand in a column of their own (``own`` + ``_few``). Each step is a column that the next uses twice, so that
+    Spark keeps them apart. Where a text is null nothing is shared.
     """
     order = F.reverse if before else (lambda x: x)
     both = F.col(own).isNotNull() & F.col(first).isNotNull()
     a, b, x, y, n = (F.col(f"__{c}") for c in "abxyn")
     df = df.withColumns({"__a": F.when(both, order(_pieces(F.col(own), within_lines))), "__b": F.when(both, order(_pieces(F.col(first), within_lines)))})
     df = df.withColumn("__n", _same(a, b))
-    df = df.withColumns({"__x": order(F.split(F.get(a, n), _TOKEN_END, -1)), "__y": order(F.split(F.get(b, n), _TOKEN_END, -1)), "__a": F.slice(a, 1, n)})
+    ends = _TOKEN_END if before else _TOKEN_ENDS
+    df = df.withColumns({"__x": order(F.split(F.get(a, n), ends, -1)), "__y": order(F.split(F.get(b, n), ends, -1)), "__a": F.slice(a, 1, n)})
     df = df.withColumn("__x", F.array_join(F.slice(x, 1, _same(x, y)), ""))
-    more = F.when(F.regexp_count(x, F.lit(_WORD)) >= MIN_SHARED, F.length(x)).otherwise(0)
-    return df.withColumn(own, F.coalesce(F.length(F.array_join(a, "")) + more, F.lit(0))).drop("__a", "__b", "__n", "__x", "__y")
+    enough = F.regexp_count(x, F.lit(_WORD)) >= MIN_SHARED
+    more = lambda c: F.when(c, F.length(x)).otherwise(0)
+    sizes = {own: F.coalesce(F.length(F.array_join(a, "")) + more(enough), F.lit(0)), f"{own}_few": F.coalesce(more(~enough), F.lit(0))}
+    return df.withColumns(sizes).drop("__a", "__b", "__n", "__x", "__y")
 
 
 def repeated_spans(found: DataFrame, within_lines: bool = True) -> DataFrame:
     """``__rid, start, end`` of the repeats to remove among candidates (``__id, __rid, text, start, left, right``)."""
+    return _spans(found, within_lines).select("__rid", "start", "end").distinct()
+
+
+def _spans(found: DataFrame, within_lines: bool) -> DataFrame:
+    """The repeats with ``from`` and ``to``, their ends with the few words beside them that may be equal by chance."""
     place = F.struct("__id", "__rid", "start")
     first = found.groupBy("text").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__rid", "start", "left", "right")).alias("f")).where("n > 1").drop("n")
     later = found.join(written(first), "text").where(~place.eqNullSafe(F.struct("f.__id", "f.__rid", "f.start")))
     later = later.select("__rid", "start", F.length("text").alias("n"), "left", "right", F.col("f.left").alias("first_left"), F.col("f.right").alias("first_right"))
     later = _reached(_reached(later, "left", "first_left", True, within_lines), "right", "first_right", False, within_lines)
-    return later.select("__rid", (F.col("start") - F.col("left")).alias("start"), (F.col("start") + F.col("n") + F.col("right")).alias("end")).distinct()
+    start, end = F.col("start") - F.col("left"), F.col("start") + F.col("n") + F.col("right")
+    return later.select("__rid", start.alias("start"), end.alias("end"), (start - F.col("left_few")).alias("from"), (end + F.col("right_few")).alias("to")).distinct()
 
 
 def _runs(spans: DataFrame) -> DataFrame:
@@ -154,23 +193,28 @@ def _runs(spans: DataFrame) -> DataFrame:
     reach = F.max("end").over(w.rowsBetween(Window.unboundedPreceding, -1))
     new = spans.withColumn("new", F.coalesce(F.col("start") > reach, F.lit(True)).cast("int"))
     runs = new.withColumn("run", F.sum("new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    runs = runs.groupBy("__rid", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").cast("int").alias("n"))
-    return runs.groupBy("__rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "n"))).alias("__runs"))
+    runs = runs.groupBy("__rid", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.count("*").cast("int").alias("n"), F.min("from").alias("from"), F.max("to").alias("to"))
+    return runs.groupBy("__rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "n", "from", "to"))).alias("__runs"))
 
 
 def _cut(rows: DataFrame, within_lines: bool) -> DataFrame:
     """Packed rows with ``__cut`` (the number of removed chunks, or null) and ``__left`` (the text left)."""
-    spans = written(_runs(repeated_spans(_candidates(rows, within_lines), within_lines)))
+    spans = written(_runs(_spans(_candidates(rows, within_lines), within_lines)))
     joined = rows.drop("__text").join(spans.hint("shuffle_hash"), "__rid", "left")
     joined = joined.withColumn("__e", F.when(F.col("__runs").isNotNull(), _escaped("__row.text")))
-    part = lambda r: F.substring(F.col("__e"), r["start"] + 1, r["end"] - r["start"])
+    between = lambda a, b: F.substring(F.col("__e"), a + 1, b - a)
+    part = lambda r: between(r["start"], r["end"])
     breaks = lambda text: F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    words = lambda text: 2 * F.regexp_count(text, F.lit(_WORD)) + F.regexp_count(text, F.lit(_IDEOGRAPH)) >= 2 * MIN_WORDS
 
     def passage(r: Column) -> Column:
+        """The run if it is a passage, with the few words beside it if only they make it one; else null."""
         inside = (r["start"] > 0) & (F.substring(F.col("__e"), r["start"], F.lit(1)) != "\n")
-        return (F.regexp_count(part(r), F.lit(_WORD)) >= MIN_WORDS) | (breaks(part(r)) - inside.cast("int") >= MIN_LINES)
+        wide = F.struct(r["from"].alias("start"), r["to"].alias("end"), r["n"].alias("n"))
+        own = F.struct(r["start"].alias("start"), r["end"].alias("end"), r["n"].alias("n"))
+        return F.when(words(part(r)) | (breaks(part(r)) - inside.cast("int") >= MIN_LINES), own).when(words(between(r["from"], r["to"])), wide)
 
-    sized = joined.withColumn("__runs", F.filter("__runs", passage))
+    sized = joined.withColumn("__runs", F.array_compact(F.transform("__runs", passage)))
 
     def kept(r: Column, k: Column) -> Column:
         since = F.when(k > 0, F.get("__runs", k - 1)["end"]).otherwise(0)
