@@ -127,6 +127,15 @@ def test_tool_call_schemas_and_empty_tables(spark):
     assert (r.level, r.linked, r.valid) == (0, False, False)
 
 
+def test_tool_call_schemas_of_any_number(spark, monkeypatch):
+    """Above the bound of the broadcast the schemas are joined by shuffle, with the same rows."""
+    calls, results = tool_calls.calls_of_conversations(spark.read.parquet(f"{SF}/conversations.parquet").where("conv_id < 40"))
+    schemas = spark.createDataFrame(tool_calls.TOOLS, "name string, arg string, type string, required boolean")
+    want = sorted(map(tuple, tool_calls.link_tool_calls(calls, results, schemas).collect()))
+    monkeypatch.setattr(tool_calls, "MAX_SCHEMA", 2)
+    assert sorted(map(tuple, tool_calls.link_tool_calls(calls, results, schemas).collect())) == want and want
+
+
 def test_tool_call_long_chain(spark):
     """A chain of 600 calls against the order of turns ends in few rounds."""
     rows = [(1, f"c{i:03}", 600 - i, "t", "{}", [f"c{i - 1:03}"] if i else None) for i in range(600)]
@@ -238,15 +247,15 @@ PIECE_END = re.compile(r"(?<=[.!?,;:] )|(?<=[\n。！？])")
 
 
 def fine_pieces(text):
-    """The pieces of a text; those of over 60 characters end after words whose hash is a multiple of 8 as well."""
+    """The pieces of a text; those of over 80 characters end after words whose hash is a multiple of 8 as well."""
     for p in re.split(PIECE_END, text):
         part = ""
-        for w in re.split("(?<= )", p) if len(p) > 60 else ():
+        for w in re.split("(?<= )", p) if len(p) > 80 else ():
             part += w
             if xxhash.xxh64_intdigest(w.encode(), 42) % 8 == 0:
                 yield part
                 part = ""
-        yield part if len(p) > 60 else p
+        yield part if len(p) > 80 else p
 
 
 def rebuilt_without_repeats(rows):
@@ -286,10 +295,10 @@ def rebuilt_without_repeats(rows):
         return len("".join(same)) + len(part) * enough, len(part) * (not enough)
 
     def beside(c, i, order):
-        """The chunks before or after one, at least as far as the next that is compared by its key."""
+        """The chunks before or after one, as far as the third that is compared by its key."""
         side = c[i + 1 :] if order > 0 else c[:i][::-1]
-        n = next((n for n in line_dedup.REACH if any(len(x) >= line_dedup.MIN_CHARS for x in side[:n])), len(side))
-        return side[:n][::order]
+        large = [k for k, x in enumerate(side, 1) if len(x) >= line_dedup.MIN_CHARS]
+        return side[: large[2] if len(large) > 2 else len(side)][::order]
 
     out = {}
     for d, chunks in chunked.items():
@@ -668,6 +677,19 @@ def test_license_texts_and_lookalikes(spark):
     assert all(any(x in line.split(" :: ")[1] for x in licenses.STEMS) for line in licenses.TEXTS.strip().splitlines())
 
 
+def test_license_short_names_in_plain_prose(spark):
+    """Words that are names of licenses too, in the four languages, are none where no license is named by them."""
+    plain = [
+        "Wir arbeiten mit der neuen Lizenz, not a license", "Er kam mit dem Wagen; a driving license was shown", "a driving license and a json file", "curl your hair, then show the fishing license",
+        "ruby rings need no license", "php und python ohne license plates", "la isc de la licence", "vim y vigor, licencia y license",
+    ]
+    named = {"MIT or Apache-2.0 licenses": "apache,mit", "under the ISC license": "isc", "dual MIT/GPL-2.0 license": "gpl,mit", "json license": "json", "ruby and BSD licensed": "ruby"}
+    both = licenses.license_report(frame(spark, *plain, "Wir arbeiten mit der neuen Apache License", *named)).collect()
+    got = {r.doc_id: r.labels for r in both}
+    assert [got[i + 1] for i in range(len(plain))] == [""] * len(plain) and got[len(plain) + 1] == "apache"
+    assert all(set(want.split(",")) <= set(got[len(plain) + 2 + i].split(",")) for i, want in enumerate(named.values()))
+
+
 def test_license_suppression_by_brute_force(spark):
     rng = random.Random(2)
     rows = [(d, rng.randrange(50), f"l{k}", 0.5, a, a + rng.randrange(1, 12)) for d in range(40) for k in range(8) for a in [rng.randrange(40)]]

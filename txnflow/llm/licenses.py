@@ -196,6 +196,9 @@ FORMS = (
     ("title", 0.7, r"(?<![\w-]){name}[\s-]+licen[cs]e" + _NOT + r"(?:,?\s+(?:version\s+|v)?\d(?:\.\d)*)?"),
     ("short", 0.5, r"(?<![\w.-]){tag}(?![\w.-])(?=[^.\n]{{0,80}}licen\w*\b" + _NOT + ")"),
 )
+# The short form of tags that are words of a language as well (mit, json, ruby): the word license follows at once, or
+# behind other names and what joins them.
+_SHORT_WORD = r"(?<![\w.-]){tag}(?![\w.-])(?=(?:[\s,/&]+(?:or|and|style|compatible|dual|[\w.-]*(?:gpl|bsd|apache|mpl|mit|x11|isc)[\w.-]*))*[\s,/-]+licen\w*\b" + _NOT + ")"
 _BLANKS = r"[\s*#/]+"
 
 
@@ -232,7 +235,8 @@ def rules() -> list[tuple[int, str, str, list[str], str, float]]:
         for line in LICENSES.strip().splitlines():
             label, tag, names, address = line.split(" :: ")
             name = "(?:" + "|".join(n.replace(" ?", r"\s*").replace(" ", r"\s+") for n in names.split(";")) + ")"
-            text = pattern.format(tag=f"(?:{tag})", name=name, address=address.replace(".", r"\."))
+            plain = form == "short" and not re.search(r"[\d-]", tag)
+            text = (_SHORT_WORD if plain else pattern).format(tag=f"(?:{tag})", name=name, address=address.replace(".", r"\."))
             gates = {"tag": [gate(tag)], "short": [gate(tag)], "address": [address]}.get(form) or sorted(map(gate, names.split(";")))
             out.append((len(out), label, form, gates, f"(?i){text}", certainty))
     return out

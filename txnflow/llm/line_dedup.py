@@ -13,7 +13,7 @@ characters) also where the next bit is zero. Boundaries so depend on two pieces
    row, then place) stays, and all others are to be removed.
 2. A passage rarely starts where a chunk does. Where a neighbour of a chunk isn't repeated itself, the texts beside it and beside
    its first place are compared piece by piece and, in the first unequal piece, word by word; what is equal joins the chunk. They
-   reach at least to the next chunk that was compared by key, so a passage is followed to its end, however short its chunks.
+   reach to the third chunk that was compared by key, so a passage is followed to its end, however short its chunks.
 3. Spans that adjoin or overlap make a run. Runs of ``MIN_WORDS`` words or ``MIN_LINES`` line ends are passages and go; shorter
    ones stay, as a remark that others also make is no passage. If a passage that starts inside a line goes with its line break, the
    rest of that line ends there.
@@ -26,6 +26,8 @@ processed whole, its chunks being rows of their own. Only DataFrame functions ar
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -36,11 +38,12 @@ from txnflow.llm.shared import packed, unpacked, written
 WINDOW, JOINED, JOINED_SHORT = 2, 8, 8
 SHORT_PIECE = 28
 #: Characters above which a piece is cut after words, and mean words between those cuts (a power of two).
-LONG_PIECE, WORDS = 60, 8
+LONG_PIECE, WORDS = 80, 8
 #: Least characters of a chunk that is compared.
 MIN_CHARS = 40
-#: Chunks on each side of a repeated one that are compared word by word; more are taken while none has ``MIN_CHARS``.
-REACH = (16, 256)
+#: Chunks on each side of a repeated one that are compared word by word: up to the third of ``MIN_CHARS``, which is looked for
+#: in so many chunks first.
+REACH, LOOK = 3, (16, 256)
 #: Least number of words of a part of a piece that join a chunk; the next sentence often begins with an equal word or two, so
 #: fewer join only where the passage is long enough through them.
 MIN_SHARED = 4
@@ -51,7 +54,7 @@ _WORD = r"[^\x20\x09-\x0D]+"
 _IDEOGRAPH = r"[\u2E80-\u9FFF\uF900-\uFAFF]"
 #: What ends a piece within lines: these marks before a space, and those of scripts without spaces.
 _MARKS, _STOPS = ".!?,;:", "。！？"
-_LINE_ENDS, _MARK_ENDS = ("\n",), ("\n", *(f"{m} " for m in _MARKS), *_STOPS)
+_LINE_ENDS, _MARK_ENDS = ("\n",), ("\n", *(f"{m} " for m in _MARKS))
 # Words keep the blank behind them; towards the end of a text, which may lack it, blanks stand alone.
 _TOKEN_END, _TOKEN_ENDS = r"(?<=[ \n])", r"(?<=[ \n])|(?=[ \n])"
 #: Stands between pieces or chunks, or for a removed passage. Texts hold none, as their own zero characters are escaped.
@@ -76,15 +79,18 @@ def _unescaped(text: Column) -> Column:
 
 def _pieces(text: Column, within_lines: bool) -> Column:
     """The pieces of an escaped text. Plain replacements and a split at one character are far cheaper than a pattern."""
-    for end in _MARK_ENDS if within_lines else _LINE_ENDS:
-        text = F.replace(text, F.lit(end), F.lit(end + _CUT))
-    return F.split(text, _CUT, -1)
+    ended = lambda text, ends: functools.reduce(lambda t, end: F.replace(t, F.lit(end), F.lit(end + _CUT)), ends, text)
+    if not within_lines:
+        return F.split(ended(text, _LINE_ENDS), _CUT, -1)
+    # Most texts have no character of more than one byte, and none of the stops then.
+    return F.split(ended(F.when(F.octet_length(text) > F.length(text), ended(text, _STOPS)).otherwise(text), _MARK_ENDS), _CUT, -1)
 
 
 def _fine_pieces(pieces: Column) -> Column:
     """The pieces, long ones cut after words whose hash is a multiple of ``WORDS``."""
     ended = lambda w: F.when(F.xxhash64(w).bitwiseAND(WORDS - 1) == 0, F.concat(w, F.lit(_CUT))).otherwise(w)
-    cut = lambda p: F.split(F.array_join(F.transform(F.split(p, "(?<= )", -1), ended), ""), _CUT, -1)
+    words = lambda p: F.split(F.replace(p, F.lit(" "), F.lit(" " + _CUT)), _CUT, -1)
+    cut = lambda p: F.split(F.array_join(F.transform(words(p), ended), ""), _CUT, -1)
     long = lambda p: F.length(p) > LONG_PIECE
     return F.when(F.exists(pieces, long), F.flatten(F.transform(pieces, lambda p: F.when(long(p), cut(p)).otherwise(F.array(p))))).otherwise(pieces)
 
@@ -129,13 +135,15 @@ def _candidates(rows: DataFrame, within_lines: bool) -> DataFrame:
         before = lambda c, n: F.slice(c, F.greatest(i - n, F.lit(0)) + 1, F.least(F.lit(n), i))
         after = lambda c, n: F.slice(c, i + 2, n)
 
-        def reached(side) -> Column:
+        def reached(side, order) -> Column:
             out = side("__c", 2**30)
-            for n in reversed(REACH):
-                out = F.when(F.exists(side("__n", n), lambda x: x >= MIN_CHARS), side("__c", n)).otherwise(out)
+            for n in reversed(LOOK):
+                large = F.filter(F.transform(order(side("__n", n)), lambda x, at: F.when(x >= MIN_CHARS, at + 1)), lambda x: x.isNotNull())
+                near = F.get(large, F.lit(REACH - 1))
+                out = F.when(near.isNotNull(), order(F.slice(order(side("__c", n)), 1, near))).otherwise(out)
             return F.array_join(out, "")
 
-        left, right = reached(before), reached(after)
+        left, right = reached(before, F.reverse), reached(after, lambda x: x)
         return F.struct(
             F.get("__c", i).alias("text"), start.alias("start"),
             F.when((i > 0) & ~beside(k - 1, i - 1), left).alias("left"), F.when(~beside(k + 1, i + 1), right).alias("right"),

@@ -38,9 +38,12 @@ def shared_dir(spark: SparkSession) -> str:
 def written(df: DataFrame) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and read again whatever executor is lost.
 
-    The shuffle files behind it are of no use then; Spark is asked to remove them when the write ends.
+    The shuffle files behind it are of no use then; Spark is asked to remove them when the write ends. The table goes
+    when the driver ends.
     """
     spark, path = df.sparkSession, shared_dir(df.sparkSession)
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:

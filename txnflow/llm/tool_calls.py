@@ -22,8 +22,8 @@ Defined cases: a call id that occurs twice in a conversation keeps its call of t
 arguments); of several results the smallest text counts; rows without conv_id or call_id are left out; null or
 malformed arguments are invalid and serialised as null; a missing result gives ``linked`` false. Of several schema rows for an
 argument the smallest (type, required) counts. Empty tables of calls give no rows, empty results or schemas no links or no valid call;
-other columns of the three tables are ignored, whatever their names; texts of any length are kept whole. The schemas are
-a bounded table, at most ``MAX_SCHEMA`` rows, which is checked before they are broadcast. Only DataFrame functions are used.
+other columns of the three tables are ignored, whatever their names; texts of any length are kept whole. Schemas of at most
+``MAX_SCHEMA`` rows, which is checked, are broadcast; more are joined by shuffle. Only DataFrame functions are used.
 """
 
 from __future__ import annotations
@@ -117,16 +117,15 @@ def validated(calls: DataFrame, schemas: DataFrame) -> DataFrame:
     # Projected, so that other columns don't clash; one row an argument, the smallest by type where rows disagree.
     one = F.min(F.struct("type", "required")).alias("s")
     schemas = schemas.where("name is not null and arg is not null").groupBy("name", "arg").agg(one).select("name", "arg", "s.type", "s.required")
-    if schemas.limit(MAX_SCHEMA + 1).count() > MAX_SCHEMA:
-        raise ValueError(f"more than {MAX_SCHEMA} schema rows")
+    sent = F.broadcast if schemas.limit(MAX_SCHEMA + 1).count() <= MAX_SCHEMA else lambda df: df
     tools = schemas.groupBy("name").agg(F.sum(F.col("required").cast("int")).alias("n_required"))
     parsed = calls.select(*KEY, "name", F.try_parse_json("arguments").alias("v"))
     parsed = parsed.where(F.schema_of_variant("v").startswith("OBJECT"))
     args = parsed.lateralJoin(spark.tvf.variant_explode(F.col("v").outer())).select(*KEY, "name", F.col("key").alias("arg"), _argument_type("value").alias("got"))
-    args = args.where("got is not null").join(F.broadcast(schemas), ["name", "arg"], "left")
+    args = args.where("got is not null").join(sent(schemas), ["name", "arg"], "left")
     fits = F.coalesce((F.col("got") == F.col("type")) | ((F.col("type") == "number") & (F.col("got") == "integer")), F.lit(False))
     seen = args.groupBy(*KEY).agg(F.min(fits.cast("int")).alias("fits"), F.sum(F.coalesce(F.col("required").cast("int"), F.lit(0))).alias("n"))
-    objects = parsed.select(*KEY, "name").join(F.broadcast(tools), "name").join(seen, KEY, "left")
+    objects = parsed.select(*KEY, "name").join(sent(tools), "name").join(seen, KEY, "left")
     ok = (F.coalesce("fits", F.lit(1)) == 1) & (F.coalesce("n", F.lit(0)) == F.col("n_required"))
     return objects.select(*KEY, ok.alias("ok"))
 
