@@ -3,6 +3,10 @@
 ``STAGES`` lists the stages in order. Each takes ``(spark, docs, sf_dir)``, works on all its predecessor kept and returns
 a DataFrame; all but the last return the columns of documents. ``run`` applies them, writing each stage's rows as
 Parquet in the shared folder and reading them again for the next.
+
+Every stage takes null ids and null texts (as empty ones, which the quality stage rejects), empty and very long texts, rows that
+repeat, ties (the row that comes first in the order of its operator stays) and other columns of any name, which are
+kept. An empty table of documents gives an empty result, an empty benchmark removes nothing.
 """
 
 from __future__ import annotations

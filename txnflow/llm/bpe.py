@@ -4,7 +4,9 @@ Every byte is mapped to a printable character, so each vocabulary entry is a pie
 its negative rank: the merge with the best score is then the merge of the lowest rank. The normaliser is the identity.
 Each match of the pre-token pattern is encoded by itself; decoding maps ids to pieces and pieces to bytes again.
 
-A null text counts as empty: no tokens, and the digests of nothing. Repeated rows get equal results.
+A null text counts as empty: no tokens, and the digests of nothing. Repeated rows get equal results, rows without an id one of
+their own. Texts of any length are encoded whole, a pre-token at a time; equal ranks of two merges can't occur, and of equal
+merges in a pre-token the leftmost goes first. An empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

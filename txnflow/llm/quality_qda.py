@@ -9,6 +9,8 @@ histogram over the training rows, makes it a probability.
 Only rows with ``crc32(doc_id) mod 5 <> 0`` train, and only text is a feature. Null and empty texts have the
 statistics of an empty text and are scored like the rest. Of repeated labels of a document the larger one counts;
 labels that are null are left out. A training set without both classes gives its constant share as every score.
+Statistics cover whole texts of any length. A score of exactly the threshold predicts 1. Rows that repeat train and are scored each
+time. An empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations

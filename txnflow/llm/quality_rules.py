@@ -9,7 +9,8 @@ A line with a word fails as
 
 A document is rejected where the base rule fails (fewer than ten words, or over 20 % of its words in repeated
 five-word windows) or where over ``max_removed`` of its word characters stood in removed lines. Null and empty texts
-have no words and are rejected. Repeated rows and other columns don't matter: each row is judged by its text alone.
+have no words and are rejected. Repeated rows and other columns don't matter: each row is judged by its text alone, which
+is read whole, whatever its length. A share of exactly the limit is no reason to reject. An empty table gives no rows.
 """
 
 from __future__ import annotations
