@@ -97,7 +97,12 @@ def _fine_pieces(pieces: Column) -> Column:
 
 def _chunked(df: DataFrame, within_lines: bool) -> DataFrame:
     """``df`` with its chunks ``__c`` for ``__text``. Each step is used twice by the next, so that Spark keeps it apart."""
-    pieces = df.withColumn("__p", _pieces(_escaped("__text"), within_lines)).drop("__text")
+    pieces = df.withColumn("__text", _escaped("__text"))
+    # As in ``_pieces``. Looking for a mark is much cheaper than replacing it, and few texts have all of them.
+    for end in (*_STOPS, *_MARK_ENDS) if within_lines else _LINE_ENDS:
+        text, marked = F.col("__text"), F.replace(F.col("__text"), F.lit(end), F.lit(end + _CUT))
+        pieces = pieces.withColumn("__text", F.when(F.contains(text, F.lit(end)), marked).otherwise(text))
+    pieces = pieces.withColumn("__p", F.split("__text", _CUT, -1)).drop("__text")
     pieces = pieces.withColumn("__p", _fine_pieces(F.col("__p"))) if within_lines else pieces
     hashed = pieces.withColumn("__h", F.transform("__p", lambda p: F.xxhash64(p)))
 
@@ -110,19 +115,24 @@ def _chunked(df: DataFrame, within_lines: bool) -> DataFrame:
 
 
 def _repeated(rows: DataFrame, within_lines: bool) -> DataFrame:
-    """``__rid, __at``: the numbers of the chunks of each document whose key occurs again anywhere."""
+    """``__hash, __at``: the numbers of the chunks of each document whose key occurs again anywhere.
+
+    A document is known by 64 bits of its identity here. Where two share them, chunks of the one are candidates of the other too, which
+    the comparison of bytes sorts out.
+    """
     # The outer form keeps Spark from filtering on the size of the chunks, for which it would make them twice.
-    chunks = _chunked(rows.select("__rid", "__text"), within_lines).select("__rid", F.posexplode_outer("__c").alias("seq", "c"))
-    keys = written(chunks.where(F.length("c") >= MIN_CHARS).select("__rid", "seq", F.xxhash64("c").alias("key")))
+    chunks = _chunked(rows.select("__rid", "__text"), within_lines).select(F.xxhash64("__rid").alias("__hash"), F.posexplode_outer("__c").alias("seq", "c"))
+    keys = written(chunks.where(F.length("c") >= MIN_CHARS).select("__hash", "seq", F.xxhash64("c").alias("key")))
     # A table of its own, here and below, so that the join can be split where a key is hot.
     again = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    return keys.join(again, "key").groupBy("__rid").agg(F.sort_array(F.collect_set("seq")).alias("__at"))
+    return keys.join(again, "key").groupBy("__hash").agg(F.sort_array(F.collect_set("seq")).alias("__at"))
 
 
 def _candidates(rows: DataFrame, within_lines: bool) -> DataFrame:
     """``__id, __rid, text, start, left, right`` of every chunk whose key is repeated, the last two where they end a row of such chunks."""
     # Hashing the small side, one row a document, spares sorting the texts.
-    known = rows.select("__rid", F.col("__row.doc_id").alias("__id"), "__text").join(_repeated(rows, within_lines).hint("shuffle_hash"), "__rid")
+    known = rows.select("__rid", F.xxhash64("__rid").alias("__hash"), F.col("__row.doc_id").alias("__id"), "__text")
+    known = known.join(_repeated(rows, within_lines).hint("shuffle_hash"), "__hash").drop("__hash")
     parts = _chunked(known, within_lines).withColumn("__n", F.transform("__c", F.length))
     total = lambda a: F.aggregate(a, F.lit(0), lambda s, n: s + n)
     blocks = F.sequence(F.lit(0), F.floor(F.size("__n") / _BLOCK).cast("int"))
