@@ -123,6 +123,30 @@ def test_names_in_either_order_of_arrival(spark, tmp_path, runs, first):
     assert groups(run()) == sorted([*named, ("0", "7", 1.0, "7"), ("1", "11", 2.0, "11")])
 
 
+def test_payments_behind_the_watermark_are_named(spark, tmp_path):
+    """Files whose payments are days older than those of the files before them, named or not, known or waiting."""
+    schema = "client_id string, from_bank string, amount long, more timestamp, arrived timestamp"
+
+    def put(name, rows, schema):
+        spark.createDataFrame(rows, ", ".join(c.replace("timestamp", "string") for c in schema.split(", "))).select(*(F.expr(f"cast({c.split()[0]} as {c.split()[1]}) {c.split()[0]}") for c in schema.split(", "))).coalesce(1).write.mode("append").parquet(str(tmp_path / name))
+
+    for n, day in enumerate((18, 3, 17, 1)):
+        put("payments", [("0", "011", n, "2022-09-01 10:00:00.123456", f"2022-09-{day:02}"), ("0", "5", 2**60 + n, None, f"2022-09-{day:02}")], schema)
+    put("payments", [("0", "11", 100, None, None)], schema)
+    put("payments", [("0", "5", 7, None, "2022-07-01")], schema)  # behind all accounts that it may find
+    put("payments", [(None, None, None, None, "2022-12-31")], schema)
+    account = "client_id string, bank_id string, bank_name string, arrived timestamp"
+    put("accounts", [("0", "0011", "First", "2022-09-09")], account)
+    put("accounts", [("0", "11", "Second", "2022-09-11"), (None, None, None, "2022-12-31")], account)
+    stream = lambda n, s: spark.readStream.schema(s).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / n))
+    named = streams.stream_bank_names(stream("payments", schema), stream("accounts", account), "arrived", "1 day", "30 days")
+    got = streams.run_append(named, str(tmp_path / "out"))
+    assert got.columns == ["client_id", "from_bank", "amount", "more", "arrived", "bank_name"]
+    want = [(n, "First") for n in range(4)] + [(100, "First"), (7, "5")] + [(2**60 + n, "5") for n in range(4)]
+    assert groups(got.select("amount", "bank_name")) == sorted(want)
+    assert got.where("bank_name = 'First' and amount < 4 and more = timestamp'2022-09-01 10:00:00.123456'").count() == 4
+
+
 def test_repeats_across_a_restart(spark, tmp_path, runs):
     def put(rows):
         spark.createDataFrame(rows, "batch_id string, row_index long, at string").selectExpr("*", "cast(at as timestamp) arrived").drop("at").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))

@@ -19,7 +19,7 @@ from txnflow.operators.graph import distinct_edges, edges, endpoints, two_hop
 from txnflow.operators.joins import add_bank_name, below_group_baseline
 from txnflow.operators.predicates import predicate, reduce_columns
 from txnflow.sources.files import file_names, read_clients
-from txnflow.streaming.sessions import close_groups, merged, numbered, partial_schema
+from txnflow.streaming.sessions import close_groups, merged, name_payments, numbered, partial_schema
 
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKS = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
@@ -31,7 +31,8 @@ BUCKETS = 16
 
 def run_append(stream: DataFrame, out: str) -> DataFrame:
     """Append a stream to Parquet until its input is used up; returns what was written."""
-    _finish(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}.checkpoint"))
+    with _rocksdb(stream.sparkSession):
+        _finish(stream.writeStream.format("parquet").option("path", out).option("checkpointLocation", f"{out}.checkpoint"))
     return stream.sparkSession.read.schema(stream.schema).parquet(out)
 
 
@@ -136,20 +137,24 @@ def stream_bank_names(payments: DataFrame, accounts: DataFrame, time: str, delay
     """Payments with the names of their banks, where both arrive as streams with an event time, in either order.
 
     A payment waits for an account of its client and bank up to ``within`` before or after its own time; when the
-    watermark has passed that, its bank keeps its id as its name. The first name of a bank counts, accounts that repeat
-    it do nothing. Payments of a bank are dealt over ``copies`` keys, to which its account is copied. Rows of either
-    stream without a client only move the watermark: one of each, later than all others by ``within`` and ``delay``, ends
-    the session.
+    watermark has passed that, its bank keeps its id as its name. No payment is dropped for coming late: one behind the
+    watermark is named if its account is known, waits if one may still come, and else keeps its bank's id. Only payments that wait are state. The first name
+    of a bank counts, accounts that repeat it do nothing. Payments of a bank are dealt over ``copies`` keys, to which its account is copied. Rows
+    of either stream without a client only move the watermark: one of each, later than all others by ``within`` and ``delay``,
+    ends the session.
     """
-    a = accounts.select("client_id", normalize_bank_id("bank_id").alias("bank_id"), "bank_name", F.col(time).alias("_at")).withWatermark("_at", delay)
-    a = a.dropDuplicatesWithinWatermark(["client_id", "bank_id"]).withColumn("_copy", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))))
-    a = a.withColumnsRenamed({"client_id": "_client"})
-    p = payments.withColumn(bank, normalize_bank_id(bank)).withColumn("_own", F.pmod(F.xxhash64(*payments.columns), F.lit(copies)).cast("int")).withWatermark(time, delay)
-    near = F.expr(f"_at between {time} - interval {within} and {time} + interval {within}")
-    out = p.join(a, (F.col("client_id") == F.col("_client")) & (F.col(bank) == F.col("bank_id")) & (F.col("_own") == F.col("_copy")) & near, "left")
-    # Written so that the condition isn't moved below the watermark, which closing rows have to move.
-    named = F.concat("client_id", F.col(time).cast("string")).isNotNull()
-    return out.where(named).select(*payments.columns, F.coalesce("bank_name", bank).alias("bank_name"))
+    # The time that goes on is a number, so that Spark doesn't know it as event time and drop what comes late.
+    a = accounts.select("client_id", normalize_bank_id("bank_id").alias("bank"), "bank_name", F.col(time).alias("_at")).withWatermark("_at", delay)
+    a = a.select("client_id", "bank", F.explode(F.sequence(F.lit(0), F.lit(copies - 1))).alias("copy"), F.lit(True).alias("account"), F.unix_micros("_at").alias("at"), F.lit(None).cast("string").alias("payload"), "bank_name")
+    # Payments go through as JSON text, so that no type of theirs changes on the way.
+    written = {"timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX", "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    payload, copy = F.to_json(F.struct(*payments.columns), written), F.pmod(F.xxhash64(*payments.columns), F.lit(copies)).cast("int")
+    p = payments.withWatermark(time, delay).select("client_id", normalize_bank_id(bank).alias("bank"), copy.alias("copy"), F.lit(False).alias("account"), F.unix_micros(time).alias("at"), payload.alias("payload"), F.lit(None).cast("string").alias("bank_name"))
+    micros = int(accounts.sparkSession.sql(f"select unix_micros(timestamp_micros(0) + interval {within})").first()[0])
+    named = p.unionByName(a).groupBy("client_id", "bank", "copy").transformWithStateInPandas(name_payments(micros), "payload string, bank string, bank_name string", "append", "eventTime")
+    row = F.from_json("payload", payments.schema, written)
+    own = {bank: F.col("bank")}
+    return named.select(row.alias("row"), "bank", "bank_name").select(*(own.get(c, F.col("row")[c]).alias(c) for c in payments.columns), F.coalesce("bank_name", "bank").alias("bank_name"))
 
 
 def stream_below_baseline(stream: DataFrame, base: tuple, probe: tuple, key: list[str], coef: float, bronze: str) -> DataFrame:
