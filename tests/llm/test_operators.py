@@ -586,6 +586,21 @@ def test_forest_depth_follows_the_weakest_link(spark):
         assert {r.doc_id: (r.class_id, r.n_links) for r in near_dup.near_duplicates(d).collect()} == brute_classes(d.collect())
 
 
+def test_forest_depth_is_measured_on_all_links(spark, monkeypatch):
+    """One weak link among many close ones counts, and so does one between texts that only meet in a large node."""
+    monkeypatch.setattr(near_dup, "MEASURED_ENTRIES", 1, raising=False)  # the bound of a sample that there was once
+    limits = (near_dup.THRESHOLD, near_dup.TREES, near_dup.TARGET_RECALL)
+    close = [varied([f"word{i}" for i in range(1000)], {40 * k}) for k in range(7)]
+    weak = [varied([f"other{i}" for i in range(1000)], set(range(0, 20 * k, 20))) for k in (0, 20)]
+    floor, copies = signed_texts(spark, *close, *weak)
+    assert near_dup.measured_depth(entries_of(copies), copies, *limits, floor) == floor
+    # Nine texts of one node that are no links of its smallest one.
+    far = [varied([f"word{i}" for i in range(1000)], set(range(60 * k, 60 * k + 60, 5))) for k in range(9)]
+    floor, copies = signed_texts(spark, *far)
+    entries = copies.select("rid", F.lit(1).alias("node"), F.lit(0).alias("after")).crossJoin(copies.agg(F.min("rid").alias("head"), F.count("*").alias("m")))
+    assert near_dup.measured_depth(entries, copies, *limits, floor) == floor
+
+
 def test_chance_meetings_link_nothing(spark):
     """A chain of texts that share half of their shingles with the next meets in many nodes, and forms no group."""
     words = [f"word{i}" for i in range(40_000)]

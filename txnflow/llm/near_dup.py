@@ -5,7 +5,7 @@ words none). Rows with the same text are collapsed to one representative first,
 
 Every tree of the forest sorts the texts by a signature of its own, and texts that agree in a prefix of it share a node of
 the tree's trie. Prefixes start ``LEVELS`` values longer than the shortest one ever needed, at which a pair exactly at the threshold
-is found with ``TARGET_RECALL``. They are shortened, value by value, until the weakest link measured on the data is found with
+is found with ``TARGET_RECALL``. They are shortened, value by value, until the weakest link of the whole table is found with
 that recall (``measured_depth``), so data that hold close copies alone are matched by long prefixes.
 
 Pairs of a node of few texts are candidates if one-bit sketches of their signatures put them near the threshold or above
@@ -41,8 +41,6 @@ TREES = 40
 #: Values of a tree's signature beyond the shortest prefix.
 LEVELS = 4
 TARGET_RECALL = 0.999
-#: Entries of shared nodes, at most, on which the weakest link is measured.
-MEASURED_ENTRIES = 4_000
 #: Three standard errors of a sketch's estimate at the threshold; what is measured may be that much weaker.
 SKETCH_ERROR = 0.09
 #: Pairs of texts are compared by sketches in nodes of this many texts, at most; estimates this far below the threshold go.
@@ -161,18 +159,26 @@ def _estimated(pairs: DataFrame, copies: DataFrame, values: int) -> DataFrame:
     return pairs.select("a", "b", (1 - 2 * differ / values).alias("estimate"))
 
 
+def _node_pairs(entries: DataFrame) -> DataFrame:
+    """Every pair ``a, b`` of texts that share a node of few texts."""
+    few = entries.where(F.col("m") <= PAIRED_TEXTS).groupBy("node").agg(F.collect_set("rid").alias("texts"))
+    pairs = few.select(F.explode("texts").alias("a"), "texts")
+    return pairs.select("a", F.explode(F.filter("texts", lambda t: t < F.col("a"))).alias("b")).distinct()
+
+
 def measured_depth(entries: DataFrame, copies: DataFrame, threshold: float, trees: int, target: float, floor: int) -> int:
-    """The depth at which the weakest link measured is found with the target recall.
+    """The depth at which the weakest link of the table is found with the target recall.
 
-    Measured are links between texts and the smallest text in their nodes at the shortest prefix, over the
-    ``MEASURED_ENTRIES`` of ``entries`` (``rid, node, after, head``) with the smallest hashes of their pair: all of them in a small table.
-    Without a link among them the prefix is the shortest.
+    All ``entries`` (``rid, node, after, head, m``) of nodes at the shortest prefix are measured: every pair of a node of few texts, and
+    every text of a larger one with the smallest there. Where such a text is no link of the smallest one its links to others
+    there aren't known, and the prefix is the shortest; so it is without a link.
     """
-    pairs = entries.where("rid <> head").select(F.col("rid").alias("a"), F.col("head").alias("b"))
-    pairs = pairs.orderBy(F.xxhash64("a", "b"), "a", "b").limit(MEASURED_ENTRIES).distinct()
-    found = _estimated(pairs, copies, trees * (floor + LEVELS)).where(F.col("estimate") >= threshold - SKETCH_ERROR)
-    weakest = found.agg(F.min("estimate")).first()[0]
-    if weakest is None:
+    star = entries.where((F.col("m") > PAIRED_TEXTS) & (F.col("rid") != F.col("head"))).select(F.col("rid").alias("a"), F.col("head").alias("b")).distinct()
+    values, link = trees * (floor + LEVELS), F.col("estimate") >= threshold - SKETCH_ERROR
+    linked = _estimated(star, copies, values).agg(F.min("estimate").alias("estimate")).select("estimate", (~link).alias("unknown"))
+    paired = _estimated(_node_pairs(entries), copies, values).where(link).agg(F.min("estimate").alias("estimate")).select("estimate", F.lit(False).alias("unknown"))
+    weakest, unknown = linked.union(paired).agg(F.min("estimate"), F.max("unknown")).first()
+    if weakest is None or unknown:
         return floor
     return max(floor, prefix_depth(max(threshold, weakest - SKETCH_ERROR), floor + LEVELS, trees, target))
 
@@ -191,10 +197,7 @@ def candidates(copies: DataFrame, threshold: float, trees: int, target: float) -
         heads = member.groupBy("node").agg(F.min("rid").alias("head"), F.count("*").alias("m")).where("m > 1")
         entries = written(member.join(heads, "node"))
     star = entries.where(F.col("m") > PAIRED_TEXTS).select(F.col("rid").alias("a"), F.col("head").alias("b"))
-    few = entries.where(F.col("m") <= PAIRED_TEXTS).groupBy("node").agg(F.collect_set("rid").alias("texts"))
-    pairs = few.select(F.explode("texts").alias("a"), "texts")
-    pairs = pairs.select("a", F.explode(F.filter("texts", lambda t: t < F.col("a"))).alias("b")).distinct()
-    near = _estimated(pairs, copies, trees * (floor + LEVELS)).where(F.col("estimate") >= threshold - SKETCH_MARGIN)
+    near = _estimated(_node_pairs(entries), copies, trees * (floor + LEVELS)).where(F.col("estimate") >= threshold - SKETCH_MARGIN)
     return star.union(near.select("a", "b"))
 
 
