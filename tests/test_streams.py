@@ -218,4 +218,7 @@ def test_two_hop_work_follows_the_batch(spark, tmp_path):
     assert added.count() == 30 and added.agg(F.sum("n_paths")).first()[0] == 30
     assert streams.read_batches(spark, f"{folder}/by_src").where("batch = 1").count() == 1
     assert streams.two_hop_pairs(spark, folder, 19).count() == 900
+    for side in ("src", "dst"):  # one file a bucket and client, however many tasks made the edges
+        made = list((tmp_path / "paths" / f"by_{side}" / "batch=0").rglob("*.parquet"))
+        assert len(made) == len({f.parent for f in made})
     assert files.purge_client(spark, "A", [folder]) > 0 and not list(tmp_path.rglob("client_id=A"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -19,6 +21,25 @@ def edges(txns: DataFrame) -> DataFrame:
     return txns.select("client_id", node("from").alias("src"), node("to").alias("dst"))
 
 
+def _client(df: DataFrame) -> list[str]:
+    """Edges whose nodes are numbers need no client, as a number stands for a node of one client."""
+    return [c for c in df.columns if c == "client_id"]
+
+
+def node_ids(e: DataFrame) -> DataFrame:
+    """``client_id, node, id``: a number for each node of the edges, as a stored table."""
+    nodes = e.select("client_id", F.explode(F.array("src", "dst")).alias("node")).distinct()
+    return stored(nodes.withColumn("id", F.monotonically_increasing_id()), "nodes")
+
+
+def with_ids(e: DataFrame, ids: DataFrame) -> DataFrame:
+    """Edges with numbers for their nodes, and without the client; steps that handle every path do so far faster on them."""
+    rest = [c for c in e.columns if c not in ("client_id", "src", "dst")]
+    for side in ("src", "dst"):
+        e = e.join(ids.select("client_id", F.col("node").alias(side), F.col("id").alias(f"_{side}")), ["client_id", side])
+    return e.select(F.col("_src").alias("src"), F.col("_dst").alias("dst"), *rest)
+
+
 def distinct_edges(e: DataFrame) -> DataFrame:
     return e.dropDuplicates(["client_id", "src", "dst"])
 
@@ -30,7 +51,7 @@ def node_degrees(e: DataFrame, side: str, k: int = 0, unique: bool = False) -> D
     """
     other = "dst" if side == "src" else "src"
     n = F.count(other) if unique else F.countDistinct(other)
-    return e.groupBy("client_id", side).agg(n.alias("n")).where(F.col("n") > k)
+    return e.groupBy(*_client(e), side).agg(n.alias("n")).where(F.col("n") > k)
 
 
 def with_degree(e: DataFrame, side: str, k: int, unique: bool = False) -> DataFrame:
@@ -48,12 +69,13 @@ def weighted_edges(e: DataFrame) -> DataFrame:
 
 
 def hubs(first: DataFrame, second: DataFrame, paths: int = HUB_PATHS, block: int = HUB_BLOCK) -> DataFrame:
-    """``client_id, mid, in_blocks, out_blocks`` of the nodes through which more than ``paths`` paths lead."""
-    a = first.groupBy("client_id", F.col("dst").alias("mid")).agg(F.count("*").alias("n_in"))
-    b = second.groupBy("client_id", F.col("src").alias("mid")).agg(F.count("*").alias("n_out"))
+    """``mid, in_blocks, out_blocks``, by client if edges have one, of the nodes through which more than ``paths`` paths lead."""
+    keys = [*_client(first), "mid"]
+    a = first.withColumnRenamed("dst", "mid").groupBy(keys).agg(F.count("*").alias("n_in"))
+    b = second.withColumnRenamed("src", "mid").groupBy(keys).agg(F.count("*").alias("n_out"))
     blocks = lambda c: F.ceil(F.col(c) / block).cast("int")
-    both = a.join(b, ["client_id", "mid"]).where(F.col("n_in") * F.col("n_out") > paths)
-    return both.select("client_id", "mid", blocks("n_in").alias("in_blocks"), blocks("n_out").alias("out_blocks"))
+    both = a.join(b, keys).where(F.col("n_in") * F.col("n_out") > paths)
+    return both.select(*keys, blocks("n_in").alias("in_blocks"), blocks("n_out").alias("out_blocks"))
 
 
 def two_hop(first: DataFrame, second: DataFrame, heavy: DataFrame | None = None) -> DataFrame:
@@ -63,9 +85,10 @@ def two_hop(first: DataFrame, second: DataFrame, heavy: DataFrame | None = None)
     ones by their end, and every pair of blocks is a key of its own. An edge of a hub is copied once for each block
     of the other side, which is little beside its paths; edges of other nodes stay single.
     """
-    a = first.select("client_id", F.col("src").alias("start"), F.col("dst").alias("mid"), *(F.col(c).alias("_w1") for c in first.columns if c == "weight"))
-    b = second.select("client_id", F.col("src").alias("mid"), F.col("dst").alias("final"), *(F.col(c).alias("_w2") for c in second.columns if c == "weight"))
-    keys = ["client_id", "mid"]
+    client = _client(first)
+    a = first.select(*client, F.col("src").alias("start"), F.col("dst").alias("mid"), *(F.col(c).alias("_w1") for c in first.columns if c == "weight"))
+    b = second.select(*client, F.col("src").alias("mid"), F.col("dst").alias("final"), *(F.col(c).alias("_w2") for c in second.columns if c == "weight"))
+    keys = [*client, "mid"]
     if heavy is not None:
         own = lambda end, n: F.pmod(F.xxhash64(end), F.coalesce(n, F.lit(1))).cast("int")
         every = lambda n: F.explode(F.sequence(F.lit(0), F.coalesce(n, F.lit(1)) - 1))
@@ -79,7 +102,7 @@ def two_hop(first: DataFrame, second: DataFrame, heavy: DataFrame | None = None)
 def path_counts(paths: DataFrame, k: int) -> DataFrame:
     """Pairs of ends with more than ``k`` paths between them, each counted by its weight if it has one."""
     n = F.sum("weight") if "weight" in paths.columns else F.count("*")
-    return paths.groupBy("client_id", "start", "final").agg(n.alias("n_paths")).where(F.col("n_paths") > k)
+    return paths.groupBy(*_client(paths), "start", "final").agg(n.alias("n_paths")).where(F.col("n_paths") > k)
 
 
 def endpoints(pairs: DataFrame) -> DataFrame:
@@ -94,10 +117,12 @@ def scatter_gather(txns: DataFrame, k: int = 5, multiplicity: str = "set", prune
     ``k`` senders, so pruning both sides by degree before the join loses nothing. "bag" counts every pair of payments,
     as products of the edges' weights, and takes both hops from payments whose sender has more than ``k`` receivers.
 
-    The edges, each once, are stored in the shared folder: all further steps read them there, and the hubs among their
-    nodes are known before the join is planned.
+    The edges, each once, are stored in the shared folder, and again with numbers for their nodes: all further steps read these,
+    and the hubs among their nodes are known before the join is planned. Names come back for the accounts found alone.
     """
     e = stored(weighted_edges(edges(txns)), "edges")
+    ids = node_ids(e)
+    e = stored(with_ids(e, ids), "numbered")
     if multiplicity == "bag":
         first = second = _with_degree(e, "src", k)
     else:
@@ -106,9 +131,20 @@ def scatter_gather(txns: DataFrame, k: int = 5, multiplicity: str = "set", prune
     heavy = hubs(first, second)
     n = heavy.limit(BROADCAST_HUBS + 1).count()
     heavy = None if not n else F.broadcast(heavy) if n <= BROADCAST_HUBS else heavy
-    return endpoints(path_counts(two_hop(first, second, heavy), k))
+    found = path_counts(two_hop(first, second, heavy).drop("mid"), k)
+    return found.select(F.explode(F.array("start", "final")).alias("id")).distinct().join(ids, "id").select("client_id", "node.bank", "node.account")
+
+
+def hop_counts(hops: list[tuple[DataFrame, DataFrame]]) -> DataFrame:
+    """``client_id, start, final, n_paths`` over the two-hop paths of all given pairs of edge tables together."""
+    ids = node_ids(reduce(DataFrame.unionByName, [e for hop in hops for e in hop]))
+    paths = [two_hop(*(with_ids(e, ids) for e in hop)).select("start", "final") for hop in hops]
+    out = path_counts(reduce(DataFrame.union, paths), 0)
+    for side in ("start", "final"):
+        out = out.join(ids.select(F.col("client_id").alias(f"_{side}"), F.col("node").alias(f"{side}_node"), F.col("id").alias(side)), side)
+    return out.select(F.col("_start").alias("client_id"), F.col("start_node").alias("start"), F.col("final_node").alias("final"), "n_paths")
 
 
 def _with_degree(e: DataFrame, side: str, k: int) -> DataFrame:
     """As ``with_degree`` for unique edges, with all their columns."""
-    return e.join(node_degrees(e, side, k, unique=True), ["client_id", side], "left_semi").select(e.columns)
+    return e.join(node_degrees(e, side, k, unique=True), [*_client(e), side], "left_semi").select(e.columns)

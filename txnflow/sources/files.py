@@ -75,8 +75,10 @@ def write_clients(df: DataFrame, path: str, clients: Iterable[str] = (), format:
                 delete(spark, f)
 
 
-def read_clients(spark: SparkSession, path: str) -> DataFrame:
-    """A Parquet table with folders of clients, whose ids are text, whatever they look like."""
+def read_clients(spark: SparkSession, path: str, schema: str | StructType | None = None) -> DataFrame:
+    """A Parquet table with folders of clients, whose ids are text, whatever they look like; a known schema spares looking for it."""
+    if schema is not None:
+        return spark.read.schema(schema).parquet(path)
     fields = [StructField(f.name, StringType()) if f.name == "client_id" else f for f in spark.read.parquet(path).schema.fields]
     return spark.read.schema(StructType(fields)).parquet(path)
 

@@ -15,7 +15,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from txnflow.functions import normalize_bank_id, to_number
 from txnflow.operators.aggregates import aggregate
-from txnflow.operators.graph import distinct_edges, edges, endpoints, two_hop
+from txnflow.operators.graph import distinct_edges, edges, endpoints, hop_counts
 from txnflow.operators.joins import add_bank_name, below_group_baseline
 from txnflow.operators.predicates import predicate, reduce_columns
 from txnflow.sources.files import file_names, read_clients
@@ -53,6 +53,17 @@ def _rocksdb(spark: SparkSession) -> Iterator[None]:
         spark.conf.unset(_STORE) if before is None else spark.conf.set(_STORE, before)
 
 
+@contextmanager
+def _adaptive(spark: SparkSession) -> Iterator[None]:
+    """Adaptive plans for the tables of a micro-batch; a stream's session has them switched off."""
+    before = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "true")
+    try:
+        yield
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", before)
+
+
 def write_batch(df: DataFrame, out: str, batch_id: int, *by: str) -> None:
     """The rows of a micro-batch in its own folder, in place of what an earlier try left there."""
     by = (*by, *(["client_id"] if "client_id" in df.columns else []))
@@ -63,7 +74,7 @@ def read_batches(spark: SparkSession, out: str, schema=None) -> DataFrame:
     """All batches written to ``out``; with ``schema`` an output without any is an empty table."""
     if schema is not None and not any(n.startswith("batch=") and file_names(spark, f"{out}/{n}") - {"_SUCCESS"} for n in file_names(spark, out)):
         return spark.createDataFrame([], schema)
-    return read_clients(spark, out)
+    return read_clients(spark, out, schema)
 
 
 def run_batches(stream: DataFrame, out: str, f: Callable[[DataFrame], DataFrame] = lambda df: df) -> DataFrame:
@@ -182,28 +193,35 @@ def add_two_hop_batch(payments: DataFrame, batch_id: int, folder: str) -> None:
     """
     spark = payments.sparkSession
 
+    def read(side: str) -> DataFrame:
+        return read_batches(spark, f"{folder}/by_{side}", f"{_EDGE}, batch int, bucket int")
+
     def earlier(side: str, touched: list[int]) -> DataFrame:
-        df = read_batches(spark, f"{folder}/by_{side}", f"{_EDGE}, batch int, bucket int")
-        return df.where((F.col("batch") < batch_id) & F.col("bucket").isin(touched)).select("client_id", "src", "dst")
+        return read(side).where((F.col("batch") < batch_id) & F.col("bucket").isin(touched)).select("client_id", "src", "dst")
 
-    came = distinct_edges(edges(payments)).persist()
-    try:
-        buckets = {side: [r[0] for r in came.select(_bucket(side)).distinct().collect()] for side in ("src", "dst")}  # at most BUCKETS
-        new = came.join(earlier("src", buckets["src"]), ["client_id", "src", "dst"], "left_anti")
-        for side in ("src", "dst"):
-            write_batch(new.withColumn("bucket", _bucket(side)), f"{folder}/by_{side}", batch_id, "bucket")
-        new = read_batches(spark, f"{folder}/by_src", f"{_EDGE}, batch int, bucket int").where(F.col("batch") == batch_id).select("client_id", "src", "dst")
-        before, after = earlier("dst", buckets["src"]), earlier("src", buckets["dst"])
-        paths = two_hop(new, after).unionByName(two_hop(before, new)).unionByName(two_hop(new, new))
-        counts = paths.groupBy("client_id", "start", "final").agg(F.count("*").alias("n_paths"))
-        write_batch(counts, f"{folder}/pairs", batch_id)
-    finally:
-        came.unpersist()
+    def buckets(df: DataFrame, side: str) -> list[int]:
+        return [r[0] for r in df.select(_bucket(side)).distinct().collect()]  # at most BUCKETS
+
+    with _adaptive(spark):
+        came = distinct_edges(edges(payments)).persist()
+        try:
+            new = came.join(earlier("src", buckets(came, "src")), ["client_id", "src", "dst"], "left_anti")
+            for side in ("src", "dst"):
+                # Dealt out by bucket, so that a bucket gets one file a client and not one from each task.
+                write_batch(new.withColumn("bucket", _bucket(side)).repartition(BUCKETS, "bucket"), f"{folder}/by_{side}", batch_id, "bucket")
+                new = read("src").where(F.col("batch") == batch_id).select("client_id", "src", "dst")
+            before, after = earlier("dst", buckets(new, "src")), earlier("src", buckets(new, "dst"))
+            # Stored edges that no new one continues would only be numbered in vain.
+            before = before.join(new.select("client_id", F.col("src").alias("dst")).distinct(), ["client_id", "dst"], "left_semi").select("client_id", "src", "dst")
+            after = after.join(new.select("client_id", F.col("dst").alias("src")).distinct(), ["client_id", "src"], "left_semi").select("client_id", "src", "dst")
+            write_batch(hop_counts([(new, after), (before, new), (new, new)]), f"{folder}/pairs", batch_id)
+        finally:
+            came.unpersist()
 
 
 def two_hop_pairs(spark: SparkSession, folder: str, k: int) -> DataFrame:
     """Pairs of ends with more than ``k`` two-hop paths, from the counts that the batches added."""
-    added = read_batches(spark, f"{folder}/pairs", _PAIR)
+    added = read_batches(spark, f"{folder}/pairs", f"{_PAIR}, batch int")
     return added.groupBy("client_id", "start", "final").agg(F.sum("n_paths").alias("n_paths")).where(F.col("n_paths") > k)
 
 
