@@ -14,7 +14,7 @@ from txnflow.plans import payments
 from txnflow.plans.fixtures import TXN_CTES, derived
 from txnflow.schema import BASE_PERIOD, BASELINE_COEF, PROBE_PERIOD, TXN_COLUMNS, TXN_HEADERS
 from txnflow.sources import files, readers, sinks, tables
-from txnflow.sources.scratch import scratch_dir
+from txnflow.sources.scratch import scratch_dir, stored
 from txnflow.streaming import streams
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -200,16 +200,22 @@ def _edges(t: DataFrame) -> DataFrame:
     return graph.distinct_edges(graph.edges(predicates.where_op(payments.usd(t), "ts", "in", BASE_PERIOD)))
 
 
+def _pruned(t: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges by degree of their start and of their end, from payments that are read once."""
+    e = stored(_edges(t), "edges")
+    return graph.with_degree(e, "src", 5, unique=True), graph.with_degree(e, "dst", 5, unique=True)
+
+
 def _flat(e: DataFrame, **names: str) -> DataFrame:
     return e.select("client_id", *(F.col(f"{c}.{f}").alias(f"{p}{f[0]}") for c, p in names.items() for f in ("bank", "account")), *(c for c in e.columns if c in ("n", "n_paths", "side")))
 
 
-query("two_hop_paths", f"{TWO_HOP} select client_id, fb, fa, mb, ma, tb, ta from hop")(lambda t: _flat(graph.two_hop(graph.with_degree(_edges(t), "src", 5), graph.with_degree(_edges(t), "dst", 5)), start="f", mid="m", final="t"))
+query("two_hop_paths", f"{TWO_HOP} select client_id, fb, fa, mb, ma, tb, ta from hop")(lambda t: _flat(graph.two_hop(*_pruned(t)), start="f", mid="m", final="t"))
 query("fan_out_edges", f"{TWO_HOP} select client_id, fb, fa, tb, ta from oe")(lambda t: _flat(graph.with_degree(_edges(t), "src", 5), src="f", dst="t"))
 query("fan_in_edges", f"{TWO_HOP} select client_id, fb, fa, tb, ta from ie")(lambda t: _flat(graph.with_degree(_edges(t), "dst", 5), src="f", dst="t"))
 query("distinct_edges", f"{TWO_HOP} select client_id, fb, fa, tb, ta from e")(lambda t: _flat(_edges(t), src="f", dst="t"))
 query("node_degrees", f"{TWO_HOP} select client_id, fb, fa, n from od")(lambda t: _flat(graph.node_degrees(_edges(t), "src", 5), src="f"))
-query("path_counts", f"{TWO_HOP} select client_id, fb, fa, tb, ta, count(*) n_paths from hop group by all having n_paths > 5")(lambda t: _flat(graph.path_counts(graph.two_hop(graph.with_degree(_edges(t), "src", 5), graph.with_degree(_edges(t), "dst", 5)), 5), start="f", final="t"))
+query("path_counts", f"{TWO_HOP} select client_id, fb, fa, tb, ta, count(*) n_paths from hop group by all having n_paths > 5")(lambda t: _flat(graph.path_counts(graph.two_hop(*_pruned(t)), 5), start="f", final="t"))
 query("tagged_edges", f"{TWO_HOP} select client_id, fb, fa, tb, ta, 'i' side from ie union all select client_id, fb, fa, tb, ta, 'o' from oe")(lambda t: _flat(graph.tagged_edges(graph.with_degree(_edges(t), "dst", 5), graph.with_degree(_edges(t), "src", 5)), src="f", dst="t"))
 
 # --- aggregates --------------------------------------------------------------------------------------------------
