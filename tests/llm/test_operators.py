@@ -11,6 +11,7 @@ import re
 import struct
 import time
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pandas as pd
@@ -350,6 +351,35 @@ def test_line_dedup_by_brute_force(docs, rows):
     assert sum(expected[r.doc_id] != (r.text or "") for r in rows) > 50
 
 
+def test_line_dedup_of_odd_texts_by_brute_force(spark):
+    """Passages among characters of several bytes, blanks in a row, stops without blanks and line breaks, as rebuilt by loops."""
+    rng = random.Random(5)
+    ends = [" "] * 12 + [". ", ", ", "; ", "  ", " \n", "\n", "。", "é ", " ！", "。 ", ".\n"]
+    say = lambda n, pool: "".join(f"{pool}{rng.randrange(400)}" + rng.choice(ends) for _ in range(n))
+    passages = [say(rng.randrange(60, 140), pool) for pool in ("w", "wörter", "词语", "x", "né", "k") for _ in range(2)]
+    texts = []
+    for d in range(60):
+        near = [say(rng.randrange(1, 20), rng.choice(("w", "own", "词"))) for _ in range(4)]
+        parts = [p if rng.random() < 0.8 else p[rng.randrange(40) : len(p) - rng.randrange(40)] for p in rng.sample(passages, 3)]
+        texts.append("".join(x for pair in zip(near, [*parts, ""]) for x in pair))
+    d = frame(spark, *texts)
+    expected = rebuilt_without_repeats(d.collect())
+    assert {r.doc_id: r.text for r in line_dedup.line_dedup_report(d).collect()} == expected
+    assert sum(expected[i] != t for i, t in enumerate(texts, 1)) > 30
+
+
+def test_line_dedup_cuts_texts_once_and_drops_its_tables(spark, monkeypatch):
+    """Candidates are taken from the texts by the bytes of their chunks; of the tables written on the way two stay."""
+    cut, calls = line_dedup._chunked, []
+    monkeypatch.setattr(line_dedup, "_chunked", lambda *a: calls.append(a) or cut(*a))
+    base = Path(spark.conf.get("spark.checkpoint.dir"))
+    before = set(base.iterdir())
+    passage = "\n".join(f"shared sentence {i}, which stands in two documents." for i in range(30))
+    out = line_dedup.line_dedup_report(frame(spark, f"own\n{passage}", f"other\n{passage}"))
+    assert len(calls) == 1 and len(set(base.iterdir()) - before) <= 2
+    assert sum(len(r.text) for r in out.collect()) < 1.5 * len(passage)
+
+
 def test_line_dedup_of_passages_with_any_marks_or_none(spark):
     """Shared passages of 50 words and more go from the second document, whatever ends their sentences."""
     say = lambda i: f"w{i * 7919 % 997} v{i * 104729 % 991}"

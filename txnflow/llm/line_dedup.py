@@ -32,18 +32,21 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from txnflow.llm.shared import packed, unpacked, written
+from txnflow.llm.shared import packed, removed, shared_dir, unpacked, written
 
 #: Pieces the rolling hash looks at, its divisor where a chunk goes on, and the bit by which it goes on behind a short piece.
 WINDOW, JOINED, JOINED_SHORT = 2, 8, 8
 SHORT_PIECE = 28
+# Values of the rolling hash's lowest bits, and numbers with a bit set for each with which a chunk goes on.
+_VALUES = 2 * max(JOINED, JOINED_SHORT)
+_ON = sum(1 << v for v in range(_VALUES) if v % JOINED == 0)
+_ON_SHORT = sum(1 << v for v in range(_VALUES) if v % JOINED == 0 or not v & JOINED_SHORT)
 #: Characters above which a piece is cut after words, and mean words between those cuts (a power of two).
 LONG_PIECE, WORDS = 80, 8
 #: Least characters of a chunk that is compared.
 MIN_CHARS = 40
-#: Chunks on each side of a repeated one that are compared word by word: up to the third of ``MIN_CHARS``, which is looked for
-#: in so many chunks first.
-REACH, LOOK = 3, (16, 256)
+#: Chunks on each side of a repeated one that are compared word by word: up to the third of ``MIN_CHARS``.
+REACH = 3
 #: Least number of words of a part of a piece that join a chunk; the next sentence often begins with an equal word or two, so
 #: fewer join only where the passage is long enough through them.
 MIN_SHARED = 4
@@ -62,6 +65,10 @@ _CUT = "\0"
 _ESCAPES = (("\1", "\1b"), ("\0", "\1a"))
 #: Chunks whose lengths are added up at once, for the place of a chunk in its text.
 _BLOCK = 16
+# More bytes than a text has.
+_ALL = 2**31 - 1
+#: Bytes of a passage that are counted first, as they mostly hold ``MIN_WORDS`` words.
+_HEAD = 512
 
 
 def _escaped(text: str) -> Column:
@@ -77,89 +84,135 @@ def _unescaped(text: Column) -> Column:
     return text
 
 
-def _pieces(text: Column, within_lines: bool) -> Column:
-    """The pieces of an escaped text. Plain replacements and a split at one character are far cheaper than a pattern."""
-    ended = lambda text, ends: functools.reduce(lambda t, end: F.replace(t, F.lit(end), F.lit(end + _CUT)), ends, text)
-    if not within_lines:
-        return F.split(ended(text, _LINE_ENDS), _CUT, -1)
-    # Most texts have no character of more than one byte, and none of the stops then.
-    return F.split(ended(F.when(F.octet_length(text) > F.length(text), ended(text, _STOPS)).otherwise(text), _MARK_ENDS), _CUT, -1)
+def _wide(text: str) -> Column:
+    """Whether a text has characters of more than one byte, which most have not; none of ``_STOPS`` then, and bytes are characters."""
+    return F.octet_length(text) > F.length(text)
+
+
+def _with_cuts(df: DataFrame, text: str, wide: Column, within_lines: bool) -> DataFrame:
+    """``df`` with a cut behind each piece of an escaped text. Plain replacements are far cheaper than a pattern.
+
+    Looking for a mark is much cheaper again than replacing it, and few texts have all of them. Each step is used twice by the
+    next, so that Spark keeps it apart.
+    """
+    for end in (*_STOPS, *_MARK_ENDS) if within_lines else _LINE_ENDS:
+        held = F.contains(F.col(text), F.lit(end))
+        marked = F.replace(F.col(text), F.lit(end), F.lit(end + _CUT))
+        df = df.withColumn(text, F.when(wide & held if end in _STOPS else held, marked).otherwise(F.col(text)))
+    return df
+
+
+def _size(part: Column) -> Column:
+    """The characters of a part of a text. Bytes are at hand, characters are counted one by one."""
+    return F.when(F.col("__wide"), F.length(part)).otherwise(F.octet_length(part))
 
 
 def _fine_pieces(pieces: Column) -> Column:
     """The pieces, long ones cut after words whose hash is a multiple of ``WORDS``."""
     ended = lambda w: F.when(F.xxhash64(w).bitwiseAND(WORDS - 1) == 0, F.concat(w, F.lit(_CUT))).otherwise(w)
     words = lambda p: F.split(F.replace(p, F.lit(" "), F.lit(" " + _CUT)), _CUT, -1)
-    cut = lambda p: F.split(F.array_join(F.transform(words(p), ended), ""), _CUT, -1)
-    long = lambda p: F.length(p) > LONG_PIECE
+    cut = lambda p: F.split(F.concat_ws("", F.transform(words(p), ended)), _CUT, -1)
+    long = lambda p: _size(p) > LONG_PIECE
     return F.when(F.exists(pieces, long), F.flatten(F.transform(pieces, lambda p: F.when(long(p), cut(p)).otherwise(F.array(p))))).otherwise(pieces)
 
 
 def _chunked(df: DataFrame, within_lines: bool) -> DataFrame:
-    """``df`` with its chunks ``__c`` for ``__text``. Each step is used twice by the next, so that Spark keeps it apart."""
-    pieces = df.withColumn("__text", _escaped("__text"))
-    # As in ``_pieces``. Looking for a mark is much cheaper than replacing it, and few texts have all of them.
-    for end in (*_STOPS, *_MARK_ENDS) if within_lines else _LINE_ENDS:
-        text, marked = F.col("__text"), F.replace(F.col("__text"), F.lit(end), F.lit(end + _CUT))
-        pieces = pieces.withColumn("__text", F.when(F.contains(text, F.lit(end)), marked).otherwise(text))
+    """``df`` with its chunks ``__c`` for ``__text``. Steps are columns of their own where the next uses them twice."""
+    pieces = df.withColumns({"__text": _escaped("__text"), "__wide": _wide("__text")})
+    pieces = _with_cuts(pieces, "__text", F.col("__wide"), within_lines)
     pieces = pieces.withColumn("__p", F.split("__text", _CUT, -1)).drop("__text")
     pieces = pieces.withColumn("__p", _fine_pieces(F.col("__p"))) if within_lines else pieces
     hashed = pieces.withColumn("__h", F.transform("__p", lambda p: F.xxhash64(p)))
 
     def ended(p: Column, i: Column) -> Column:
+        # One look at the lowest bits of the rolling hash, which is the costly part; a bit is set for each value with which the chunk goes on.
         rolling = F.xxhash64(*(F.get("__h", i - k) for k in range(WINDOW)))
-        goes_on = (rolling.bitwiseAND(JOINED - 1) == 0) | ((F.length(p) < SHORT_PIECE) & (rolling.bitwiseAND(JOINED_SHORT) == 0))
-        return F.when(~goes_on, F.concat(p, F.lit(_CUT))).otherwise(p)
+        goes_on = F.getbit(F.when(_size(p) < SHORT_PIECE, F.lit(_ON_SHORT)).otherwise(F.lit(_ON)), rolling.bitwiseAND(_VALUES - 1).cast("int"))
+        return F.when(goes_on == 0, F.concat(p, F.lit(_CUT))).otherwise(p)
+
+    return hashed.withColumn("__c", F.split(F.concat_ws("", F.transform("__p", ended)), _CUT, -1)).drop("__p", "__h")
 
-    return hashed.withColumn("__c", F.split(F.array_join(F.transform("__p", ended), ""), _CUT, -1)).drop("__p", "__h")
 
+def _total(a: Column, first: Column, last: Column) -> Column:
+    """The sum of some elements. A slice would copy the whole array each time."""
+    return F.aggregate(F.sequence(first, last), F.lit(0), lambda s, i: s + F.get(a, i))
 
-def _repeated(rows: DataFrame, within_lines: bool) -> DataFrame:
-    """``__hash, __at``: the numbers of the chunks of each document whose key occurs again anywhere.
 
-    A document is known by 64 bits of its identity here. Where two share them, chunks of the one are candidates of the other too, which
-    the comparison of bytes sorts out.
+def _chunk_table(rows: DataFrame, path: str, within_lines: bool) -> DataFrame:
+    """A written row a text: ``__n``, the bytes of its chunks, ``__l``, the numbers of those that are compared, and ``__k``, their keys.
+
+    Texts are cut once; where a chunk is wanted later, it is taken by its bytes.
     """
-    # The outer form keeps Spark from filtering on the size of the chunks, for which it would make them twice.
-    chunks = _chunked(rows.select("__rid", "__text"), within_lines).select(F.xxhash64("__rid").alias("__hash"), F.posexplode_outer("__c").alias("seq", "c"))
-    keys = written(chunks.where(F.length("c") >= MIN_CHARS).select("__hash", "seq", F.xxhash64("c").alias("key")))
-    # A table of its own, here and below, so that the join can be split where a key is hot.
-    again = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
-    return keys.join(again, "key").groupBy("__hash").agg(F.sort_array(F.collect_set("seq")).alias("__at"))
+    chunked = _chunked(rows.select("__rid", "__text"), within_lines)
+    large = F.filter(F.transform("__c", lambda c, i: F.when(_size(c) >= MIN_CHARS, i)), lambda i: i.isNotNull())
+    chunked = chunked.withColumn("__l", large)
+    return written(chunked.select(
+        "__rid", F.xxhash64("__rid").alias("__hash"), F.transform("__c", lambda c: F.octet_length(c)).alias("__n"), "__l",
+        F.transform("__l", lambda i: F.xxhash64(F.get("__c", i))).alias("__k"),
+    ), path)
+
 
+def _repeated(chunks: DataFrame, path: str) -> DataFrame:
+    """``__rid, __n, __l, __at``, the last being the places in ``__l`` of the chunks whose key occurs again anywhere.
 
-def _candidates(rows: DataFrame, within_lines: bool) -> DataFrame:
-    """``__id, __rid, text, start, left, right`` of every chunk whose key is repeated, the last two where they end a row of such chunks."""
+    Places go by 64 bits of a document's identity here. Where two documents share them, places of the one are candidates in the other
+    too, which the comparison of bytes sorts out.
+    """
+    keys = chunks.select("__hash", F.posexplode("__k").alias("seq", "key"))
+    # A table of its own, here and below, so that the join can be split where a key is hot.
+    again = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), path)
+    places = keys.join(again.hint("shuffle_hash"), "key").groupBy("__hash").agg(F.sort_array(F.collect_set("seq")).alias("__at"))
+    found = chunks.select("__rid", "__hash", "__n", "__l").join(places, "__hash").drop("__hash")
+    # Here and not beside the join with the texts, where Spark would add up all blocks anew for each chunk.
+    ends = lambda b: F.least(b * _BLOCK + _BLOCK, F.size("__n")) - 1
+    starts = F.aggregate(
+        F.sequence(F.lit(0), F.floor((F.size("__n") - 1) / _BLOCK).cast("int")), F.array(F.lit(0)),
+        lambda s, b: F.array_append(s, F.element_at(s, -1) + _total(F.col("__n"), b * _BLOCK, ends(b))),
+    )
+    # Rows that repeat are one document, whose chunks are wanted once.
+    return found.withColumn("__b", starts).dropDuplicates(["__rid"])
+
+
+def _candidates(rows: DataFrame, to: str, within_lines: bool) -> DataFrame:
+    """``__id, __rid, text, start, left, right`` of every chunk whose key is repeated, the last two where they end a row of such chunks; written to ``to``.
+
+    ``start`` and all places and lengths after it count bytes.
+    """
     # Hashing the small side, one row a document, spares sorting the texts.
-    known = rows.select("__rid", F.xxhash64("__rid").alias("__hash"), F.col("__row.doc_id").alias("__id"), "__text")
-    known = known.join(_repeated(rows, within_lines).hint("shuffle_hash"), "__hash").drop("__hash")
-    parts = _chunked(known, within_lines).withColumn("__n", F.transform("__c", F.length))
-    total = lambda a: F.aggregate(a, F.lit(0), lambda s, n: s + n)
-    blocks = F.sequence(F.lit(0), F.floor(F.size("__n") / _BLOCK).cast("int"))
-    parts = parts.withColumn("__b", F.transform(blocks, lambda b: total(F.slice("__n", b * _BLOCK + 1, _BLOCK))))
-
-    def found(i: Column, k: Column) -> Column:
+    path = shared_dir(rows.sparkSession)
+    repeated = _repeated(_chunk_table(rows, f"{path}/chunks", within_lines), f"{path}/again")
+    known = rows.select("__rid", F.col("__row.doc_id").alias("__id"), "__text").join(repeated.hint("shuffle_hash"), "__rid")
+    n = F.col("__n")
+
+    def placed(j: Column, k: Column) -> Column:
+        i = F.get("__l", j)
         b = F.floor(i / _BLOCK).cast("int")
-        start = total(F.slice("__b", 1, b)) + total(F.slice("__n", b * _BLOCK + 1, i % _BLOCK))
-        beside = lambda k, i: F.coalesce(F.get("__at", k), F.lit(-1)) == i
-        before = lambda c, n: F.slice(c, F.greatest(i - n, F.lit(0)) + 1, F.least(F.lit(n), i))
-        after = lambda c, n: F.slice(c, i + 2, n)
-
-        def reached(side, order) -> Column:
-            out = side("__c", 2**30)
-            for n in reversed(LOOK):
-                large = F.filter(F.transform(order(side("__n", n)), lambda x, at: F.when(x >= MIN_CHARS, at + 1)), lambda x: x.isNotNull())
-                near = F.get(large, F.lit(REACH - 1))
-                out = F.when(near.isNotNull(), order(F.slice(order(side("__c", n)), 1, near))).otherwise(out)
-            return F.array_join(out, "")
-
-        left, right = reached(before, F.reverse), reached(after, lambda x: x)
+        start = F.get("__b", b) + _total(n, b * _BLOCK, i) - F.get(n, i)
+        beside = lambda d: F.coalesce((F.get("__at", k + d) == j + d) & (F.get("__l", j + d) == i + d), F.lit(False))
+        first, last = F.get("__l", j - REACH), F.get("__l", j + REACH)
+        # All that is before or after where there is no such chunk.
+        left = F.when(first.isNotNull(), _total(n, first, i - 1)).otherwise(_ALL)
+        right = F.when(last.isNotNull(), _total(n, i + 1, last)).otherwise(_ALL)
+        return F.struct(
+            start.alias("start"), F.get(n, i).alias("n"), F.when((i > 0) & ~beside(-1), left).alias("left"), F.when(~beside(1), right).alias("right"),
+        )
+
+    parts = known.withColumn("__at", F.transform(F.filter("__at", lambda j: j < F.size("__l")), placed))
+
+    def found(text: Column, c: Column) -> Column:
+        part = lambda start, n: F.substring(text, start + 1, n).cast("string")
+        left = F.least(c["left"], c["start"])
         return F.struct(
-            F.get("__c", i).alias("text"), start.alias("start"),
-            F.when((i > 0) & ~beside(k - 1, i - 1), left).alias("left"), F.when(~beside(k + 1, i + 1), right).alias("right"),
+            part(c["start"], c["n"]).alias("text"), c["start"].alias("start"),
+            F.when(c["left"].isNotNull(), part(c["start"] - left, left)).alias("left"),
+            F.when(c["right"].isNotNull(), part(c["start"] + c["n"], c["right"])).alias("right"),
         )
 
-    return written(parts.select("__id", "__rid", F.inline_outer(F.transform("__at", found))))
+    # The bytes of a text as the one element of an array: a column of bytes would be copied for each chunk.
+    all_found = F.transform(F.array(_escaped("__text").cast("binary")), lambda text: F.transform("__at", lambda c: found(text, c)))
+    out = written(parts.select("__id", "__rid", F.inline_outer(F.get(all_found, F.lit(0)))), to)
+    removed(rows.sparkSession, path)
+    return out
 
 
 def _same(a: Column, b: Column) -> Column:
@@ -168,24 +221,38 @@ def _same(a: Column, b: Column) -> Column:
     return F.when(differs == 0, F.size(a)).otherwise(differs - 1).cast("int")
 
 
+def _apart(a: Column, b: Column, before: bool) -> Column:
+    """Whether the last (or first) words alone tell that nothing is shared there, which spares cutting the texts.
+
+    Both must be plain words between blanks: a line break or a mark of more than one byte could end a piece inside.
+    """
+    last, first = (lambda t: F.substring_index(t, " ", -2)), (lambda t: F.substring_index(t, " ", 1))
+    word = last if before else first
+    plain = lambda t: ~F.contains(word(t), F.lit("\n")) & (F.octet_length(word(t)) == F.length(word(t)))
+    whole = (lambda t: F.endswith(t, F.lit(" "))) if before else (lambda t: word(t) != "")
+    return (word(a) != word(b)) & whole(a) & whole(b) & plain(a) & plain(b)
+
+
 def _reached(df: DataFrame, own: str, first: str, before: bool, within_lines: bool) -> DataFrame:
-    """``df`` with the characters (column ``own``) that two texts share at their start, or before a chunk at their end.
+    """``df`` with the bytes (column ``own``) that two texts share at their start, or before a chunk at their end.
 
     Whole pieces count, and of the next piece the equal words; where these are so few that they may be chance, their
-    characters stand in a column of their own (``own`` + ``_few``). Each step is a column that the next uses twice, so that
+    bytes stand in a column of their own (``own`` + ``_few``). Each step is a column that the next uses twice, so that
     Spark keeps them apart. Where a text is null nothing is shared.
     """
     order = F.reverse if before else (lambda x: x)
-    both = F.col(own).isNotNull() & F.col(first).isNotNull()
+    both = F.col(own).isNotNull() & F.col(first).isNotNull() & ~_apart(F.col(own), F.col(first), before)
     a, b, x, y, n = (F.col(f"__{c}") for c in "abxyn")
-    df = df.withColumns({"__a": F.when(both, order(_pieces(F.col(own), within_lines))), "__b": F.when(both, order(_pieces(F.col(first), within_lines)))})
-    df = df.withColumn("__n", _same(a, b))
+    df = df.withColumn("__both", both).withColumns({"__a": F.when(F.col("__both"), F.col(own)), "__b": F.when(F.col("__both"), F.col(first))}).drop("__both")
+    df = df.withColumns({"__x": _wide("__a"), "__y": _wide("__b")})
+    df = _with_cuts(_with_cuts(df, "__a", x, within_lines), "__b", y, within_lines)
+    df = df.withColumns({c: order(F.split(c, _CUT, -1)) for c in ("__a", "__b")}).withColumn("__n", _same(a, b))
     ends = _TOKEN_END if before else _TOKEN_ENDS
     df = df.withColumns({"__x": order(F.split(F.get(a, n), ends, -1)), "__y": order(F.split(F.get(b, n), ends, -1)), "__a": F.slice(a, 1, n)})
     df = df.withColumn("__x", F.array_join(F.slice(x, 1, _same(x, y)), ""))
     enough = F.regexp_count(x, F.lit(_WORD)) >= MIN_SHARED
-    more = lambda c: F.when(c, F.length(x)).otherwise(0)
-    sizes = {own: F.coalesce(F.length(F.array_join(a, "")) + more(enough), F.lit(0)), f"{own}_few": F.coalesce(more(~enough), F.lit(0))}
+    more = lambda c: F.when(c, F.octet_length(x)).otherwise(0)
+    sizes = {own: F.coalesce(F.octet_length(F.array_join(a, "")) + more(enough), F.lit(0)), f"{own}_few": F.coalesce(more(~enough), F.lit(0))}
     return df.withColumns(sizes).drop("__a", "__b", "__n", "__x", "__y")
 
 
@@ -198,11 +265,13 @@ def _spans(found: DataFrame, within_lines: bool) -> DataFrame:
     """The repeats with ``from`` and ``to``, their ends with the few words beside them that may be equal by chance."""
     place = F.struct("__id", "__rid", "start")
     first = found.groupBy("text").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__rid", "start", "left", "right")).alias("f")).where("n > 1").drop("n")
-    later = found.join(written(first), "text").where(~place.eqNullSafe(F.struct("f.__id", "f.__rid", "f.start")))
-    later = later.select("__rid", "start", F.length("text").alias("n"), "left", "right", F.col("f.left").alias("first_left"), F.col("f.right").alias("first_right"))
+    later = found.join(written(first).hint("shuffle_hash"), "text").where(~place.eqNullSafe(F.struct("f.__id", "f.__rid", "f.start")))
+    later = later.select("__rid", "start", F.octet_length("text").alias("n"), "left", "right", F.col("f.left").alias("first_left"), F.col("f.right").alias("first_right"))
     later = _reached(_reached(later, "left", "first_left", True, within_lines), "right", "first_right", False, within_lines)
     start, end = F.col("start") - F.col("left"), F.col("start") + F.col("n") + F.col("right")
-    return later.select("__rid", start.alias("start"), end.alias("end"), (start - F.col("left_few")).alias("from"), (end + F.col("right_few")).alias("to")).distinct()
+    spans = later.select("__rid", start.alias("start"), end.alias("end"), (start - F.col("left_few")).alias("from"), (end + F.col("right_few")).alias("to"))
+    # By document at once, as the runs want them, not first by all columns.
+    return spans.repartition("__rid").distinct()
 
 
 def _runs(spans: DataFrame) -> DataFrame:
@@ -217,28 +286,34 @@ def _runs(spans: DataFrame) -> DataFrame:
 
 def _cut(rows: DataFrame, within_lines: bool) -> DataFrame:
     """Packed rows with ``__cut`` (the number of removed chunks, or null) and ``__left`` (the text left)."""
-    spans = written(_runs(_spans(_candidates(rows, within_lines), within_lines)))
+    path = shared_dir(rows.sparkSession)
+    spans = written(_runs(_spans(_candidates(rows, path, within_lines), within_lines)))
+    removed(rows.sparkSession, path)
     joined = rows.drop("__text").join(spans.hint("shuffle_hash"), "__rid", "left")
-    joined = joined.withColumn("__e", F.when(F.col("__runs").isNotNull(), _escaped("__row.text")))
-    between = lambda a, b: F.substring(F.col("__e"), a + 1, b - a)
+    joined = joined.withColumn("__e", F.when(F.col("__runs").isNotNull(), _escaped("__row.text").cast("binary")))
+    between = lambda a, b: F.substring(F.col("__e"), a + 1, b - a).cast("string")
     part = lambda r: between(r["start"], r["end"])
-    breaks = lambda text: F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
-    words = lambda text: 2 * F.regexp_count(text, F.lit(_WORD)) + F.regexp_count(text, F.lit(_IDEOGRAPH)) >= 2 * MIN_WORDS
+    breaks = lambda text: F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    count = lambda text: 2 * F.regexp_count(text, F.lit(_WORD))
+    ideographs = lambda text: F.regexp_count(text, F.lit(_IDEOGRAPH))
+    many = lambda text: (count(text) >= 2 * MIN_WORDS) | ((F.octet_length(text) > F.length(text)) & (count(text) + ideographs(text) >= 2 * MIN_WORDS))
+    # Where the first bytes hold words enough the others needn't be counted.
+    words = lambda a, b: ((b - a > _HEAD) & many(between(a, a + _HEAD))) | many(between(a, b))
 
     def passage(r: Column) -> Column:
         """The run if it is a passage, with the few words beside it if only they make it one; else null."""
-        inside = (r["start"] > 0) & (F.substring(F.col("__e"), r["start"], F.lit(1)) != "\n")
+        inside = (r["start"] > 0) & (between(r["start"] - 1, r["start"]) != "\n")
         wide = F.struct(r["from"].alias("start"), r["to"].alias("end"), r["n"].alias("n"))
         own = F.struct(r["start"].alias("start"), r["end"].alias("end"), r["n"].alias("n"))
-        return F.when(words(part(r)) | (breaks(part(r)) - inside.cast("int") >= MIN_LINES), own).when(words(between(r["from"], r["to"])), wide)
+        return F.when(words(r["start"], r["end"]) | (breaks(part(r)) - inside.cast("int") >= MIN_LINES), own).when(words(r["from"], r["to"]), wide)
 
     sized = joined.withColumn("__runs", F.array_compact(F.transform("__runs", passage)))
 
     def kept(r: Column, k: Column) -> Column:
         since = F.when(k > 0, F.get("__runs", k - 1)["end"]).otherwise(0)
-        return F.concat(F.substring(F.col("__e"), since + 1, r["start"] - since), F.lit(_CUT), F.when(F.contains(part(r), F.lit("\n")), "\n").otherwise(""))
+        return F.concat(between(since, r["start"]), F.lit(_CUT), F.when(F.contains(part(r), F.lit("\n")), "\n").otherwise(""))
 
-    tail = F.substring(F.col("__e"), F.element_at("__runs", -1)["end"] + 1, F.length("__e"))
+    tail = between(F.element_at("__runs", -1)["end"], F.length("__e"))
     text = F.concat(F.array_join(F.transform("__runs", kept), ""), tail)
     # A passage from the start of a line takes its line break along; one from inside a line leaves a break if it held one,
     # and one at the end of the text takes the break before it.
@@ -253,7 +328,7 @@ def _cut(rows: DataFrame, within_lines: bool) -> DataFrame:
 
 def line_dedup_report(docs: DataFrame, within_lines: bool = True) -> DataFrame:
     """Per document the text that is left, the number of repeated chunks removed and of the line breaks that went."""
-    breaks = lambda text: F.length(text) - F.length(F.replace(text, F.lit("\n"), F.lit("")))
+    breaks = lambda text: F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     return _cut(packed(docs), within_lines).select(
         F.col("__row.doc_id").alias("doc_id"),
         F.col("__left").alias("text"),

@@ -35,15 +35,21 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{base}/txnflow-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame) -> DataFrame:
+def _folder(spark: SparkSession, path: str) -> tuple:
+    """A folder and its file system, in the JVM."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return folder, folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+
+
+def written(df: DataFrame, path: str | None = None) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and read again whatever executor is lost.
 
     The shuffle files behind it are of no use then; Spark is asked to remove them when the write ends. The table goes
-    when the driver ends.
+    when the driver ends, or with ``removed`` where ``path``, a new path from ``shared_dir``, was given.
     """
-    spark, path = df.sparkSession, shared_dir(df.sparkSession)
-    folder = spark._jvm.org.apache.hadoop.fs.Path(path)
-    folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).deleteOnExit(folder)
+    spark, path = df.sparkSession, path or shared_dir(df.sparkSession)
+    folder, system = _folder(spark, path)
+    system.deleteOnExit(folder)
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
@@ -53,6 +59,12 @@ def written(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def removed(spark: SparkSession, path: str) -> None:
+    """Take a written table away, once what was made from it is written too: nothing reads it again, also where executors are lost."""
+    folder, system = _folder(spark, path)
+    system.delete(folder, True)
+
+
 def row_id(doc_id: str = "doc_id", text: str = "text") -> Column:
     """Identity of a document row, 128 bits of hashes. Rows that repeat both id and text are one document."""
     words = (F.lpad(F.hex(F.xxhash64(F.lit(n), F.col(doc_id), F.col(text).isNull(), F.col(text))), 16, "0") for n in range(2))
