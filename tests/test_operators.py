@@ -169,3 +169,11 @@ def test_files_to_results(spark, tmp_path):
     assert lines == {"q1": ["011,A,02,B,7.25"], "q2": ["11,A,First,7.25"], "q3": [], "q4": [], "q5": ["2"]}
     fiat = readers.read_fiat_rates(spark, path("fiat.csv"))
     assert [tuple(r) for r in fiat.collect()] == [(date(2022, 9, 1), "EUR", "USD", 1.0)]
+
+
+def test_dedup_ingest_deals_rows_out_before_it_compares_them(spark):
+    """Each task holds the keys of its share alone: no keys are gathered before the exchange, and tasks aren't merged behind it."""
+    rows = spark.range(5000).selectExpr("id % 50 as batch_id", "id % 3000 as row_index")
+    out = quality.dedup_ingest(rows)
+    assert out.rdd.getNumPartitions() == int(spark.conf.get("spark.sql.shuffle.partitions"))
+    assert out.count() == out.distinct().count() == rows.distinct().count()

@@ -53,8 +53,13 @@ def sample_exact(df: DataFrame, k: int, key: list[str], seed: int = 0) -> DataFr
 
 
 def dedup_ingest(df: DataFrame, batch_id: str = "batch_id", row_index: str = "row_index") -> DataFrame:
-    """One row per batch and row index, so a batch that arrives again changes nothing."""
-    return df.dropDuplicates([batch_id, row_index])
+    """One row per batch and row index, so a batch that arrives again changes nothing.
+
+    Rows are dealt out by key first, over a number of partitions that isn't reduced: few repeats meet in one task before, so a
+    table of all its keys there would take memory for nothing, as would few large tasks behind.
+    """
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.repartition(n, batch_id, row_index).dropDuplicates([batch_id, row_index])
 
 
 def repartition_by(df: DataFrame, n: int, *keys: str | Column) -> DataFrame:
