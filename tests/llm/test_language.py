@@ -102,3 +102,42 @@ def test_filter_of_many_languages():
     for i in (0, 21, 39):
         text = " ".join(vocabulary[i::40])
         assert f.predict([text])[0][0] == langs[i]
+
+
+def test_words_of_earlier_texts_are_looked_up_once(monkeypatch):
+    """Also from batch to batch; words are forgotten before they fill the memory, with the same results."""
+    f = li.Filter.of(["en", "de"], *(np.array(x) for x in zip(*[(i, g, 0.01) for i, v in enumerate((["the", "dog"], ["der", "hund"])) for _, _, gs in li.grams(v) for g in gs], strict=True)))
+    batches = [["the dog", "der hund"], ["der dog, the hund Ä", "the the the"], ["12", "hund"]]
+    want = [[f.predict([t])[0] for t in b] for b in batches]
+    looked_up, hits = [], li.Filter.hits
+    monkeypatch.setattr(li.Filter, "hits", lambda self, v: looked_up.extend(v) or hits(self, v))
+    known = li.Known()
+    assert [f.predict(b, known) for b in batches] == want and sorted(looked_up) == sorted(["the", "dog", "der", "hund", "ä"])
+    monkeypatch.setattr(li, "AT_ONCE", 5)
+    known = li.Known()
+    assert [f.predict(b, known) for b in batches] == want and known.letters <= 10
+    none = li.Known()
+    assert li.Filter([], np.zeros((64, 1), np.uint64)).predict(["a b"], none) == [("und", 0.0)] and not none.number
+
+
+def test_a_task_cuts_its_words_once(spark, monkeypatch):
+    """Words that stand in several batches give their n-grams once."""
+    batch = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 2)
+    try:
+        df = spark.createDataFrame([("en", "the dog")] * 10, "lang string, text string").coalesce(1)
+        sent = []
+        monkeypatch.setattr(type(df), "groupBy", lambda self, *c: sent.append(self) or self)
+        monkeypatch.setattr(type(df), "agg", lambda self, *c: self)
+        rows = li.gram_counts(df).collect()
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    assert sent and len(rows) == len({r.gram for r in rows}) and {r.n for r in rows} == {10}
+
+
+def test_runs_are_those_of_the_pattern():
+    every = "".join(chr(i) for i in range(0x110000) if not 0xD800 <= i < 0xE000)
+    mixed = " ".join(f"a{c}B" for c in every)
+    for text in (every, mixed, *(mixed[i : i + 5_000] for i in range(0, len(mixed), 5_000))):
+        want = "".join(c if c.isalpha() else " " for w in li._WORD.findall(text.lower()) for c in w + " ").split()
+        assert [w for run in li.runs(text) for w in run] == want

@@ -6,7 +6,8 @@ length is large enough; a share of s can hold for at most 1 / s n-grams, so the
 the corpus. All languages and levels share the slots of one filter: a slot is a row of bits, one for each language and
 level (bit-sliced), and the rows of an n-gram's slots, and-ed, tell at once where it belongs.
 
-A text's n-grams each give such a row of bits (of a distinct word of a batch once); per language and level the set bits are added up. A filter whose slots
+A text's n-grams each give such a row of bits; per language and level the set bits are added up. A word's sums are kept for the texts
+behind it, up to ``AT_ONCE`` letters of words. A filter whose slots
 are filled to a share f says yes to a strange n-gram with probability f ** HASHES; hits are corrected for that. The
 language with the most corrected hits, summed over levels, is predicted. The score says how far it stands out: its
 hits less those of the next one, over its own, between 0 and 1.
@@ -21,8 +22,9 @@ rows; other columns are ignored, whatever their names.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pandas as pd
@@ -43,23 +45,34 @@ SLOTS, HASHES = 16, 4
 AT_ONCE = 1_000_000
 
 _WORD = re.compile(r"[^\W\d_]+")
+# All but a to z as a blank: the same for ASCII texts, and several times as fast.
+_LETTERS = {i: chr(i) if chr(i).isalpha() else " " for i in range(128)}
 _PRIME, _MIX, _EDGE = 0x9E3779B97F4A7C15, np.uint64(0xD6E8FEB86659FD93), np.uint64(0x5F)
 
 
-def words(text: str) -> Counter:
-    """Lower-case runs of letters with their counts."""
-    found: Counter = Counter()
+def runs(text: str) -> Iterator[list[str]]:
+    """Lower-case runs of letters in order, up to ``AT_ONCE`` letters at once."""
     start = 0
     while start < len(text):
         end = start + AT_ONCE
         while end < len(text) and text[end].isalpha():
             end += 1
-        found.update(_WORD.findall(text[start:end].lower()))
+        part = text[start:end].lower()
+        if part.isascii():
+            yield part.translate(_LETTERS).split()
+        else:
+            found = _WORD.findall(part)
+            if not "".join(found).isalpha():  # digits of other kinds than 0 to 9 are no letters
+                found = "".join(c if c.isalpha() else " " for c in " ".join(found)).split()
+            yield found
         start = end
-    for w in [w for w in found if not w.isalpha()]:  # digits of other kinds than 0 to 9 are no letters
-        n = found.pop(w)
-        for part in "".join(c if c.isalpha() else " " for c in w).split():
-            found[part] += n
+
+
+def words(text: str) -> Counter:
+    """Lower-case runs of letters with their counts."""
+    found: Counter = Counter()
+    for run in runs(text):
+        found.update(run)
     return found
 
 
@@ -98,20 +111,27 @@ def fold(doc_id: str = "doc_id"):
 
 
 def gram_counts(train: DataFrame) -> DataFrame:
-    """``lang, size, gram, n``: the n-grams of each language. A batch counts its words first and cuts each once."""
+    """``lang, size, gram, n``: the n-grams of each language. A task counts words first, up to ``AT_ONCE`` letters of them, and cuts each once."""
     ship(train.sparkSession)
 
+    def cut(by: dict[str, Counter]) -> Iterator[pd.DataFrame]:
+        for lang, c in by.items():
+            times = np.fromiter(c.values(), np.int64, len(c))
+            for word, size, gram in grams(list(c)):
+                key, of = np.unique(gram, return_inverse=True)
+                n = np.bincount(of, times[word], len(key)).astype(np.int64)
+                yield pd.DataFrame({"lang": lang, "size": size[:1].repeat(len(key)), "gram": key.view(np.int64), "n": n})
+
     def count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        by: dict[str, Counter] = defaultdict(Counter)
         for p in batches:
-            by: dict[str, Counter] = {}
             for lang, text in zip(p.lang, p.text, strict=True):
-                by.setdefault(lang, Counter()).update(words(text))
-            for lang, c in by.items():
-                times = np.fromiter(c.values(), np.int64, len(c))
-                for word, size, gram in grams(list(c)):
-                    key, of = np.unique(gram, return_inverse=True)
-                    n = np.bincount(of, times[word], len(key)).astype(np.int64)
-                    yield pd.DataFrame({"lang": lang, "size": size[:1].repeat(len(key)), "gram": key.view(np.int64), "n": n})
+                for run in runs(text):
+                    by[lang].update(run)
+            if sum(len(w) for c in by.values() for w in c) > AT_ONCE:
+                yield from cut(by)
+                by.clear()
+        yield from cut(by)
 
     return train.select("lang", "text").mapInPandas(count, "lang string, size int, gram long, n long").groupBy("lang", "size", "gram").agg(F.sum("n").alias("n"))
 
@@ -160,26 +180,55 @@ class Filter:
         rest = np.delete(by_lang, best)
         return self.langs[best], float(1 - (rest.max() if len(rest) else 0.0) / by_lang[best])
 
-    def predict(self, texts: list[str]) -> list[tuple[str, float]]:
+    def predict(self, texts: list[str], known: Known | None = None) -> list[tuple[str, float]]:
         """Language and score of each text. Texts are taken together up to ``AT_ONCE`` letters (fewer for many languages), a longer one alone."""
+        known = Known() if known is None else known
         out: list[tuple[str, float]] = []
         start, most = 0, AT_ONCE * 64 // max(64, len(self.false))
         while start < len(texts):
-            end, size, found, number = start, 0, [], {}
+            end, size, found = start, 0, []
+            known.shorten(most)
             while end < len(texts) and (end == start or size + len(texts[end]) <= most):
                 size += len(texts[end])
                 c = words(texts[end])
-                found.append((np.fromiter((number.setdefault(w, len(number)) for w in c), np.int64, len(c)), np.fromiter(c.values(), np.int64, len(c))))
+                found.append((np.fromiter(map(known.number.__getitem__, c), np.int64, len(c)), np.fromiter(c.values(), np.int64, len(c))))
                 end += 1
             if self.langs:
-                total, hits = self.hits(list(number))
-                out += [self.decide(int(n @ total[w]), n @ hits[w]) if len(w) else (UNDETERMINED, 0.0) for w, n in found]
+                known.extend(self)
+                out += [self.decide(int(n @ known.total[w]), n @ known.hits[w]) if len(w) else (UNDETERMINED, 0.0) for w, n in found]
             else:
                 out += [(UNDETERMINED, 0.0)] * len(found)
+                known.clear()
             start = end
         return out
 
 
+class Known:
+    """The words of earlier texts with their n-grams' number and hits, so that each is looked up once."""
+
+    def __init__(self) -> None:
+        self.number: defaultdict[str, int] = defaultdict()
+        self.number.default_factory = self.number.__len__
+        self.clear()
+
+    def clear(self) -> None:
+        self.number.clear()
+        self.letters, self.total, self.hits = 0, np.zeros(0, np.int64), None
+
+    def shorten(self, most: int) -> None:
+        """Forget all words once they have more than ``most`` letters."""
+        if self.letters > most:
+            self.clear()
+
+    def extend(self, by: Filter) -> None:
+        """Look up the words that were numbered since."""
+        new = list(islice(self.number, len(self.total), None))
+        total, hits = by.hits(new)
+        self.letters += sum(map(len, new))
+        self.total = np.concatenate([self.total, total])
+        self.hits = hits if self.hits is None else np.concatenate([self.hits, hits])
+
+
 def slots(gram: np.ndarray, m: int) -> Iterator[np.ndarray]:
     """The ``HASHES`` slots of n-grams' hashes among ``m``, by double hashing."""
     a, b = gram & np.uint64(0xFFFFFFFF), (gram >> np.uint64(32)) | np.uint64(1)
@@ -214,8 +263,10 @@ def languages(docs: DataFrame) -> DataFrame:
     model = docs.sparkSession.sparkContext.broadcast(learned(docs))
 
     @F.pandas_udf("lang_pred string, score double")
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame(model.value.predict(texts.tolist()), columns=["lang_pred", "score"])
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        known = Known()
+        for texts in batches:
+            yield pd.DataFrame(model.value.predict(texts.tolist(), known), columns=["lang_pred", "score"])
 
     ship(docs.sparkSession)
     rows = docs.select("doc_id", (fold() == HELD_OUT).alias("held_out"), F.coalesce(F.col("text"), F.lit("")).alias("__text"))
