@@ -380,6 +380,24 @@ def test_line_dedup_cuts_texts_once_and_drops_its_tables(spark, monkeypatch):
     assert sum(len(r.text) for r in out.collect()) < 1.5 * len(passage)
 
 
+def test_line_dedup_chunks_at_the_limits(spark):
+    """Pieces and chunks one character below, at and above each limit, in characters of one byte and of several, and hashes of neighbours."""
+    sizes = [n + d for n in (line_dedup.SHORT_PIECE, line_dedup.MIN_CHARS, line_dedup.LONG_PIECE) for d in (-2, -1, 0, 1)]
+    texts = ["".join(f"{c * 3}{i} ".ljust(n - 2, c) + ". " for i, n in enumerate(sizes * 6)) for c in "aéж文"]
+    rows = frame(spark, *texts).selectExpr("doc_id as __rid", "text as __text")
+    for r in line_dedup._chunked(rows, True).collect():
+        chunks, prev = [""], None
+        for p in fine_pieces(texts[r["__rid"] - 1]):
+            h = xxhash.xxh64_intdigest(p.encode(), 42)
+            rolling = xxhash.xxh64_intdigest(struct.pack("<Q", h), 42)
+            rolling = rolling if prev is None else xxhash.xxh64_intdigest(struct.pack("<Q", prev), rolling)
+            chunks[-1] += p
+            prev = h
+            if rolling % 8 and (len(p) >= line_dedup.SHORT_PIECE or rolling & 8):
+                chunks.append("")
+        assert r["__c"] == chunks
+
+
 def test_line_dedup_of_passages_with_any_marks_or_none(spark):
     """Shared passages of 50 words and more go from the second document, whatever ends their sentences."""
     say = lambda i: f"w{i * 7919 % 997} v{i * 104729 % 991}"

@@ -4,7 +4,7 @@ The lines chunked here are the pieces of a text: its lines, cut again after each
 after each of ``_STOPS`` (``within_lines``; without it only whole lines are compared), since shared passages also start and
 end inside lines. A piece of over ``LONG_PIECE`` characters is cut once more after words chosen by their hash, every
 ``WORDS`` on the average, so that passages without marks have places to start and end at too. A piece keeps its blanks and
-its line break, so the pieces in order are the text, byte for byte. A rolling hash runs over the hashes of ``WINDOW`` (two)
+its line break, so the pieces in order are the text, byte for byte. A rolling hash runs over the hashes of two
 neighbouring pieces; a chunk goes on where its three lowest bits are zero, and behind a short piece (under ``SHORT_PIECE``
 characters) also where the next bit is zero. Boundaries so depend on two pieces alone and shift with the text. A long piece without a mark or a blank in it is one chunk.
 
@@ -26,21 +26,15 @@ processed whole, its chunks being rows of their own. Only DataFrame functions ar
 
 from __future__ import annotations
 
-import functools
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from txnflow.llm.shared import packed, removed, shared_dir, unpacked, written
 
-#: Pieces the rolling hash looks at, its divisor where a chunk goes on, and the bit by which it goes on behind a short piece.
-WINDOW, JOINED, JOINED_SHORT = 2, 8, 8
+#: Divisor of the rolling hash where a chunk goes on, and the bit by which it goes on behind a short piece.
+JOINED, JOINED_SHORT = 8, 8
 SHORT_PIECE = 28
-# Values of the rolling hash's lowest bits, and numbers with a bit set for each with which a chunk goes on.
-_VALUES = 2 * max(JOINED, JOINED_SHORT)
-_ON = sum(1 << v for v in range(_VALUES) if v % JOINED == 0)
-_ON_SHORT = sum(1 << v for v in range(_VALUES) if v % JOINED == 0 or not v & JOINED_SHORT)
 #: Characters above which a piece is cut after words, and mean words between those cuts (a power of two).
 LONG_PIECE, WORDS = 80, 8
 #: Least characters of a chunk that is compared.
@@ -102,9 +96,9 @@ def _with_cuts(df: DataFrame, text: str, wide: Column, within_lines: bool) -> Da
     return df
 
 
-def _size(part: Column) -> Column:
-    """The characters of a part of a text. Bytes are at hand, characters are counted one by one."""
-    return F.when(F.col("__wide"), F.length(part)).otherwise(F.octet_length(part))
+def _reaches(part: Column, least: int) -> Column:
+    """Whether a part of a text has so many characters. Bytes are at hand; characters are counted only where the bytes leave it open."""
+    return (F.octet_length(part) >= least) & (~F.col("__wide") | (F.length(part) >= least))
 
 
 def _fine_pieces(pieces: Column) -> Column:
@@ -112,7 +106,7 @@ def _fine_pieces(pieces: Column) -> Column:
     ended = lambda w: F.when(F.xxhash64(w).bitwiseAND(WORDS - 1) == 0, F.concat(w, F.lit(_CUT))).otherwise(w)
     words = lambda p: F.split(F.replace(p, F.lit(" "), F.lit(" " + _CUT)), _CUT, -1)
     cut = lambda p: F.split(F.concat_ws("", F.transform(words(p), ended)), _CUT, -1)
-    long = lambda p: _size(p) > LONG_PIECE
+    long = lambda p: _reaches(p, LONG_PIECE + 1)
     return F.when(F.exists(pieces, long), F.flatten(F.transform(pieces, lambda p: F.when(long(p), cut(p)).otherwise(F.array(p))))).otherwise(pieces)
 
 
@@ -123,14 +117,15 @@ def _chunked(df: DataFrame, within_lines: bool) -> DataFrame:
     pieces = pieces.withColumn("__p", F.split("__text", _CUT, -1)).drop("__text")
     pieces = pieces.withColumn("__p", _fine_pieces(F.col("__p"))) if within_lines else pieces
     hashed = pieces.withColumn("__h", F.transform("__p", lambda p: F.xxhash64(p)))
+    # The rolling hash by itself first: beside a text, each look at an array of numbers costs more than the hash.
+    before = F.concat(F.array(F.lit(None).cast("long")), F.slice("__h", 1, F.size("__h") - 1))
+    hashed = hashed.withColumn("__h", F.zip_with("__h", before, lambda h, b: F.xxhash64(h, b)))
 
-    def ended(p: Column, i: Column) -> Column:
-        # One look at the lowest bits of the rolling hash, which is the costly part; a bit is set for each value with which the chunk goes on.
-        rolling = F.xxhash64(*(F.get("__h", i - k) for k in range(WINDOW)))
-        goes_on = F.getbit(F.when(_size(p) < SHORT_PIECE, F.lit(_ON_SHORT)).otherwise(F.lit(_ON)), rolling.bitwiseAND(_VALUES - 1).cast("int"))
-        return F.when(goes_on == 0, F.concat(p, F.lit(_CUT))).otherwise(p)
+    def ended(p: Column, rolling: Column) -> Column:
+        short = (rolling.bitwiseAND(JOINED_SHORT) == 0) & ~_reaches(p, SHORT_PIECE)
+        return F.when((rolling.bitwiseAND(JOINED - 1) == 0) | short, p).otherwise(F.concat(p, F.lit(_CUT)))
 
-    return hashed.withColumn("__c", F.split(F.concat_ws("", F.transform("__p", ended)), _CUT, -1)).drop("__p", "__h")
+    return hashed.withColumn("__c", F.split(F.concat_ws("", F.zip_with("__p", "__h", ended)), _CUT, -1)).drop("__p", "__h")
 
 
 def _total(a: Column, first: Column, last: Column) -> Column:
@@ -144,7 +139,7 @@ def _chunk_table(rows: DataFrame, path: str, within_lines: bool) -> DataFrame:
     Texts are cut once; where a chunk is wanted later, it is taken by its bytes.
     """
     chunked = _chunked(rows.select("__rid", "__text"), within_lines)
-    large = F.filter(F.transform("__c", lambda c, i: F.when(_size(c) >= MIN_CHARS, i)), lambda i: i.isNotNull())
+    large = F.filter(F.transform("__c", lambda c, i: F.when(_reaches(c, MIN_CHARS), i)), lambda i: i.isNotNull())
     chunked = chunked.withColumn("__l", large)
     return written(chunked.select(
         "__rid", F.xxhash64("__rid").alias("__hash"), F.transform("__c", lambda c: F.octet_length(c)).alias("__n"), "__l",
