@@ -398,6 +398,39 @@ def test_line_dedup_chunks_at_the_limits(spark):
         assert r["__c"] == chunks
 
 
+def test_line_dedup_cuts_only_what_may_be_shared(spark, monkeypatch):
+    """Beside equal chunks equal texts aren't cut into pieces, nor are texts behind an early difference; what they share stays the same."""
+    rng = random.Random(7)
+    say = lambda n, pool: "".join(rng.choice(pool) * rng.randrange(1, 5) + rng.choice([" "] * 6 + [". ", ", ", "\n", "。", "! "]) for _ in range(n))
+    rows = []
+    for limit in (64, 256):
+        for size in range(limit - 14, limit + 6):
+            for pool in ("abc", "aé文", "b𝄞é"):
+                common = say(limit, pool).encode()[:size].decode(errors="ignore")
+                ends = [say(k, pool) for k in rng.sample((0, 1, 2, 90), 2)]
+                rows.append((*(common + e for e in ends), *(e + common for e in ends)))
+    rows += [("equal, here. ", "equal, here. ", "and there. ", "and there. "), (None, "one", "two", None), ("", "", "", "more")]
+    d = spark.createDataFrame(rows, "right string, first_right string, left string, first_left string").repartition(4)
+    d = d.withColumns({"r": F.col("right"), "s": F.col("first_right"), "l": F.col("left"), "m": F.col("first_left")})
+    sides = (("left", "first_left", True), ("right", "first_right", False))
+
+    def shared():
+        out = line_dedup._narrowed(d, sides)
+        for side in sides:
+            out = line_dedup._reached(out, *side, True)
+        return sorted(map(tuple, out.select("r", "s", "l", "m", "left", "left_few", "right", "right_few").collect()), key=str)
+
+    for r in line_dedup._narrowed(d, sides).collect():
+        for own, first, text, other, step in ((r.right, r.first_right, r.r, r.s, 1), (r.left, r.first_left, r.l, r.m, -1)):
+            if text is None or other is None or text == other:
+                assert own is None and first is None
+            elif text.encode()[::step][:56] != other.encode()[::step][:56]:
+                assert len(own) <= 64 and len(first) <= 64
+    got = shared()
+    monkeypatch.setattr(line_dedup, "_NEAR", (2**20, 2**20))
+    assert got == shared() and sum(r[6] > 40 for r in got) > 50
+
+
 def test_line_dedup_of_passages_with_any_marks_or_none(spark):
     """Shared passages of 50 words and more go from the second document, whatever ends their sentences."""
     say = lambda i: f"w{i * 7919 % 997} v{i * 104729 % 991}"

@@ -61,6 +61,9 @@ _ESCAPES = (("\1", "\1b"), ("\0", "\1a"))
 _BLOCK = 16
 # More bytes than a text has.
 _ALL = 2**31 - 1
+#: Bytes of two texts beside equal chunks that are compared first. If they differ at least ``_SPARE`` bytes before their end, no more
+#: is cut into pieces: whatever tells the end of a shared piece or word, and the character that differs, is whole in them.
+_NEAR, _SPARE = (64, 256), 8
 #: Bytes of a passage that are counted first, as they mostly hold ``MIN_WORDS`` words.
 _HEAD = 512
 
@@ -144,7 +147,7 @@ def _chunk_table(rows: DataFrame, path: str, within_lines: bool) -> DataFrame:
     return written(chunked.select(
         "__rid", F.xxhash64("__rid").alias("__hash"), F.transform("__c", lambda c: F.octet_length(c)).alias("__n"), "__l",
         F.transform("__l", lambda i: F.xxhash64(F.get("__c", i))).alias("__k"),
-    ), path)
+    ), path, ("__k.list.element",))
 
 
 def _repeated(chunks: DataFrame, path: str) -> DataFrame:
@@ -155,7 +158,7 @@ def _repeated(chunks: DataFrame, path: str) -> DataFrame:
     """
     keys = chunks.select("__hash", F.posexplode("__k").alias("seq", "key"))
     # A table of its own, here and below, so that the join can be split where a key is hot.
-    again = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), path)
+    again = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), path, ("key",))
     places = keys.join(again.hint("shuffle_hash"), "key").groupBy("__hash").agg(F.sort_array(F.collect_set("seq")).alias("__at"))
     found = chunks.select("__rid", "__hash", "__n", "__l").join(places, "__hash").drop("__hash")
     # Here and not beside the join with the texts, where Spark would add up all blocks anew for each chunk.
@@ -205,7 +208,7 @@ def _candidates(rows: DataFrame, to: str, within_lines: bool) -> DataFrame:
 
     # The bytes of a text as the one element of an array: a column of bytes would be copied for each chunk.
     all_found = F.transform(F.array(_escaped("__text").cast("binary")), lambda text: F.transform("__at", lambda c: found(text, c)))
-    out = written(parts.select("__id", "__rid", F.inline_outer(F.get(all_found, F.lit(0)))), to)
+    out = written(parts.select("__id", "__rid", F.inline_outer(F.get(all_found, F.lit(0)))), to, ("text", "left", "right"))
     removed(rows.sparkSession, path)
     return out
 
@@ -216,16 +219,27 @@ def _same(a: Column, b: Column) -> Column:
     return F.when(differs == 0, F.size(a)).otherwise(differs - 1).cast("int")
 
 
-def _apart(a: Column, b: Column, before: bool) -> Column:
-    """Whether the last (or first) words alone tell that nothing is shared there, which spares cutting the texts.
+def _narrowed(df: DataFrame, sides: tuple) -> DataFrame:
+    """``df`` with what is to be compared for each side (``own``, ``first``, whether before a chunk) in place of its two texts.
 
-    Both must be plain words between blanks: a line break or a mark of more than one byte could end a piece inside.
+    Where they are equal, ``own`` + ``_size`` has their bytes and nothing is left to compare, as where one is null. Texts that differ
+    early are cut short.
     """
-    last, first = (lambda t: F.substring_index(t, " ", -2)), (lambda t: F.substring_index(t, " ", 1))
-    word = last if before else first
-    plain = lambda t: ~F.contains(word(t), F.lit("\n")) & (F.octet_length(word(t)) == F.length(word(t)))
-    whole = (lambda t: F.endswith(t, F.lit(" "))) if before else (lambda t: word(t) != "")
-    return (word(a) != word(b)) & whole(a) & whole(b) & plain(a) & plain(b)
+    df = df.withColumns({f"{own}_equal": F.when(F.col(own).isNotNull() & F.col(first).isNotNull(), F.col(own) == F.col(first)) for own, first, _ in sides})
+    part = lambda t, n, before: F.substring(F.col(t).cast("binary"), -n if before else F.lit(1), n)
+    near, far = _NEAR
+
+    def reach(own: str, first: str, before: bool) -> Column:
+        differ = lambda n: part(own, F.lit(n - _SPARE), before) != part(first, F.lit(n - _SPARE), before)
+        return F.when(~F.col(f"{own}_equal"), F.when(differ(near), near).when(differ(far), far).otherwise(_ALL))
+
+    df = df.withColumns({f"{own}_n": reach(own, first, before) for own, first, before in sides})
+    new = {}
+    for own, first, before in sides:
+        n = F.col(f"{own}_n")
+        new |= {f"{own}_size": F.when(F.col(f"{own}_equal"), F.octet_length(own))}
+        new |= {t: F.when(n < _ALL, part(t, n, before).cast("string")).when(n == _ALL, F.col(t)) for t in (own, first)}
+    return df.withColumns(new).drop(*(f"{own}_{x}" for own, _, _ in sides for x in ("equal", "n")))
 
 
 def _reached(df: DataFrame, own: str, first: str, before: bool, within_lines: bool) -> DataFrame:
@@ -233,13 +247,11 @@ def _reached(df: DataFrame, own: str, first: str, before: bool, within_lines: bo
 
     Whole pieces count, and of the next piece the equal words; where these are so few that they may be chance, their
     bytes stand in a column of their own (``own`` + ``_few``). Each step is a column that the next uses twice, so that
-    Spark keeps them apart. Where a text is null nothing is shared.
+    Spark keeps them apart. Where a text is null nothing is shared but what is known (``own`` + ``_size``).
     """
     order = F.reverse if before else (lambda x: x)
-    both = F.col(own).isNotNull() & F.col(first).isNotNull() & ~_apart(F.col(own), F.col(first), before)
     a, b, x, y, n = (F.col(f"__{c}") for c in "abxyn")
-    df = df.withColumn("__both", both).withColumns({"__a": F.when(F.col("__both"), F.col(own)), "__b": F.when(F.col("__both"), F.col(first))}).drop("__both")
-    df = df.withColumns({"__x": _wide("__a"), "__y": _wide("__b")})
+    df = df.withColumns({"__a": F.col(own), "__b": F.col(first), "__x": _wide(own), "__y": _wide(first)}).drop(own, first)
     df = _with_cuts(_with_cuts(df, "__a", x, within_lines), "__b", y, within_lines)
     df = df.withColumns({c: order(F.split(c, _CUT, -1)) for c in ("__a", "__b")}).withColumn("__n", _same(a, b))
     ends = _TOKEN_END if before else _TOKEN_ENDS
@@ -247,8 +259,8 @@ def _reached(df: DataFrame, own: str, first: str, before: bool, within_lines: bo
     df = df.withColumn("__x", F.array_join(F.slice(x, 1, _same(x, y)), ""))
     enough = F.regexp_count(x, F.lit(_WORD)) >= MIN_SHARED
     more = lambda c: F.when(c, F.octet_length(x)).otherwise(0)
-    sizes = {own: F.coalesce(F.octet_length(F.array_join(a, "")) + more(enough), F.lit(0)), f"{own}_few": F.coalesce(more(~enough), F.lit(0))}
-    return df.withColumns(sizes).drop("__a", "__b", "__n", "__x", "__y")
+    size = F.coalesce(F.col(f"{own}_size"), F.octet_length(F.array_join(a, "")) + more(enough), F.lit(0))
+    return df.withColumns({own: size, f"{own}_few": F.coalesce(more(~enough), F.lit(0))}).drop("__a", "__b", "__n", "__x", "__y", f"{own}_size")
 
 
 def repeated_spans(found: DataFrame, within_lines: bool = True) -> DataFrame:
@@ -260,9 +272,12 @@ def _spans(found: DataFrame, within_lines: bool) -> DataFrame:
     """The repeats with ``from`` and ``to``, their ends with the few words beside them that may be equal by chance."""
     place = F.struct("__id", "__rid", "start")
     first = found.groupBy("text").agg(F.count("*").alias("n"), F.min(F.struct("__id", "__rid", "start", "left", "right")).alias("f")).where("n > 1").drop("n")
-    later = found.join(written(first).hint("shuffle_hash"), "text").where(~place.eqNullSafe(F.struct("f.__id", "f.__rid", "f.start")))
+    later = found.join(written(first, plain=("text", "f.left", "f.right")).hint("shuffle_hash"), "text").where(~place.eqNullSafe(F.struct("f.__id", "f.__rid", "f.start")))
     later = later.select("__rid", "start", F.octet_length("text").alias("n"), "left", "right", F.col("f.left").alias("first_left"), F.col("f.right").alias("first_right"))
-    later = _reached(_reached(later, "left", "first_left", True, within_lines), "right", "first_right", False, within_lines)
+    sides = ("left", "first_left", True), ("right", "first_right", False)
+    later = _narrowed(later, sides)
+    for side in sides:
+        later = _reached(later, *side, within_lines)
     start, end = F.col("start") - F.col("left"), F.col("start") + F.col("n") + F.col("right")
     spans = later.select("__rid", start.alias("start"), end.alias("end"), (start - F.col("left_few")).alias("from"), (end + F.col("right_few")).alias("to"))
     # By document at once, as the runs want them, not first by all columns.
@@ -279,6 +294,11 @@ def _runs(spans: DataFrame) -> DataFrame:
     return runs.groupBy("__rid").agg(F.sort_array(F.collect_list(F.struct("start", "end", "n", "from", "to"))).alias("__runs"))
 
 
+def _breaks(text: Column) -> Column:
+    """Number of line breaks."""
+    return F.size(F.split(text, "\n", -1)) - 1
+
+
 def _cut(rows: DataFrame, within_lines: bool) -> DataFrame:
     """Packed rows with ``__cut`` (the number of removed chunks, or null) and ``__left`` (the text left)."""
     path = shared_dir(rows.sparkSession)
@@ -286,30 +306,31 @@ def _cut(rows: DataFrame, within_lines: bool) -> DataFrame:
     removed(rows.sparkSession, path)
     joined = rows.drop("__text").join(spans.hint("shuffle_hash"), "__rid", "left")
     joined = joined.withColumn("__e", F.when(F.col("__runs").isNotNull(), _escaped("__row.text").cast("binary")))
-    between = lambda a, b: F.substring(F.col("__e"), a + 1, b - a).cast("string")
-    part = lambda r: between(r["start"], r["end"])
-    breaks = lambda text: F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    between = lambda e, a, b: F.substring(e, a + 1, b - a).cast("string")
+    part = lambda e, r: between(e, r["start"], r["end"])
+    # As the one element of an array, since a column of bytes would be copied for each part.
+    of_bytes = lambda f: F.get(F.transform(F.array("__e"), lambda e: F.transform("__runs", lambda r, k: f(e, r, k))), F.lit(0))
     count = lambda text: 2 * F.regexp_count(text, F.lit(_WORD))
     ideographs = lambda text: F.regexp_count(text, F.lit(_IDEOGRAPH))
     many = lambda text: (count(text) >= 2 * MIN_WORDS) | ((F.octet_length(text) > F.length(text)) & (count(text) + ideographs(text) >= 2 * MIN_WORDS))
     # Where the first bytes hold words enough the others needn't be counted.
-    words = lambda a, b: ((b - a > _HEAD) & many(between(a, a + _HEAD))) | many(between(a, b))
+    words = lambda e, a, b: ((b - a > _HEAD) & many(between(e, a, a + _HEAD))) | many(between(e, a, b))
 
-    def passage(r: Column) -> Column:
+    def passage(e: Column, r: Column, k: Column) -> Column:
         """The run if it is a passage, with the few words beside it if only they make it one; else null."""
-        inside = (r["start"] > 0) & (between(r["start"] - 1, r["start"]) != "\n")
+        inside = (r["start"] > 0) & (between(e, r["start"] - 1, r["start"]) != "\n")
         wide = F.struct(r["from"].alias("start"), r["to"].alias("end"), r["n"].alias("n"))
         own = F.struct(r["start"].alias("start"), r["end"].alias("end"), r["n"].alias("n"))
-        return F.when(words(r["start"], r["end"]) | (breaks(part(r)) - inside.cast("int") >= MIN_LINES), own).when(words(r["from"], r["to"]), wide)
+        return F.when(words(e, r["start"], r["end"]) | (_breaks(part(e, r)) - inside.cast("int") >= MIN_LINES), own).when(words(e, r["from"], r["to"]), wide)
 
-    sized = joined.withColumn("__runs", F.array_compact(F.transform("__runs", passage)))
+    sized = joined.withColumn("__runs", F.array_compact(of_bytes(passage)))
 
-    def kept(r: Column, k: Column) -> Column:
+    def kept(e: Column, r: Column, k: Column) -> Column:
         since = F.when(k > 0, F.get("__runs", k - 1)["end"]).otherwise(0)
-        return F.concat(between(since, r["start"]), F.lit(_CUT), F.when(F.contains(part(r), F.lit("\n")), "\n").otherwise(""))
+        return F.concat(between(e, since, r["start"]), F.lit(_CUT), F.when(F.contains(part(e, r), F.lit("\n")), "\n").otherwise(""))
 
-    tail = between(F.element_at("__runs", -1)["end"], F.length("__e"))
-    text = F.concat(F.array_join(F.transform("__runs", kept), ""), tail)
+    tail = between(F.col("__e"), F.element_at("__runs", -1)["end"], F.length("__e"))
+    text = F.concat(F.array_join(of_bytes(kept), ""), tail)
     # A passage from the start of a line takes its line break along; one from inside a line leaves a break if it held one,
     # and one at the end of the text takes the break before it.
     gone = r"(?:\x00\n?)"
@@ -323,12 +344,11 @@ def _cut(rows: DataFrame, within_lines: bool) -> DataFrame:
 
 def line_dedup_report(docs: DataFrame, within_lines: bool = True) -> DataFrame:
     """Per document the text that is left, the number of repeated chunks removed and of the line breaks that went."""
-    breaks = lambda text: F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
     return _cut(packed(docs), within_lines).select(
         F.col("__row.doc_id").alias("doc_id"),
         F.col("__left").alias("text"),
         F.coalesce("__cut", F.lit(0)).alias("n_removed_chunks"),
-        F.when(F.col("__cut").isNull(), 0).otherwise(breaks(F.col("__row.text")) - breaks(F.col("__left"))).alias("n_removed_lines"),
+        F.when(F.col("__cut").isNull(), 0).otherwise(_breaks(F.col("__row.text")) - _breaks(F.col("__left"))).alias("n_removed_lines"),
     )
 
 

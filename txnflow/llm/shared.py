@@ -41,11 +41,12 @@ def _folder(spark: SparkSession, path: str) -> tuple:
     return folder, folder.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
 
 
-def written(df: DataFrame, path: str | None = None) -> DataFrame:
+def written(df: DataFrame, path: str | None = None, plain: tuple[str, ...] = ()) -> DataFrame:
     """``df`` as a table in the shared folder: computed once, and read again whatever executor is lost.
 
     The shuffle files behind it are of no use then; Spark is asked to remove them when the write ends. The table goes
-    when the driver ends, or with ``removed`` where ``path``, a new path from ``shared_dir``, was given.
+    when the driver ends, or with ``removed`` where ``path``, a new path from ``shared_dir``, was given. Columns named
+    in ``plain`` hold mostly different values, so that Parquet needn't try to list them.
     """
     spark, path = df.sparkSession, path or shared_dir(df.sparkSession)
     folder, system = _folder(spark, path)
@@ -53,7 +54,7 @@ def written(df: DataFrame, path: str | None = None) -> DataFrame:
     before = spark.conf.get(_CLEANUP, "false")
     spark.conf.set(_CLEANUP, "true")
     try:
-        df.write.parquet(path)
+        df.write.options(**{f"parquet.enable.dictionary#{c}": "false" for c in plain}).parquet(path)
     finally:
         spark.conf.set(_CLEANUP, before)
     return spark.read.schema(df.schema).parquet(path)
